@@ -7,7 +7,9 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,3 +82,25 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow() with this package importable in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], pa.Array]], result: str, *, carry: list[str] | None = None, name: str = "result") -> DataFrame:
+    """Append one column that a function of whole texts makes, without a shuffle.
+
+    make() runs once in each task and returns the function, which takes up to
+    256 texts (null included) and returns an Arrow array of the DDL type result.
+    carry names the columns to keep, all by default; name must not be one of them.
+    """
+    carry = df.columns if carry is None else carry
+    kept = df.select(*carry, F.col(text_col).alias("__text"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), f"`{name}` {result}"])
+
+    def run(batches):
+        of = make()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                *columns, texts = part.columns
+                yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], [*carry, name])
+
+    return map_arrow(kept, run, schema)
