@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_token_store": "token_store",
     "op2_decontamination": "decontaminate",
+    "op4_simhash": "simhash",
     "op8_best_fit_packing": "packing",
 }
 
