@@ -104,3 +104,10 @@ def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], p
                 yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], [*carry, name])
 
     return map_arrow(kept, run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, mod: int, held: int, limit: int, name: str, id_col: str = "doc_id") -> DataFrame:
+    """text and y (0 or 1) of at most limit labelled rows outside the held-out fold, in the order of a hash of the id; written to the shared folder."""
+    known = labels.where(F.col(label).isNotNull() & (fold(id_col, mod) != held) & F.col(id_col).isNotNull())
+    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(limit)
+    return materialize(docs.select(id_col, "text").join(F.broadcast(known), id_col).select("text", "y"), name)

@@ -11,6 +11,7 @@ MODULES = {
     "op4_simhash": "simhash",
     "op7_warc": "warc",
     "op8_best_fit_packing": "packing",
+    "op9_toxic_segments": "toxicity",
 }
 
 
