@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_store": "token_store",
     "op2_decontamination": "decontaminate",
     "op4_simhash": "simhash",
+    "op6_knn_quality": "knn_quality",
     "op7_warc": "warc",
     "op8_best_fit_packing": "packing",
     "op9_toxic_segments": "toxicity",
