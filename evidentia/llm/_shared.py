@@ -7,9 +7,10 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,8 +88,9 @@ def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
 def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], pa.Array]], result: str, *, carry: list[str] | None = None, name: str = "result") -> DataFrame:
     """Append one column that a function of whole texts makes, without a shuffle.
 
-    make() runs once in each task and returns the function, which takes up to
-    256 texts (null included) and returns an Arrow array of the DDL type result.
+    make() runs once in each task and returns the function, which takes the texts
+    (null included) of one of text_slices() and returns an Arrow array of the
+    DDL type result.
     carry names the columns to keep, all by default; name must not be one of them.
     """
     carry = df.columns if carry is None else carry
@@ -98,8 +100,8 @@ def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], p
     def run(batches):
         of = make()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, n in text_slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(lo, n)
                 *columns, texts = part.columns
                 yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], [*carry, name])
 
@@ -111,3 +113,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, mod: int,
     known = labels.where(F.col(label).isNotNull() & (fold(id_col, mod) != held) & F.col(id_col).isNotNull())
     known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(limit)
     return materialize(docs.select(id_col, "text").join(F.broadcast(known), id_col).select("text", "y"), name)
+
+
+def text_slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:
+    """Offset and length of consecutive slices of about limit bytes; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    lo = size = 0
+    for k, n in enumerate(sizes.tolist()):
+        if k > lo and size + n > limit:
+            yield lo, k - lo
+            lo, size = k, 0
+        size += n
+    if len(sizes):
+        yield lo, len(sizes) - lo

@@ -7,6 +7,7 @@ import importlib
 #: Query name -> module that has a function of that name, and ORACLE_SQL where SQL can express it.
 MODULES = {
     "op1_token_store": "token_store",
+    "op10_language": "langid",
     "op2_decontamination": "decontaminate",
     "op4_simhash": "simhash",
     "op6_knn_quality": "knn_quality",
