@@ -45,10 +45,10 @@ def cut(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokeni
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            for lo in range(0, len(ids), 256):
+            for lo, n_rows in _shared.text_slices(texts):
                 rows = []
-                for doc_id, raw in zip(ids.slice(lo, 256).to_pylist(), enc.encode(texts.slice(lo, 256).to_pylist()), strict=True):
-                    raw += end
+                for doc_id, raw in zip(ids.slice(lo, n_rows).to_pylist(), enc.encode(texts.slice(lo, n_rows)), strict=True):
+                    raw = bytes(raw) + end
                     n, at = len(raw) // size, 0
                     for piece in range(-(-n // capacity)):
                         length = (n % capacity or capacity) if piece == 0 else capacity

@@ -176,8 +176,8 @@ def write(df: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "
         n = 0
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                for doc_id, raw in zip(ids[lo : lo + 256], enc.encode(texts.slice(lo, 256).to_pylist()), strict=True):
+            for lo, size in _shared.text_slices(texts):
+                for doc_id, raw in zip(ids[lo : lo + size], enc.encode(texts.slice(lo, size)), strict=True):
                     out = out or ShardWriter(uri, bits_for(max(enc.vocab_size, (end_id or 0) + 1)), block_tokens)
                     out.add(doc_id, np.concatenate([np.frombuffer(raw, enc.dtype), end]))
                     n += 1
