@@ -9,6 +9,7 @@ MODULES = {
     "op1_token_store": "token_store",
     "op10_language": "langid",
     "op2_decontamination": "decontaminate",
+    "op3_quotation_links": "chat_quotes",
     "op4_simhash": "simhash",
     "op6_knn_quality": "knn_quality",
     "op7_warc": "warc",
