@@ -1,11 +1,11 @@
 """SimHash near-duplicates by tiled exact comparison of 64-bit fingerprints.
 
-Distinct fingerprints are sorted by their number of set bits and cut into tiles
-of TILE. Two fingerprints within the radius differ by no more than it in that
-number, so a pair of tiles whose numbers lie further apart is skipped, and so
-are the rows and columns of a pair that do. All other pairs of tiles are compared
-in full, in numpy: exclusive or, bit count, threshold. A pair of tiles yields no
-more links than it has fingerprints: those that join what it had not yet joined.
+Distinct fingerprints of one number of set bits are cut into tiles of about
+TILE. Two fingerprints within the radius differ by no more than it in that
+number, so a pair of tiles whose numbers lie further apart is skipped. All other
+pairs of tiles are compared in full, in numpy: exclusive or, bit count,
+threshold. A pair of tiles yields no more links than it has fingerprints: those
+that join what it had not yet joined.
 The number of tile pairs grows with the square of the distinct fingerprints.
 """
 
@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,51 +106,36 @@ def join_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[i
 
 
 def _tiles(fps: DataFrame, tile: int) -> DataFrame:
-    """Distinct fingerprints as rows (tile, low, high, n, blob), sorted by bit count within and across tiles."""
-
-    def run(batches):
-        part, nth, held = TaskContext.get().partitionId(), 0, np.empty(0, np.int64)
-
-        def rows(values, first):
-            cuts = [values[k : k + tile] for k in range(0, len(values), tile)]
-            pops = [np.bitwise_count(c.view(np.uint64)) for c in cuts]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part * (1 << 32) + first + k for k in range(len(cuts))], pa.int64()), pa.array([int(p[0]) for p in pops], pa.int32()), pa.array([int(p[-1]) for p in pops], pa.int32()), pa.array([c.astype("<i8").tobytes() for c in cuts], pa.binary())],
-                ["tile", "low", "high", "blob"],
-            )
-
-        for batch in batches:
-            held = np.concatenate([held, batch.column(0).to_numpy()])
-            if len(held) >= tile:
-                full = len(held) // tile * tile
-                yield rows(held[:full], nth)
-                nth += full // tile
-                held = held[full:]
-        if len(held):
-            yield rows(held, nth)
-
-    ordered = fps.select("fp", F.bit_count("fp").alias("pop")).repartitionByRange("pop", "fp").sortWithinPartitions("pop", F.col("fp")).select("fp")
-    return _shared.map_arrow(ordered, run, "tile long, low int, high int, blob binary")
+    """Distinct fingerprints as rows (tile, pop, bucket, fps): those of one bit count, hashed into buckets of about tile fingerprints each."""
+    counted = fps.select("fp", F.bit_count("fp").cast("int").alias("pop"))
+    # at most 65 rows, whatever the input
+    buckets = {r["pop"]: -(-r["n"] // tile) for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}
+    many = F.element_at(F.create_map(*(F.lit(x) for item in (buckets or {0: 1}).items() for x in item)), F.col("pop"))
+    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("fp"), many.cast("long")).cast("long"))
+    grouped = keyed.groupBy("pop", "bucket").agg(F.collect_list("fp").alias("fps"))
+    return grouped.select((F.col("pop") * F.lit(1 << 40) + F.col("bucket")).alias("tile"), "pop", "fps")
 
 
 def links(fps: DataFrame, *, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """src, dst: links that connect the distinct fingerprints (fp long) just as all pairs within radius do."""
     tiles = _shared.materialize(_tiles(fps, tile), "tiles")
-    about = tiles.select("tile", "low", "high")
-    left = about.select(F.col("tile").alias("a"), F.explode(F.sequence("low", F.col("high") + radius)).alias("low"))
-    pairs = _shared.materialize(left.join(about.select(F.col("tile").alias("b"), "low"), "low").where("a <= b").select("a", "b"), "tile-pairs")
-    blob_a, blob_b = (tiles.select(F.col("tile").alias(k), F.col("blob").alias(f"blob_{k}")) for k in "ab")
-    joined = pairs.join(blob_a, "a").join(blob_b, "b").select((F.col("a") == F.col("b")).alias("same"), "blob_a", "blob_b")
+    about = tiles.select("tile", "pop")
+    left = about.select(F.col("tile").alias("a"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("pop"))
+    pairs = left.join(about.select(F.col("tile").alias("b"), "pop"), "pop").where("a <= b").select("a", "b")
+    pairs = _shared.materialize(pairs, "tile-pairs")
+    side_a, side_b = (tiles.select(F.col("tile").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
+    joined = pairs.join(side_a, "a").join(side_b, "b").select((F.col("a") == F.col("b")).alias("same"), "fps_a", "fps_b")
 
     def run(batches):
         for batch in batches:
-            for same, a, b in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                a, b = (np.frombuffer(x, "<u8") for x in (a, b))
-                found = np.array(join_tiles(a, None if same else b, radius), np.uint64).reshape(-1, 2).view(np.int64)
+            same, *sides = batch.columns
+            for k, one in enumerate(same.to_pylist()):
+                a, b = (x[k].values.to_numpy().view(np.uint64) for x in sides)
+                found = np.array(join_tiles(a, None if one else b, radius), np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
 
-    n = max(1, min(pairs.count(), 100_000))
-    return _shared.map_arrow(joined.repartition(n), run, "src long, dst long")
+    n = pairs.count()
+    return _shared.map_arrow(joined.repartition(max(1, min(n, 2 * _shared.partitions(fps.sparkSession) + n // 16))), run, "src long, dst long")
 
 
 def classes(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
