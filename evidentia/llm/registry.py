@@ -11,6 +11,7 @@ MODULES = {
     "op2_decontamination": "decontaminate",
     "op3_quotation_links": "chat_quotes",
     "op4_simhash": "simhash",
+    "op5_chroma_prints": "chroma",
     "op6_knn_quality": "knn_quality",
     "op7_warc": "warc",
     "op8_best_fit_packing": "packing",
