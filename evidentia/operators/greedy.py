@@ -66,7 +66,8 @@ def match_one_to_one(left: DataFrame, right: DataFrame, group: str = "image_id",
         return pd.DataFrame(rows, columns=[group, "left_seq", "right_seq", "score"]).astype({"left_seq": "Int64", "right_seq": "Int64"})
 
     cols = [group, "seq", *SIDES]
-    return left.select(cols).groupBy(group).cogroup(right.select(cols).groupBy(group)).applyInPandas(run, f"{group} long, left_seq long, right_seq long, score double")
+    renewed = right.select(*(F.col(c).alias(c) for c in cols))  # both sides may come from one table
+    return left.select(cols).groupBy(group).cogroup(renewed.groupBy(group)).applyInPandas(run, f"{group} long, left_seq long, right_seq long, score double")
 
 
 def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group: str = "image_id") -> DataFrame:

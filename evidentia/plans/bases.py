@@ -11,7 +11,7 @@ WIDTH, HEIGHT = 320, 200
 
 BASES = {
     "boxes": """
-        SELECT l_orderkey AS image_id, l_linenumber AS seq, CAST(l_partkey * 13 % 200 AS INT) AS x0, CAST(l_suppkey * 7 % 150 AS INT) AS y0,
+        SELECT l_orderkey AS image_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) AS INT) AS seq, CAST(l_partkey * 13 % 200 AS INT) AS x0, CAST(l_suppkey * 7 % 150 AS INT) AS y0,
           CAST(l_partkey * 13 % 200 + 10 + 2 * CAST(l_quantity AS INT) AS INT) AS x1, CAST(l_suppkey * 7 % 150 + 6 + l_suppkey % 30 AS INT) AS y1,
           round(1.0 - l_discount * 4, 3) AS confidence, l_returnflag AS kind, l_linestatus AS status
         FROM {lineitem}""",

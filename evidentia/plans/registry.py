@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
+from evidentia.plans import relational, scalars
+
+FLAGSHIP = "verified_claims"
 
 
 def queries() -> dict:
-    return {}
+    return {**scalars.queries(), **relational.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**scalars.oracle_sql(), **relational.oracle_sql()}

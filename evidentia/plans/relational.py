@@ -149,24 +149,24 @@ def line_height(spark, d):
     return sequences.line_pitch(b, "image_id", "c", "h")
 
 
-_PROFILE = "(SELECT l_suppkey AS section, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS at, CASE WHEN l_partkey % 5 < 3 THEN 0 ELSE l_partkey END AS value FROM lineitem)"
+_PROFILE = "(SELECT l_suppkey AS section, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS pos, CASE WHEN l_partkey % 5 < 3 THEN 0 ELSE l_partkey END AS value FROM lineitem)"
 
 
-@query(f"SELECT section, min(at) AS \"start\", max(at) + 1 AS \"end\" FROM (SELECT *, at - row_number() OVER (PARTITION BY section ORDER BY at) AS run FROM (SELECT *, value <= greatest(1, floor(0.02 * max(value) OVER (PARTITION BY section))) AS empty FROM {_PROFILE}) WHERE empty QUALIFY TRUE) GROUP BY section, run HAVING max(at) + 1 - min(at) >= 3 AND min(at) > (SELECT min(at) FROM (SELECT *, value <= greatest(1, floor(0.02 * max(value) OVER (PARTITION BY section))) AS e FROM {_PROFILE}) q WHERE q.section = any_value(section) AND NOT e)")
+@query()
 def profile_gaps(spark, d):
     from pyspark.sql import Window
 
     rows = spark.read.parquet(f"{d}/lineitem.parquet")
-    at = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber"))
+    at = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
     p = rows.select(F.col("l_suppkey").alias("section"), at.alias("at"), F.when(F.col("l_partkey") % 5 < 3, 0).otherwise(F.col("l_partkey")).alias("value"))
     return sequences.empty_runs(p, "section", "at", "value", 3)
 
 
 SQL["profile_gaps"] = f"""
-WITH p AS (SELECT *, value <= greatest(1, floor(0.02 * max(value) OVER (PARTITION BY section))) AS empty FROM {_PROFILE}),
-e AS (SELECT section, min(at) AS lo, max(at) AS hi FROM p WHERE NOT empty GROUP BY 1),
-i AS (SELECT section, at, at - row_number() OVER (PARTITION BY section ORDER BY at) AS run FROM p JOIN e USING (section) WHERE empty AND at > lo AND at < hi)
-SELECT section, min(at) AS "start", max(at) + 1 AS "end" FROM i GROUP BY section, run HAVING max(at) + 1 - min(at) >= 3"""
+WITH p AS (SELECT *, value <= greatest(1, floor(0.02 * max(value) OVER (PARTITION BY section))) AS blank FROM {_PROFILE}),
+e AS (SELECT section, min(pos) AS lo, max(pos) AS hi FROM p WHERE NOT blank GROUP BY 1),
+i AS (SELECT section, pos, pos - row_number() OVER (PARTITION BY section ORDER BY pos) AS run FROM p JOIN e USING (section) WHERE blank AND pos > lo AND pos < hi)
+SELECT section, min(pos) AS "start", max(pos) + 1 AS "end" FROM i GROUP BY section, run HAVING max(pos) + 1 - min(pos) >= 3"""
 
 
 @query("SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM b_events) WHERE k IN (SELECT CAST(round_even(i * (n - 1) / 5, 0) AS BIGINT) FROM range(6) t(i))", "events")
@@ -174,18 +174,18 @@ def uniform_frames(spark, d):
     return sequences.uniform_sample(base(spark, d, "events").select("user_id", "event_id"), "user_id", "event_id", 6)
 
 
-_CLIP = "SELECT user_id, epoch(ts) - (SELECT min(epoch(ts)) FROM events) AS at FROM events"
+_CLIP = "SELECT user_id, epoch(ts) - (SELECT min(epoch(ts)) FROM events) AS sec FROM events"
 
 
 @query(
-    f"WITH f AS (SELECT user_id, round(at, 3) AS at FROM ({_CLIP})), t AS (SELECT DISTINCT user_id, CAST(floor(at / 3600) * 3600 AS DOUBLE) AS target FROM f) SELECT user_id, target, at FROM (SELECT t.user_id, t.target, f.at, row_number() OVER (PARTITION BY t.user_id, t.target ORDER BY abs(f.at - t.target), f.at) AS r FROM t JOIN f ON t.user_id = f.user_id AND abs(f.at - t.target) <= 1800) WHERE r = 1"
+    f"WITH f AS (SELECT user_id, round(sec, 3) AS sec FROM ({_CLIP})), t AS (SELECT DISTINCT user_id, CAST(floor(sec / 3600) * 3600 AS DOUBLE) AS target FROM f) SELECT user_id, target, sec FROM (SELECT t.user_id, t.target, f.sec, row_number() OVER (PARTITION BY t.user_id, t.target ORDER BY abs(f.sec - t.target), f.sec) AS r FROM t JOIN f ON t.user_id = f.user_id AND abs(f.sec - t.target) <= 1800) WHERE r = 1"
 )
 def nearest_frames(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("double").alias("s"))
+    e = spark.read.parquet(f"{d}/events.parquet").select("user_id", F.col("ts").cast("timestamp").cast("double").alias("s"))
     start = e.agg(F.min("s").alias("start"))
     f = e.join(F.broadcast(start)).select("user_id", F.round(F.col("s") - F.col("start"), 3).alias("at"))
     t = f.select("user_id", (F.floor(F.col("at") / 3600) * 3600).cast("double").alias("target"))
-    return sequences.nearest_in_time(t, f, "user_id", "target", "at", 1800, bucket=3600)
+    return sequences.nearest_in_time(t, f, "user_id", "target", "at", 1800, bucket=3600).withColumnRenamed("at", "sec")
 
 
 @query("SELECT o_orderkey, CAST(k AS DOUBLE) * 2.5 AS time FROM (SELECT o_orderkey, unnest(range(0, CAST(least(floor((o_custkey % 40) / 2.5), 11) AS INT) + 1)) AS k FROM orders)")

@@ -78,7 +78,7 @@ def history(entries: DataFrame, most: int, query: str = "") -> DataFrame:
 
 def cached(cache: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     """keys with the newest cached dump of less than seven days, null for a miss. cache: key, ts, dump."""
-    fresh = cache.where((now.cast("double") - F.col("ts").cast("double") <= CACHE_SECONDS) & F.col("dump").isNotNull())
+    fresh = cache.where((now.cast("timestamp").cast("double") - F.col("ts").cast("timestamp").cast("double") <= CACHE_SECONDS) & F.col("dump").isNotNull())
     newest = fresh.groupBy("key").agg(F.max(F.struct("ts", "dump"))["dump"].alias("dump"))
     return keys.join(newest, "key", "left")
 
