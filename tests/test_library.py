@@ -8,6 +8,7 @@ import wave
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def test_queries_equal_sql(spark, name):
     assert cols == sorted(got.columns)
 
     def plain(df):
-        made = (tuple("" if x is None or x != x else round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r) for r in df[cols].itertuples(index=False))
+        made = (tuple("" if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float, np.number)) and not isinstance(x, bool) else str(x) for x in r) for r in df[cols].itertuples(index=False))
         return sorted(made, key=repr)
 
     assert plain(got) == plain(want)
