@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import compact, evidence, greedy, sequences, spatial
+from evidentia.functions.network import url_refusal
+from evidentia.operators import compact, documents, evidence, greedy, sequences, spatial
 from evidentia.plans.bases import HEIGHT, WIDTH, base, with_sql
 from evidentia.sources import stores
+from evidentia.shipping import ship
 from evidentia.streaming import jobs, reviews
 
 QUERIES: dict = {}
@@ -490,6 +492,43 @@ def numbered_reports(spark, d):
     return base(spark, d, "texts").select("conv_id", F.format_string("review-%03d.json", F.col("turn").cast("int")).alias("path"), F.sha2("text", 256).alias("key"))
 
 
+@query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'scheme' WHEN page_id % 4 = 1 THEN 'private' WHEN page_id % 4 = 2 THEN 'loopback' END AS refusal FROM pages")
+def url_policy(spark, d):
+    ship(spark)
+    path = F.regexp_replace("url", "^https?://[^/]*", "")
+    hosts = F.element_at(F.array(*map(F.lit, ("http://example.org", "https://192.168.1.9", "https://db.localhost", "https://example.org"))), (F.col("page_id") % 4 + 1).cast("int"))
+    return base(spark, d, "urls").select("page_id", url_refusal(F.concat(hosts, path)).alias("refusal"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'web' WHEN p_size % 3 = 1 THEN 'visual' ELSE 'web' END AS kind FROM part")
+def target_kinds(spark, d):
+    told = F.when(F.col("p_size") % 3 == 0, " WEB ")
+    intent = F.when(F.col("p_size") % 3 == 1, F.lit("describe this")).otherwise("Rebuild the HTML of this")
+    return base(spark, d, "names").select("p_partkey", documents.target_kind(told, intent).alias("kind"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'query' WHEN 1 THEN 'referencePath,url' ELSE '' END AS missing FROM part")
+def missing_inputs(spark, d):
+    operation = F.element_at(F.array(F.lit("locate"), F.lit("review"), F.lit("other")), (F.col("p_size") % 3 + 1).cast("int"))
+    return base(spark, d, "names").select("p_partkey", F.array_join(documents.missing_fields(operation, F.array(F.lit("imagePath"))), ",").alias("missing"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'nav' WHEN 1 THEN 'utility' WHEN 2 THEN 'action' END AS role FROM part")
+def label_roles(spark, d):
+    labels = F.element_at(F.array(F.lit("x Over-view"), F.lit("View all (3)"), F.lit("Respond to partners!"), F.lit("something else")), (F.col("p_size") % 4 + 1).cast("int"))
+    return base(spark, d, "names").select("p_partkey", documents.label_role(labels).alias("role"))
+
+
+_CH = [f"CAST(('0x' || substr(hex, {k}, 2)) AS INT)" for k in (2, 4, 6)]
+_CON = "round(1.05 / (0.2126 * ({} / 255) + 0.7152 * ({} / 255) + 0.0722 * ({} / 255) + 0.05), 9)".format(*_CH)
+_SAT = "round(CASE WHEN greatest({0}, {1}, {2}) = 0 THEN 0.0 ELSE (greatest({0}, {1}, {2}) - least({0}, {1}, {2})) / greatest({0}, {1}, {2}) END, 9)".format(*_CH)
+
+
+@query(f"SELECT p_size, arg_max(hex, ({_CON}, -CAST('0x' || substr(hex, 2) AS BIGINT))) AS ink, coalesce(arg_max(hex, ({_SAT}, -CAST('0x' || substr(hex, 2) AS BIGINT))) FILTER ({_SAT} > 0.35), arg_max(hex, ({_CON}, -CAST('0x' || substr(hex, 2) AS BIGINT)))) AS accent FROM b_colors WHERE hex <> '#FFFFFF' GROUP BY 1", "colors")
+def design_tokens(spark, d):
+    return documents.design_tokens(base(spark, d, "colors"), "p_size")
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
