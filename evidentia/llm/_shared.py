@@ -94,7 +94,7 @@ def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], p
     carry names the columns to keep, all by default; name must not be one of them.
     """
     carry = df.columns if carry is None else carry
-    kept = df.select(*carry, F.col(text_col).alias("__text"))
+    kept = df.select(*carry, F.col(text_col).alias("__annotated"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), f"`{name}` {result}"])
 
     def run(batches):

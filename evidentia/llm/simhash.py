@@ -167,15 +167,15 @@ def _members(fps: DataFrame, radius: int) -> DataFrame:
 
 def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of df with one of each class left: that of the least id (null last), then the least hash of the text; repeated rows count as one."""
-    key = [F.col(id_col).isNull().alias("__no_id"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__text")]
+    key = [F.col(id_col).isNull().alias("__no_id"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__hash")]
     marked = df.select(F.col(text_col).alias("text"), *key)
-    fps = _shared.materialize(with_fingerprint(marked, size=size, carry=["__no_id", "__id", "__text"]), "doc-fingerprints")
-    best = fps.groupBy("fp").agg(F.min(F.struct("__no_id", "__id", "__text")).alias("best"))
+    fps = _shared.materialize(with_fingerprint(marked, size=size, carry=["__no_id", "__id", "__hash"]), "doc-fingerprints")
+    best = fps.groupBy("fp").agg(F.min(F.struct("__no_id", "__id", "__hash")).alias("best"))
     kept = classes(fps, radius=radius).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.coalesce("best.__id", F.lit(0)).alias("__key"), "best.*")
     kept = _shared.materialize(kept.drop("__id"), "kept")
     rows = df.select("*", key[0], F.coalesce(key[1], F.lit(0)).alias("__key"), key[2])
-    left = rows.join(kept, ["__key", "__no_id", "__text"], "left_semi")
-    return left.dropDuplicates(["__key", "__no_id", "__text"]).select(*df.columns)
+    left = rows.join(kept, ["__key", "__no_id", "__hash"], "left_semi")
+    return left.dropDuplicates(["__key", "__no_id", "__hash"]).select(*df.columns)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
