@@ -107,6 +107,8 @@ def write(df: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest", F.sha1("payload"))
     long = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("id", "url", "digest")
     held = long.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("id", "url")).alias("held")).where("n > 1").select("digest", F.col("held.id").alias("held"), F.col("held.url").alias("held_url"))
+    # written first, so that its size is known and few repeated payloads are joined without shuffling the pages
+    held = _shared.materialize(held, "warc-held")
     marked = rows.join(held, "digest", "left").withColumn("held", F.when(F.col("id").eqNullSafe(F.col("held")), None).otherwise(F.col("held")))
     ordered = marked.select("id", "url", "payload", "digest", "held", "held_url").repartitionByRange("id", "digest").sortWithinPartitions("id", "digest", "url")
 
