@@ -65,7 +65,7 @@ def _both(spark_cols, sql_cols):
 SCALARS = {
     # geometry over pairs of boxes
     "box_iou": ("pairs", "image_id sa sb", {"iou": (lambda: _r(geometry.iou(_a(), _b())), f"round({_I} / greatest(1, {_AA} + {_AB} - {_I}), 6)")}),
-    "box_match_score": ("pairs", "image_id sa sb", {"score": (lambda: _r(geometry.match_score(_a(), _b())), f"round(greatest({_I} / greatest(1, {_AA} + {_AB} - {_I}), CAST(0.82 AS DOUBLE) * CAST({_I} AS DOUBLE) / least(greatest(1, {_AA}), greatest(1, {_AB}))), 6)")}),
+    "box_match_score": ("pairs", "image_id sa sb", {"score": (lambda: F.round(geometry.match_score(_a(), _b()), 9), f"round(greatest({_I} / greatest(1, {_AA} + {_AB} - {_I}), CAST(0.82 AS DOUBLE) * CAST({_I} AS DOUBLE) / least(greatest(1, {_AA}), greatest(1, {_AB}))), 9)")}),
     "intersection_ratio": ("pairs", "image_id sa sb", {"ratio": (lambda: _r(geometry.of_smaller(_a(), _b())), f"round(CAST({_I} AS DOUBLE) / least({_AA}, {_AB}), 6)")}),
     "containment_ratio": ("pairs", "image_id sa sb", {"ratio": (lambda: _r(geometry.containment(_a(), _b())), f"round(CAST({_I} AS DOUBLE) / {_AA}, 6)")}),
     "coverage": ("pairs", "image_id sa sb", {"covered": (lambda: _r(geometry.coverage(_a(), _b())), f"round({_I} / greatest(1.0, CAST({_AA} AS DOUBLE)), 6)")}),
