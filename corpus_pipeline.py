@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidentia.llm import _shared, decontaminate, knn_quality, packing, simhash, toxicity
+from evidentia.llm import _shared, decontaminate, knn_quality, near_copies, packing, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each class of near duplicates."""
-    return simhash.keep_one(docs)
+    """The document of the least id of each class that five-word shingles of Jaccard similarity 0.8 or more connect."""
+    return near_copies.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

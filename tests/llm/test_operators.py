@@ -7,11 +7,12 @@ import random
 import re
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.llm import chat_quotes, chroma, components, decontaminate, encode, knn_quality, langid, packing, simhash, token_store, toxicity, warc
+from evidentia.llm import chat_quotes, chroma, components, decontaminate, encode, knn_quality, langid, near_copies, packing, simhash, token_store, toxicity, warc
 from evidentia.llm._shared import scratch
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -341,3 +342,39 @@ def test_language(spark, monkeypatch):
     assert net.positions(b"gend").shape == (4, 2)
     none = langid.identify(docs, langid.fit([], []))
     assert none.where("language.lang <> 'und'").count() == 0
+
+
+def test_near_copies_from_four_fifths(spark, monkeypatch):
+    rng = random.Random(9)
+    pool = [f"w{k}" for k in range(300)]
+    boiler = words(rng, 12, pool)
+    texts = [None, "", " ", "a b", "A  b", "a b c"]
+    for k in range(30):
+        base = words(rng, rng.randint(5, 120), pool).split()
+        texts.append(" ".join(base) + (" " + boiler if k % 3 == 0 else ""))
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(pool)
+            texts.append(" ".join(copy[rng.randint(0, 4) :]) + (" " + boiler if k % 3 == 0 else ""))
+    texts += [" ".join(f"c{k}" for k in range(60)) + f" {e}" for e in ("x", "y", "z")] + [texts[8]]
+
+    def shingles(text):
+        w = (text or "").lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root, found = [shingles(t) for t in texts], list(range(len(texts))), []
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] | sets[b])
+            if not both or 5 * len(sets[a] & sets[b]) >= 4 * both:
+                found.append(1.0 if not both else len(sets[a] & sets[b]) / both)
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if x == old else x for x in root]
+    assert sum(0.8 <= j < 0.9 for j in found) > 20
+    docs = spark.createDataFrame([*((k, t) for k, t in enumerate(texts)), (7, texts[7])], "doc_id long, text string")
+    for common, pivots in ((4, 2), (1, 0)):  # neither the order of the shingles nor the first comparisons may change the result
+        monkeypatch.setattr(near_copies, "COMMON", common)
+        monkeypatch.setattr(near_copies, "PIVOTS", pivots)
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(root))
+    assert near_copies.keep_one(docs.limit(0)).count() == 0
