@@ -378,3 +378,33 @@ def test_near_copies_from_four_fifths(spark, monkeypatch):
         monkeypatch.setattr(near_copies, "PIVOTS", pivots)
         assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == sorted(set(root))
     assert near_copies.keep_one(docs.limit(0)).count() == 0
+
+
+def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+
+    def noise(n):
+        return rng.integers(0, 1 << 32, n, dtype=np.uint64).astype(np.uint32)
+
+    own = []
+    for _ in range(12):
+        a = noise(24)
+        b = a ^ (np.uint32(1) << rng.integers(0, 32, 24).astype(np.uint32))
+        b[10:14] = a[10:14]
+        decoy = noise(24)  # it has the one key that a and b share, and aligns with neither
+        decoy[3:7] = a[10:14]
+        own += [a, np.concatenate([noise(5), b]), decoy, noise(9)]
+    prints = rng.permutation(len(own)).tolist()
+    root, at = list(range(len(own))), [chroma.keys(x, 4) for x in own]
+    for i in range(len(own)):
+        for j in range(i):
+            offsets = [q - p for p, h in zip(*at[i], strict=True) for q, g in zip(*at[j], strict=True) if g == h]
+            if offsets:
+                _, n, wrong = chroma.stretch(own[i], own[j], max(offsets, key=offsets.count), 10)
+                if n >= 8 and wrong <= 0.15 * 32 * n:
+                    root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
+    assert sum(prints[k + 2] < min(prints[k], prints[k + 1]) for k in range(0, len(own), 4)) > 1 and len(set(root)) == 36
+    made = spark.createDataFrame([(k, x.view(np.int32).tolist(), p) for k, (x, p) in enumerate(zip(own, prints, strict=True))], "id long, items array<int>, print long")
+    monkeypatch.setattr(chroma, "fingerprint", lambda *_, **__: made)
+    got = sorted(chroma.align(made, pcm_col="items").collect())
+    assert [r.recording_id for r in got] == root
