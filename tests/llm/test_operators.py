@@ -408,3 +408,7 @@ def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
     monkeypatch.setattr(chroma, "fingerprint", lambda *_, **__: made)
     got = sorted(chroma.align(made, pcm_col="items").collect())
     assert [r.recording_id for r in got] == root
+    for r in got:  # both ends of an alignment name it
+        assert (r.offset is None) == (root.count(root[r.id]) == 1)
+        if r.offset is not None:
+            assert got[r.aligned_with].aligned_with == r.id and got[r.aligned_with].offset == -r.offset
