@@ -388,9 +388,11 @@ def budgeted_focus(spark, d):
 
 @query()
 def text_similarity(spark, d):
-    t = base(spark, d, "texts")
-    a, b = (t.where(f"turn = {k}").select("conv_id", F.col("text").alias(n)) for k, n in ((0, "a"), (1, "b")))
-    return a.join(b, "conv_id").select("conv_id", F.round(greedy.dice(F.col("a"), F.col("b")), 6).alias("dice"), F.round(greedy.similarity(F.col("a"), F.col("b")), 6).alias("sequence"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    t = base(spark, d, "texts").select("conv_id", "turn", F.lag("text").over(w).alias("a"), F.col("text").alias("b"), F.row_number().over(w).alias("nth"))
+    return t.where("nth > 1").select("conv_id", "turn", F.round(greedy.dice(F.col("a"), F.col("b")), 6).alias("dice"), F.round(greedy.similarity(F.col("a"), F.col("b")), 6).alias("sequence"))
 
 
 _COLS = ("kind", "status", "x0", "confidence")

@@ -188,3 +188,11 @@ def test_queries_equal_sql(spark, name):
 
 def test_registry_is_complete():
     assert set(registry.oracle_sql()) <= set(registry.queries()) and registry.FLAGSHIP in registry.queries()
+
+
+def test_text_similarity_compares_each_message_with_the_one_before(spark, tmp_path):
+    said = [(1, 0, "u", "abcd"), (1, 1, "a", "abcd"), (1, 5, "u", "abxy"), (2, 3, "u", "night"), (2, 4, "a", "nacht"), (3, 1, "u", "alone"), (4, 0, "u", None), (4, 2, "a", "ab")]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(r.conv_id, r.turn): (r.dice, r.sequence) for r in registry.queries()["text_similarity"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 1), (1, 5), (2, 4), (4, 2)}
+    assert got[1, 1] == (1.0, 1.0) and got[1, 5] == (round(1 / 3, 6), 0.5) and got[2, 4][0] == 0.25 and got[4, 2][1] == 0.0
