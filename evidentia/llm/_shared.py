@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from evidentia.shipping import ship
 
@@ -48,6 +49,20 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
+def put(uri: str, data: bytes) -> None:
+    """Write a file whole or not at all, under a name of this attempt first; where another attempt was first, its file stays."""
+    fs, path = open_fs(uri)
+    temp = f"{path}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(temp) as f:
+        f.write(data)
+    try:
+        fs.move(temp, path)
+    except OSError:
+        if fs.get_file_info(path).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
 @atexit.register
 def release() -> None:
     """Remove all scratch folders made so far."""
@@ -79,40 +94,80 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow() with this package importable in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... in order, so that no name of its own, repeated, dotted or clashing, can be misread."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def position(df: DataFrame, name: str) -> int:
+    """Where the column of that name is: the first that equals it, else the first that does but for case."""
+    found = [k for k, c in enumerate(df.columns) if c == name] or [k for k, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if not found:
+        raise ValueError(f"no column {name!r} among {df.columns}")
+    return found[0]
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """The column of positional(df) that stands for that name."""
+    return F.col(f"c{position(df, name)}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def carried(df: DataFrame, carry: list[str] | None, name: str) -> tuple[list[str], list[int]]:
+    """The names and positions of the columns to keep, all by default, but for those called name."""
+    names = [c for c in (df.columns if carry is None else carry) if c.lower() != name.lower()]
+    return names, [k for k, c in enumerate(df.columns) if c.lower() != name.lower()] if carry is None else [position(df, c) for c in names]
+
+
 def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], pa.Array]], result: str, *, carry: list[str] | None = None, name: str = "result") -> DataFrame:
     """Append one column that a function of whole texts makes, without a shuffle.
 
     make() runs once in each task and returns the function, which takes the texts
     (null included) of one of text_slices() and returns an Arrow array of the
-    DDL type result.
-    carry names the columns to keep, all by default; name must not be one of them.
+    DDL type result. carry names the columns to keep, all by default, whatever
+    their names; one that is called name as well is replaced, as withColumn()
+    would do.
     """
-    carry = df.columns if carry is None else carry
-    kept = df.select(*carry, F.col(text_col).alias("__annotated"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*carry).schema), f"`{name}` {result}"])
+    names, at = carried(df, carry, name)
+    flat = positional(df)
+    kept = flat.select(*(F.col(f"c{k}") for k in at), column(df, text_col).alias("text"))
+    made = [f"k{k}" for k in range(len(at))] + ["made"]
+    schema = StructType([*(StructField(c, flat.schema[k].dataType) for c, k in zip(made, at)), *StructType.fromDDL(f"made {result}")])
 
     def run(batches):
         of = make()
         for batch in batches:
             for lo, n in text_slices(batch.column(batch.num_columns - 1)):
-                part = batch.slice(lo, n)
-                *columns, texts = part.columns
-                yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], [*carry, name])
+                *columns, texts = batch.slice(lo, n).columns
+                yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], made)
+
+    return map_arrow(kept, run, schema).toDF(*names, name)
 
-    return map_arrow(kept, run, schema)
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, mod: int, held: int, limit: int, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """text and y (0 or 1) of at most limit labelled ids outside the held-out fold, in the order of a hash of the id; written to the shared folder.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, mod: int, held: int, limit: int, name: str, id_col: str = "doc_id") -> DataFrame:
-    """text and y (0 or 1) of at most limit labelled rows outside the held-out fold, in the order of a hash of the id; written to the shared folder."""
-    known = labels.where(F.col(label).isNotNull() & (fold(id_col, mod) != held) & F.col(id_col).isNotNull())
-    known = known.groupBy(id_col).agg(F.max(label).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(limit)
-    return materialize(docs.select(id_col, "text").join(F.broadcast(known), id_col).select("text", "y"), name)
+    An id that occurs more than once gives one row: its greatest label, and its
+    least text that is not null.
+    """
+    flat = positional(labels).select(column(labels, id_col).alias("id"), column(labels, label).cast("int").alias("y"))
+    known = flat.where(F.col("y").isNotNull() & F.col("id").isNotNull() & (fold("id", mod) != held))
+    known = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
+    texts = positional(docs).select(column(docs, id_col).alias("id"), column(docs, text_col).alias("text"))
+    return materialize(texts.join(F.broadcast(known), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), name)
 
 
 def text_slices(texts: pa.Array, limit: int = 8 << 20) -> Iterator[tuple[int, int]]:

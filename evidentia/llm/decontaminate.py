@@ -7,16 +7,18 @@ up to m - BLOCK + 1 words; at shift 0 the block's bucket names the patterns that
 end in it, told apart by their first word and confirmed by comparison.
 
 Items are spread over blocks of about BLOCK_BYTES, each a file in the shared
-folder. With one block a worker builds its tables once; with more it builds
-each in turn for every batch of documents, so memory doesn't grow with the
-benchmark, and no document is joined or shuffled in either case.
+folder. With one block the documents are scanned once and nothing is shuffled.
+With more there is one scan for each block, whose tables each worker builds
+once, so memory doesn't grow with the benchmark; a scan gives rows for documents
+with hits only, and those of one document are then merged.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections import defaultdict
-from functools import lru_cache
+from collections.abc import Iterable
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -98,7 +100,7 @@ def _load(uri: str, window: int) -> list[WuManber]:
 
 def _write_blocks(items: DataFrame, id_col: str, text_col: str, path: str) -> list[str]:
     """Spread the items over files of about BLOCK_BYTES; returns their URIs."""
-    rows = items.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.col(text_col).alias("text"))
+    rows = _shared.positional(items).select(F.coalesce(_shared.column(items, id_col).cast("string"), F.lit("")).alias("id"), _shared.column(items, text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
     def run(batches):
@@ -126,40 +128,84 @@ def occurrences(df: DataFrame, items: DataFrame, *, text_col: str = "text", item
     (ids as text, sorted, of the items that occur) and spans (first and last
     word of each run of hit words). Null and empty texts have no words; a null
     item id counts as ''; items of equal text, or rows of equal id, count alike.
+    An empty table gives no rows, empty items no hit; a column that is called
+    name is replaced, all others stay.
     """
     path = _shared.scratch(df.sparkSession, "benchmark")
     blocks = _write_blocks(items, item_id, item_text, path)
+    if len(blocks) > 1:
+        return _over_blocks(df, blocks, text_col, window, carry, name)
 
     def make():
+        tables = _load(blocks[0], window) if blocks else []
+
         def of(texts):
             split = [words(t) for t in texts]
-            found: list[tuple[list, set]] = [([], set()) for _ in split]
-            for uri in blocks:
-                for table in _load(uri, window):
-                    for w, (at, names) in zip(split, found, strict=True):
-                        for first, items in table.find(w):
-                            at.append((first, first + table.m - 1))
-                            names |= items
-            rows = []
-            for w, (at, names) in zip(split, found, strict=True):
-                spans: list[dict] = []
-                for first, last in sorted(at):
-                    if spans and first <= spans[-1]["last"] + 1:
-                        spans[-1]["last"] = max(last, spans[-1]["last"])
-                    else:
-                        spans.append({"first": first, "last": last})
-                rows.append({"n_words": len(w), "n_hit": sum(s["last"] - s["first"] + 1 for s in spans), "items": sorted(names), "spans": spans})
-            return pa.array(rows, _TYPE)
+            return pa.array([_merged(len(w), at, names) for w, (at, names) in zip(split, _search(split, tables), strict=True)], _TYPE)
 
         return of
 
     return _shared.annotate(df, text_col, make, RESULT, carry=carry, name=name)
 
 
+def _search(split: list[list[bytes]], tables: list[WuManber]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For each sequence of words the (first, last) words of occurrences and the items that occur."""
+    found: list[tuple[list, set]] = [([], set()) for _ in split]
+    for table in tables:
+        for w, (at, names) in zip(split, found, strict=True):
+            for first, items in table.find(w):
+                at.append((first, first + table.m - 1))
+                names |= items
+    return found
+
+
+def _merged(n_words: int, at: list[tuple[int, int]], names: Iterable[str]) -> dict:
+    spans: list[dict] = []
+    for first, last in sorted(at):
+        if spans and first <= spans[-1]["last"] + 1:
+            spans[-1]["last"] = max(last, spans[-1]["last"])
+        else:
+            spans.append({"first": first, "last": last})
+    return {"n_words": n_words, "n_hit": sum(s["last"] - s["first"] + 1 for s in spans), "items": sorted(names), "spans": spans}
+
+
+def _over_blocks(df: DataFrame, blocks: list[str], text_col: str, window: int, carry: list[str] | None, name: str) -> DataFrame:
+    """occurrences() by one scan for each block; the first gives every row, for its number of words."""
+    names, at = _shared.carried(df, carry, name)
+    flat = _shared.positional(df).select(*(F.col(f"c{k}") for k in at), _shared.column(df, text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    flat = _shared.materialize(flat, "texts")
+
+    def scan(uri: str, all_rows: bool) -> DataFrame:
+        def run(batches):
+            tables = _load(uri, window)
+            for batch in batches:
+                for lo, n in _shared.text_slices(batch.column(1)):
+                    part = batch.slice(lo, n)
+                    split = [words(t) for t in part.column(1).to_pylist()]
+                    rows = [(row, len(w), spans, sorted(items)) for row, w, (spans, items) in zip(part.column(0).to_pylist(), split, _search(split, tables), strict=True) if all_rows or spans]
+                    if rows:
+                        row, size, spans, items = zip(*rows, strict=True)
+                        spans = pa.array([[{"first": a, "last": b} for a, b in x] for x in spans], _TYPE.field("spans").type)
+                        yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(size), spans, pa.array(items, pa.list_(pa.string()))], ["row", "n_words", "spans", "items"])
+
+        return _shared.map_arrow(flat.select("row", "text"), run, "row long, n_words long, spans array<struct<first: int, last: int>>, items array<string>")
+
+    found = reduce(DataFrame.unionByName, [scan(uri, k == 0) for k, uri in enumerate(blocks)])
+    found = _shared.materialize(found, "hits").groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def merge(batches):
+        for batch in batches:
+            rows = [_merged(n, [(s["first"], s["last"]) for s in spans], items) for n, spans, items in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _TYPE)], ["row", "made"])
+
+    made = _shared.map_arrow(found, merge, f"row long, made {RESULT}")
+    return flat.join(made, "row").select(*(F.col(f"c{k}") for k in at), "made").toDF(*names, name)
+
+
 def drop_contaminated(df: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of df without any occurrence; options are those of occurrences()."""
-    found = occurrences(df, items, **options, name="__overlap")
-    return found.where("__overlap.n_hit = 0").drop("__overlap")
+    """The rows of df without any occurrence, with the columns that they have; options are those of occurrences()."""
+    name = _shared.unused(df, "overlap")
+    return occurrences(df, items, **options, name=name).where(f"{name}.n_hit = 0").drop(name)
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

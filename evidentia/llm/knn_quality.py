@@ -1,17 +1,20 @@
 """Document quality by votes of the nearest labelled documents in a latent space.
 
-A text's terms are the adjacent pairs of its character classes (letters by
-case, digits, kinds of white space, each ASCII mark; runs count as two) and six
-that count repetition: words that repeat the one before, words and lines that
-occurred already, and their first occurrences. Their log frequencies, weighted
-by inverse document frequency, are projected on the RANK leading right singular
-vectors of the labelled sample, and made unit vectors. The sample's vectors are
-broadcast; each block of documents takes its cosines with all of them, and its
-NEIGHBOURS nearest vote with the cosine as weight.
+A text's terms are of three parts. Forms: adjacent pairs of character classes
+(letters by case, digits, kinds of white space, each ASCII mark; runs count as
+two). Words: case-folded, without the marks around them, hashed into WORDS
+buckets. Repetition: the shares of words that repeat the one before, of words
+and of lines that occurred already, and what each leaves. Log frequencies,
+weighted by inverse document frequency, make each part a unit vector; the three
+are projected on the RANK leading right singular vectors of the labelled sample
+and made unit vectors again. The sample's vectors are broadcast; each block of
+documents takes its cosines with all of them, and its NEIGHBOURS nearest, and
+all that are as near as the last of those, vote with the cosine as weight.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +29,9 @@ SAMPLE_ROWS = 6144
 RANK = 48
 NEIGHBOURS = 7
 THRESHOLD = 0.3
+#: Buckets of words, and cosines that differ by no more count as equal.
+WORDS, EQUAL = 1024, 1e-5
+_BLOCK, _CACHE_WORDS = 512, 400_000
 RESULT = "struct<score: double, neighbours: int>"
 
 
@@ -40,36 +46,67 @@ def _classes() -> tuple[np.ndarray, int]:
 
 
 _CLASS, _N = _classes()
-TERMS = _N * _N + 6
-#: How often a repetition term counts, beside pairs of characters.
-_WEIGHT = np.array([20, 1, 5, 1, 5, 1])
+_FORMS = _N * _N
+TERMS = _FORMS + WORDS + 6
+_PARTS = (slice(0, _FORMS), slice(_FORMS, _FORMS + WORDS), slice(_FORMS + WORDS, TERMS))
+_AROUND = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+
+
+class _Buckets(dict):
+    """The bucket of each word met so far."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _CACHE_WORDS:
+            self.clear()
+        self[word] = bucket = zlib.crc32(word.strip(_AROUND).casefold().encode("utf-8", "surrogatepass")) % WORDS
+        return bucket
+
+
+_bucket = _Buckets()
 
 
 def terms(text: str | None) -> np.ndarray:
-    """The counts of a text's terms; a null text is empty and has none."""
-    out = np.zeros(TERMS)
+    """Counts of forms and of words, then the three pairs of shares; a null text is empty and has none."""
+    out = np.zeros(TERMS, np.float32)
     if not text:
         return out
     c = _CLASS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
     if len(c) > 2:
         c = c[np.concatenate([[True, True], (c[2:] != c[1:-1]) | (c[1:-1] != c[:-2])])]
-    out[: _N * _N] = np.bincount(c[:-1] * _N + c[1:], minlength=_N * _N)
+    out[:_FORMS] = np.bincount(c[:-1] * _N + c[1:], minlength=_FORMS)
     words, lines = text.split(), text.split("\n")
-    again = sum(map(str.__eq__, words[1:], words))
-    new, fresh = len(set(words)), len(set(lines))
-    out[_N * _N :] = _WEIGHT * [again, max(0, len(words) - 1 - again), len(words) - new, new, len(lines) - fresh, fresh]
+    if words:
+        out[_PARTS[1]] = np.bincount(np.fromiter(map(_bucket.__getitem__, words), np.int64, len(words)), minlength=WORDS)
+    again = sum(map(str.__eq__, words[1:], words)) / max(1, len(words) - 1)
+    new, fresh = len(set(words)) / max(1, len(words)), len(set(lines)) / len(lines)
+    out[_PARTS[2]] = [again, 1 - again, 1 - new, new, 1 - fresh, fresh]
     return out
 
 
 def frequencies(texts: list[str | None]) -> np.ndarray:
-    counts = np.array([terms(t) for t in texts]).reshape(-1, TERMS)
-    return np.log1p(1000 * counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+    """Log frequencies: of forms by length, of words as they are; shares stay."""
+    out = np.array([terms(t) for t in texts], np.float32).reshape(-1, TERMS)
+    forms, words = out[:, _PARTS[0]], out[:, _PARTS[1]]
+    forms *= 1000 / np.maximum(forms.sum(1, keepdims=True), 1)
+    np.log1p(forms, out=forms)
+    np.log1p(words, out=words)
+    return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def _axes(x: np.ndarray, rank: int) -> np.ndarray:
+    """The leading right singular vectors of x, by subspace iteration from a fixed start."""
+    width = min(rank + 16, *x.shape)
+    q = np.random.default_rng(0).standard_normal((x.shape[1], width)).astype(np.float32)
+    for _ in range(8):
+        q, _ = np.linalg.qr(x.T @ (x @ q))
+    _, _, turn = np.linalg.svd(x @ q, full_matrices=False)
+    return np.ascontiguousarray((q @ turn.T)[:, :rank], np.float32)
+
+
 @dataclass
 class Model:
     """idf and axes of the projection; vectors and labels of the sample. Without labelled rows every score is base."""
@@ -80,45 +117,61 @@ class Model:
     labels: np.ndarray
     base: float = 0.5
 
+    def _weighted(self, freq: np.ndarray) -> np.ndarray:
+        freq = freq * self.idf
+        return np.concatenate([_unit(freq[:, part]) for part in _PARTS], axis=1)
+
     def place(self, freq: np.ndarray) -> np.ndarray:
-        return _unit(_unit(freq * self.idf) @ self.axes)
+        return _unit(self._weighted(freq) @ self.axes)
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, int]:
+        """The share of label 1 among the neighbours' votes; the mean label for a text without terms, or without any cosine above 0."""
         k = min(NEIGHBOURS, len(self.labels))
         if not k:
             return np.full(len(texts), self.base), 0
-        cosines = self.place(frequencies(texts)) @ self.vectors.T
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64)
-        total = weight.sum(1)
-        votes = (weight * self.labels[near]).sum(1)
-        return np.where(total > 0, votes / np.maximum(total, 1e-12), self.labels[near].mean(1)), k
+        out = []
+        for lo in range(0, len(texts), _BLOCK):
+            cosines = self.place(frequencies(texts[lo : lo + _BLOCK])) @ self.vectors.T
+            last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k] - EQUAL
+            weight = np.where(cosines >= last, np.maximum(cosines, 0), 0).astype(np.float64)
+            total = weight.sum(1)
+            out.append(np.where(total > EQUAL, weight @ self.labels / np.maximum(total, EQUAL), self.labels.mean()))
+        return np.clip(np.concatenate([*out, np.zeros(0)]), 0, 1), k
 
 
 def fit(sample: DataFrame) -> Model:
-    """Learn from sample (text, y), a written table of at most SAMPLE_ROWS rows."""
+    """Learn from sample (text, y), a written table of at most SAMPLE_ROWS rows, whose terms other than 0 reach the driver."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
                 freq = frequencies(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in freq], pa.binary()), part.column(1)], ["freq", "y"])
+                at = [np.flatnonzero(x) for x in freq]
+                yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.uint16).tobytes() for i in at], pa.binary()), pa.array([x[i].tobytes() for x, i in zip(freq, at, strict=True)], pa.binary()), part.column(1)], ["at", "freq", "y"])
 
-    rows = sorted((bytes(r[0]), r[1]) for r in _shared.map_arrow(sample, run, "freq binary, y int").collect())
+    rows = sorted((bytes(r[0]), bytes(r[1]), r[2]) for r in _shared.map_arrow(sample, run, "at binary, freq binary, y int").collect())
     if not rows:
         return Model(np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), np.zeros(0))
-    x = np.array([np.frombuffer(r, np.float32) for r, _ in rows])
+    x = np.zeros((len(rows), TERMS), np.float32)
+    for out, (at, freq, _) in zip(x, rows, strict=True):
+        out[np.frombuffer(at, np.uint16)] = np.frombuffer(freq, np.float32)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
-    weighted = _unit(x * idf)
-    _, vectors = np.linalg.eigh(weighted.T @ weighted)
-    model = Model(idf, np.ascontiguousarray(vectors[:, -RANK:]).astype(np.float32), np.zeros((0, 1)), np.array([y for _, y in rows], float))
+    idf[_PARTS[2]] = 1
+    model = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1)), np.array([y for *_, y in rows], float))
+    model.axes = _axes(model._weighted(x), RANK)
     model.vectors = model.place(x).astype(np.float32)
     return model
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None, name: str = "quality") -> DataFrame:
-    """Append the similarity-weighted share of label 1 among the nearest labelled vectors, for each whole text; empty and null texts have the zero vector, whose neighbours vote alike."""
+    """Append the similarity-weighted share of label 1 among the nearest labelled vectors, for each whole text.
+
+    Empty and null texts have no terms: they score the mean label of the sample.
+    Neighbours that are equally near all vote, so the order of the sample
+    doesn't matter. An empty table gives no rows; repeated rows score one by
+    one; a column that is called name is replaced, all others stay.
+    """
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -139,8 +192,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score THRESHOLD or more."""
-    return score(docs, train(docs, labels), name="__quality").where(F.col("__quality.score") >= THRESHOLD).drop("__quality")
+    """The rows of docs that score THRESHOLD or more, with the columns that they have."""
+    name = _shared.unused(docs, "quality")
+    return score(docs, train(docs, labels), name=name).where(F.col(f"{name}.score") >= THRESHOLD).drop(name)
 
 
 def op6_knn_quality(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """SimHash near-duplicates by tiled exact comparison of 64-bit fingerprints.
 
 Distinct fingerprints of one number of set bits are cut into tiles of about
-TILE. Two fingerprints within the radius differ by no more than it in that
+TILE, each a file that the pairs of tiles name and no shuffle carries. Two fingerprints within the radius differ by no more than it in that
 number, so a pair of tiles whose numbers lie further apart is skipped. All other
 pairs of tiles are compared in full, in numpy: exclusive or, bit count,
 threshold. A pair of tiles yields no more links than it has fingerprints: those
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm import _shared
+from evidentia.llm import _shared, tiles
 from evidentia.llm.components import components
 
 SHINGLE = 4
@@ -73,7 +73,7 @@ def fingerprints(texts: list[str | None], size: int = SHINGLE, seed: int = SEED)
 
 
 def with_fingerprint(df: DataFrame, *, text_col: str = "text", size: int = SHINGLE, seed: int = SEED, carry: list[str] | None = None, name: str = "fp") -> DataFrame:
-    """Append the fingerprint as a signed long; null and empty texts have zero."""
+    """Append the fingerprint as a signed long; null and empty texts have zero; a column that is called name is replaced."""
 
     def make():
         return lambda texts: pa.array(fingerprints(texts, size, seed).view(np.int64))
@@ -105,37 +105,18 @@ def join_tiles(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[i
     return links
 
 
-def _tiles(fps: DataFrame, tile: int) -> DataFrame:
-    """Distinct fingerprints as rows (tile, pop, bucket, fps): those of one bit count, hashed into buckets of about tile fingerprints each."""
-    counted = fps.select("fp", F.bit_count("fp").cast("int").alias("pop"))
-    # at most 65 rows, whatever the input
-    buckets = {r["pop"]: -(-r["n"] // tile) for r in counted.groupBy("pop").agg(F.count("*").alias("n")).collect()}
-    many = F.element_at(F.create_map(*(F.lit(x) for item in (buckets or {0: 1}).items() for x in item)), F.col("pop"))
-    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("fp"), many.cast("long")).cast("long"))
-    grouped = keyed.groupBy("pop", "bucket").agg(F.collect_list("fp").alias("fps"))
-    return grouped.select((F.col("pop") * F.lit(1 << 40) + F.col("bucket")).alias("tile"), "pop", "fps")
-
-
 def links(fps: DataFrame, *, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     """src, dst: links that connect the distinct fingerprints (fp long) just as all pairs within radius do."""
-    tiles = _shared.materialize(_tiles(fps, tile), "tiles")
-    about = tiles.select("tile", "pop")
-    left = about.select(F.col("tile").alias("a"), F.explode(F.sequence("pop", F.col("pop") + radius)).alias("pop"))
-    pairs = left.join(about.select(F.col("tile").alias("b"), "pop"), "pop").where("a <= b").select("a", "b")
-    pairs = _shared.materialize(pairs, "tile-pairs")
-    side_a, side_b = (tiles.select(F.col("tile").alias(k), F.col("fps").alias(f"fps_{k}")) for k in "ab")
-    joined = pairs.join(side_a, "a").join(side_b, "b").select((F.col("a") == F.col("b")).alias("same"), "fps_a", "fps_b")
-
-    def run(batches):
-        for batch in batches:
-            same, *sides = batch.columns
-            for k, one in enumerate(same.to_pylist()):
-                a, b = (x[k].values.to_numpy().view(np.uint64) for x in sides)
-                found = np.array(join_tiles(a, None if one else b, radius), np.uint64).reshape(-1, 2).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
-
-    n = pairs.count()
-    return _shared.map_arrow(joined.repartition(max(1, min(n, 2 * _shared.partitions(fps.sparkSession) + n // 16))), run, "src long, dst long")
+    items = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    tiling = tiles.write(fps.select(F.bit_count("fp").cast("int").alias("pop"), F.col("fp").alias("key"), items.alias("item")), tile, "tiles")
+    kind = np.dtype(">u8")
+
+    def run(a, b):
+        sides = [tiling.read(x, kind).astype(np.uint64) for x in dict.fromkeys((a, b))]
+        found = np.array(join_tiles(sides[0], sides[1] if a < b else None, radius), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["src", "dst"])
+
+    return tiles.pairs(fps.sparkSession, tiling, radius, run, "src long, dst long")
 
 
 def classes(fps: DataFrame, *, radius: int = RADIUS) -> DataFrame:
@@ -151,9 +132,10 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     Equal fingerprints are one node, so copies make no pairs. Texts without
     words, null ones included, share the fingerprint zero and link like any
     other. A null id keeps its row and is never a component_id while its class
-    has another. An empty table gives no rows.
+    has another. An empty table gives no rows; other columns don't matter,
+    whatever their names.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _shared.positional(df).select(_shared.column(df, id_col).cast("long").alias("doc_id"), _shared.column(df, text_col).alias("text"))
     fps = _shared.materialize(with_fingerprint(rows, size=size, carry=["doc_id"]), "doc-fingerprints")
     return _members(fps, radius).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -165,19 +147,6 @@ def _members(fps: DataFrame, radius: int) -> DataFrame:
     return fps.join(named, "fp")
 
 
-def keep_one(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of df with one of each class left: that of the least id (null last), then the least hash of the text; repeated rows count as one."""
-    key = [F.col(id_col).isNull().alias("__no_id"), F.col(id_col).cast("long").alias("__id"), F.xxhash64(text_col).alias("__hash")]
-    marked = df.select(F.col(text_col).alias("text"), *key)
-    fps = _shared.materialize(with_fingerprint(marked, size=size, carry=["__no_id", "__id", "__hash"]), "doc-fingerprints")
-    best = fps.groupBy("fp").agg(F.min(F.struct("__no_id", "__id", "__hash")).alias("best"))
-    kept = classes(fps, radius=radius).join(best, "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.coalesce("best.__id", F.lit(0)).alias("__key"), "best.*")
-    kept = _shared.materialize(kept.drop("__id"), "kept")
-    rows = df.select("*", key[0], F.coalesce(key[1], F.lit(0)).alias("__key"), key[2])
-    left = rows.join(kept, ["__key", "__no_id", "__hash"], "left_semi")
-    return left.dropDuplicates(["__key", "__no_id", "__hash"]).select(*df.columns)
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     """The fingerprint of every document and the least document that it reaches over links of at most 4 bits."""
     return near_duplicates(_shared.table(spark, sf_dir, "documents"))

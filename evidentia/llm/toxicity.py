@@ -48,24 +48,25 @@ def features(token: bytes) -> list[bytes]:
 def segments(hits: list[tuple[int, float]], drift: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last) of a sequence whose positions score -drift but for hits, (position, positive score) in order.
 
-    The linear-time scan keeps candidate segments with the cumulative score
-    before and after each; a new one is absorbed into the nearest earlier one
-    that starts lower and ends lower.
+    Candidates keep the cumulative score before and after them. A new one is
+    absorbed into the nearest earlier one that starts lower, if that ends lower;
+    only candidates that start lower than all later ones can absorb, and rising
+    has those alone, so each is pushed and popped once: linear time and memory.
     """
     found: list[tuple[float, float, int, int]] = []
+    rising: list[int] = []
     total, before = 0.0, -1
     for at, score in hits:
         total -= drift * (at - before - 1)
         left, total, first, before = total, total + score, at, at
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][0] >= left:
-                j -= 1
-            if j < 0 or found[j][1] >= total:
-                found.append((left, total, first, at))
-                break
+        while rising and found[rising[-1]][0] >= left:
+            rising.pop()
+        while rising and found[rising[-1]][1] < total:
+            j = rising.pop()
             left, first = found[j][0], found[j][2]
             del found[j:]
+        rising.append(len(found))
+        found.append((left, total, first, at))
     return [(right - left, first, last) for left, right, first, last in found]
 
 
@@ -182,7 +183,12 @@ def fit(sample: DataFrame) -> Model:
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", carry: list[str] | None = None, name: str = "toxicity") -> DataFrame:
-    """Append score (0 to 1), n_tokens and segments (first and last token, evidence in bits, p value) of each whole text; null and empty texts have no token."""
+    """Append score (0 to 1), n_tokens and segments (first and last token, evidence in bits, p value) of each whole text.
+
+    Null and empty texts have no token and no segment, and score alike; an empty
+    table gives no rows; repeated rows score one by one; a column that is called
+    name is replaced, all other columns stay as they are.
+    """
 
     def make():
         def of(texts):
@@ -205,8 +211,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that score below THRESHOLD."""
-    return score(docs, train(docs, labels), name="__toxicity").where(F.col("__toxicity.score") < THRESHOLD).drop("__toxicity")
+    """The rows of docs that score below THRESHOLD, with the columns that they have."""
+    name = _shared.unused(docs, "toxicity")
+    return score(docs, train(docs, labels), name=name).where(F.col(f"{name}.score") < THRESHOLD).drop(name)
 
 
 def op9_toxic_segments(spark, sf_dir: str) -> DataFrame:
