@@ -97,7 +97,12 @@ def partitions(spark: SparkSession) -> int:
 def map_arrow(df: DataFrame, run, schema: str | StructType) -> DataFrame:
     """df.mapInArrow() with this package importable in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()  # the worker stays, for other tasks
+
+    return df.mapInArrow(whole, schema)
 
 
 def positional(df: DataFrame) -> DataFrame:
@@ -150,7 +155,7 @@ def annotate(df: DataFrame, text_col: str, make: Callable[[], Callable[[list], p
     def run(batches):
         of = make()
         for batch in batches:
-            for lo, n in text_slices(batch.column(batch.num_columns - 1)):
+            for lo, n in text_slices(batch.column(batch.num_columns - 1), 2 << 20):
                 *columns, texts = batch.slice(lo, n).columns
                 yield pa.RecordBatch.from_arrays([*columns, of(texts.to_pylist())], made)
 

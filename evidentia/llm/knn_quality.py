@@ -31,7 +31,7 @@ NEIGHBOURS = 7
 THRESHOLD = 0.3
 #: Buckets of words, and cosines that differ by no more count as equal.
 WORDS, EQUAL = 1024, 1e-5
-_BLOCK, _CACHE_WORDS = 512, 400_000
+_BLOCK, _CACHE_WORDS = 256, 400_000
 RESULT = "struct<score: double, neighbours: int>"
 
 

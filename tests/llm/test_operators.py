@@ -226,7 +226,7 @@ def test_quotation_links(spark):
 
 def test_chroma_aligns_shifted_recordings(spark):
     rng = np.random.default_rng(0)
-    s = chroma.Settings(rate=8000, frame=512, hop=128)
+    s = chroma.Settings(rate=8000, frame=512, hop=128, least_items=8)
     t = np.arange(8000 * 3) / 8000
     song = sum(np.sin(2 * np.pi * f * t) * (np.sin(t * k) > 0) for k, f in enumerate((220, 277, 330, 415, 494), 3))
     other = np.sin(2 * np.pi * 300 * t * (1 + t / 9))
@@ -244,6 +244,55 @@ def test_chroma_aligns_shifted_recordings(spark):
     assert chroma.align(spark.createDataFrame([], "id long, pcm binary")).count() == 0
 
 
+def melody(seed: int, seconds: float, rate: int) -> np.ndarray:
+    rng, parts, n = np.random.default_rng(seed), [], 0
+    while n < seconds * rate:
+        t = np.arange(int(rate * rng.uniform(0.15, 0.6))) / rate
+        f = 220 * 2 ** (rng.integers(0, 24) / 12)
+        parts.append(np.minimum(1, t * 40) * np.exp(-2 * t) * sum(np.sin(2 * np.pi * f * k * t) / k for k in (1, 2, 3)))
+        n += len(t)
+    line = np.concatenate(parts)[: int(seconds * rate)]
+    return line / np.abs(line).max()
+
+
+def test_chroma_recall_on_shifted_and_noisy_copies(spark):
+    """All pairs by brute force over all offsets against the operator, on copies off the grid of frames, with noise, and on steady tones."""
+    s, rng, rows = chroma.Settings(), np.random.default_rng(7), []
+    for k in range(20):
+        line = melody(k, 20, s.rate)
+        rows.append((10 * k, line))
+        for n, (part, db) in enumerate(((0.5, None), (0.25, 20), (0.5, 10))):
+            copy = line[int(s.hop * (7 + part)) :]
+            noise = 0 if db is None else rng.normal(0, np.sqrt((copy**2).mean() / 10 ** (db / 10)), len(copy))
+            rows.append((10 * k + n + 1, copy + noise))
+    t = np.arange(6 * s.rate) / s.rate
+    rows += [(901, np.sin(2 * np.pi * 440 * t)), (902, 0.5 * np.sin(2 * np.pi * 440 * t + 1)[: 5 * s.rate])]
+    pcm = [(k, (x / np.abs(x).max() * 20000).astype("<i2")) for k, x in rows]
+    made = chroma.items([x.astype(np.float32) / 32767 for _, x in pcm], s)
+    want = set()
+    for i in range(len(made)):
+        for j in range(i):
+            if rows[i][0] // 10 == rows[j][0] // 10:
+                found = (chroma.stretch(made[i], made[j], o, s.item_error) for o in range(-12, 13))
+                if any(n >= s.least_items and wrong <= s.most_error * 32 * n for _, n, wrong in found):
+                    want.add((rows[j][0], rows[i][0]))
+    got = {r.id: r.recording_id for r in chroma.align(spark.createDataFrame([(k, x.tobytes()) for k, x in pcm], "id long, pcm binary")).collect()}
+    assert len(want) > 100 and sum(got[a] == got[b] for a, b in want) >= 0.95 * len(want)
+    assert got[901] == got[902] == 901 and len({got[10 * k] for k in range(20)}) == 20
+
+
+def test_chroma_recall_on_document_bytes(spark):
+    """Copies of texts behind a lead of any length, most of it off the grid of frames."""
+    rng = random.Random(21)
+    pool = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(600)]
+    rows = []
+    for k in range(48):
+        text = words(rng, 700, pool)
+        rows += [(10 * k, text), (10 * k + 1, words(rng, 200, pool)[: 300 + 4 * k] + text)]
+    got = {r.id: r.recording_id for r in chroma.align(spark.createDataFrame(rows, "id long, pcm string"), settings=chroma.BYTES, dtype="u1").collect()}
+    assert sum(got[10 * k] == got[10 * k + 1] for k in range(48)) >= 0.9 * 48 and len({got[10 * k] for k in range(48)}) == 48
+
+
 def test_segments_are_maximal():
     rng = random.Random(6)
     for _ in range(300):
@@ -421,12 +470,12 @@ def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
     for _ in range(12):
         a = noise(24)
         b = a ^ (np.uint32(1) << rng.integers(0, 32, 24).astype(np.uint32))
-        b[10:14] = a[10:14]
+        b[10:17] = a[10:17]
         decoy = noise(24)  # it has the one key that a and b share, and aligns with neither
-        decoy[3:7] = a[10:14]
+        decoy[3:10:3] = a[10:17:3]
         own += [a, np.concatenate([noise(5), b]), decoy, noise(9)]
     prints = rng.permutation(len(own)).tolist()
-    root, at = list(range(len(own))), [chroma.keys(x, 4) for x in own]
+    root, at = list(range(len(own))), [chroma.keys(x, 3, 3) for x in own]
     for i in range(len(own)):
         for j in range(i):
             offsets = [q - p for p, h in zip(*at[i], strict=True) for q, g in zip(*at[j], strict=True) if g == h]
@@ -437,7 +486,7 @@ def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
     assert sum(prints[k + 2] < min(prints[k], prints[k + 1]) for k in range(0, len(own), 4)) > 1 and len(set(root)) == 36
     made = spark.createDataFrame([(k, x.view(np.int32).tolist(), p) for k, (x, p) in enumerate(zip(own, prints, strict=True))], "id long, items array<int>, print long")
     monkeypatch.setattr(chroma, "fingerprint", lambda *_, **__: made)
-    got = sorted(chroma.align(made, pcm_col="items").collect())
+    got = sorted(chroma.align(made, pcm_col="items", settings=chroma.Settings(least_items=8)).collect())
     assert [r.recording_id for r in got] == root
     for r in got:  # both ends of an alignment name it
         assert (r.offset is None) == (root.count(root[r.id]) == 1)
