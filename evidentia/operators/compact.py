@@ -24,26 +24,27 @@ def column_statistics(df: DataFrame, group: str, columns: list[str]) -> DataFram
     counts = long.groupBy(group, "column", "v").agg(F.count("*").alias("n"), F.max("null").alias("null"))
     every = counts.groupBy(group, "column").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"), F.max("null").alias("any_null"), F.min("null").alias("only_null"), F.max(F.struct("n", "v")).alias("top"))
     how = F.when(F.col("only_null"), "dropped").when(F.col("kinds") == 1, "constant").when(~F.col("any_null") & (F.col("top.n") >= DEFAULT_SHARE * F.col("all")), "default").otherwise("kept")
-    return every.select(group, "column", how.alias("how"), F.when(how.isin("constant", "default"), F.get_json_object("top.v", "$.v")).alias("value"))
+    return every.select(group, "column", how.alias("how"), F.when(how.isin("constant", "default"), F.get_json_object("top.v", "$.v")).alias("value"), F.when(how.isin("constant", "default"), F.regexp_replace("top.v", r'^\{"v":|\}$', "")).alias("json"))
 
 
-def encode(rows: list[list], columns: list[str]) -> dict:
-    """One compact table from values in memory: a null cell stands for the column's default where it has one."""
-    constants, defaults, kept = {}, {}, []
-    for k, c in enumerate(columns):
-        cells = [json.dumps(r[k], ensure_ascii=False, sort_keys=True) for r in rows]
-        if rows and all(x == "null" for x in cells):
-            continue
-        if len(rows) > 1 and len(set(cells)) == 1:
-            constants[c] = rows[0][k]
-            continue
-        top = max(dict.fromkeys(cells), key=cells.count, default=None)
-        if len(rows) > 1 and "null" not in cells and cells.count(top) >= DEFAULT_SHARE * len(rows):
-            defaults[c] = json.loads(top)
-        kept.append(k)
-    lines = [[None if columns[k] in defaults and r[k] == defaults[columns[k]] else r[k] for k in kept] for r in rows]
-    out = {"encoding": "jsonl-arrays", "columns": [columns[k] for k in kept], "count": len(rows), "rows": "\n".join(json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in lines)}
-    return out | ({"constants": constants} if constants else {}) | ({"defaults": defaults} if defaults else {})
+def sparse_table(df: DataFrame, group: str, seq: str, columns: list[str]) -> DataFrame:
+    """One compact table for each group: count, constants and defaults (JSON objects), kept column names, and rows as JSON arrays, one a line.
+
+    What column_statistics() finds decides: dropped and constant columns leave
+    the rows, and a null cell of a default column stands for its default. A
+    table of one row keeps every column that isn't null.
+    """
+    stats = column_statistics(df, group, columns)
+    sizes = df.groupBy(group).agg(F.count("*").alias("count"))
+    stats = stats.join(sizes, group).withColumn("how", F.when((F.col("count") == 1) & (F.col("how") != "dropped"), "kept").otherwise(F.col("how")))
+    order = F.create_map(*(x for k, c in enumerate(columns) for x in (F.lit(c), F.lit(k))))
+    told = stats.groupBy(group, "count").agg(*(F.map_from_entries(F.collect_list(F.when(F.col("how") == how, F.struct("column", "json")))).alias(how) for how in ("constant", "default")), F.transform(F.array_sort(F.collect_list(F.when(F.col("how").isin("default", "kept"), F.struct(order[F.col("column")].alias("k"), "column")))), lambda x: x["column"]).alias("columns"))
+    cells = F.create_map(*(x for c in columns for x in (F.lit(c), F.regexp_replace(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{(?:"v":)?|\}$', ""))))
+    rows = df.select(group, seq, cells.alias("cells")).join(told, group)
+    line = F.transform("columns", lambda c: F.when((F.col("cells")[c] == "") | F.col("cells")[c].eqNullSafe(F.col("default")[c]), F.lit("null")).otherwise(F.col("cells")[c]))
+    row = F.concat(F.lit("["), F.array_join(line, ","), F.lit("]"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("k"), row.alias("r")))), lambda x: x["r"])
+    return rows.groupBy(group, "count", "constant", "default", "columns").agg(F.array_join(lines, "\n").alias("rows"))
 
 
 def decode(table: dict) -> list[dict]:

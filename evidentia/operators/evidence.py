@@ -130,8 +130,8 @@ def budget_gate(jobs: DataFrame, cost: str, day: str, order: str, consent: float
 
 
 def sweep(jobs: DataFrame, now: Column, ttl_seconds: int, most: int) -> DataFrame:
-    """Jobs that stay in the store: all live ones; finished ones younger than the TTL, of those the newest."""
+    """Jobs that stay in the store: all live ones; finished ones younger than the TTL, of those the newest, most in all."""
     finished = F.col("status").isin("complete", "failed", "cancelled")
-    young = jobs.where(~finished | (now.cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double") < ttl_seconds))
-    rank = F.row_number().over(Window.partitionBy(finished).orderBy(F.col("created_at").desc(), F.col("job_id").desc()))
-    return young.withColumn("__rank", rank).where(~finished | (F.col("__rank") <= most)).drop("__rank")
+    young = now.cast("timestamp").cast("double") - F.col("created_at").cast("timestamp").cast("double") < ttl_seconds
+    kept = jobs.where(finished & young).orderBy(F.col("created_at").desc(), F.col("job_id").desc()).limit(most)
+    return jobs.where(~F.coalesce(finished, F.lit(False))).unionByName(kept)

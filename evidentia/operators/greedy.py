@@ -6,6 +6,7 @@ seq first, so that results don't depend on the order of arrival.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 
@@ -110,37 +111,66 @@ def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *
     return df.select(cols).groupBy(group).applyInPandas(run, f"{group} long, seq int, rank int")
 
 
-def first_fit(df: DataFrame, group: str, order: list[str], joins: Callable[[pd.Series, list[pd.Series]], bool]) -> DataFrame:
-    """Each row in turn joins the first band for which joins(row, members) holds, or begins one: group, seq, band."""
+def first_fit(df: DataFrame, group: str, order: list[str], band: Callable[[], Band]) -> DataFrame:
+    """Each row in turn joins the first band that takes it, or begins one: group, seq, band."""
     ship(df.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bands: list[list[pd.Series]] = []
-        out = []
-        for _, row in pdf.sort_values([*order, "seq"], ignore_index=True).iterrows():
-            k = next((k for k, band in enumerate(bands) if joins(row, band)), len(bands))
+        pdf = pdf.sort_values([*order, "seq"], ignore_index=True)
+        bands, out = [], []
+        for box in pdf[SIDES].itertuples(index=False, name=None):
+            k = next((k for k, b in enumerate(bands) if b.takes(box)), len(bands))
             if k == len(bands):
-                bands.append([])
-            bands[k].append(row)
-            out.append((row[group], row["seq"], k + 1))
-        return pd.DataFrame(out, columns=[group, "seq", "band"])
+                bands.append(band())
+            bands[k].add(box)
+            out.append(k + 1)
+        return pd.DataFrame({group: pdf[group], "seq": pdf.seq, "band": out})
 
     return df.groupBy(group).applyInPandas(run, f"{group} long, seq int, band int")
 
 
-def same_column(tolerance: float) -> Callable:
-    """Joins a band whose last member's centre is at most tolerance away in x."""
-    return lambda row, band: abs((row.x0 + row.x1) / 2 - (band[-1].x0 + band[-1].x1) / 2) <= tolerance
+class Band:
+    """What a band remembers of its members: enough to say whether it takes one more."""
+
+    def takes(self, box: tuple) -> bool:
+        raise NotImplementedError
+
+    def add(self, box: tuple) -> None:
+        raise NotImplementedError
+
+
+class SameColumn(Band):
+    """Takes a box whose centre is at most tolerance from that of the last member in x."""
+
+    def __init__(self, tolerance: float):
+        self.tolerance, self.centre = tolerance, None
+
+    def takes(self, box):
+        return abs((box[0] + box[2]) / 2 - self.centre) <= self.tolerance
+
+    def add(self, box):
+        self.centre = (box[0] + box[2]) / 2
 
 
-def same_row(least: float) -> Callable:
-    """Joins a band whose box, over all members, overlaps by that share of the lesser height."""
+class SameRow(Band):
+    """Takes a box that overlaps the extent of all members by that share of the lesser height."""
 
-    def joins(row, band):
-        y0, y1 = min(b.y0 for b in band), max(b.y1 for b in band)
-        return min(row.y1, y1) - max(row.y0, y0) >= least * min(row.y1 - row.y0, y1 - y0)
+    def __init__(self, least: float):
+        self.least, self.top, self.bottom = least, None, None
 
-    return joins
+    def takes(self, box):
+        return min(box[3], self.bottom) - max(box[1], self.top) >= self.least * min(box[3] - box[1], self.bottom - self.top)
+
+    def add(self, box):
+        self.top, self.bottom = (box[1], box[3]) if self.top is None else (min(self.top, box[1]), max(self.bottom, box[3]))
+
+
+def same_column(tolerance: float) -> Callable[[], Band]:
+    return lambda: SameColumn(tolerance)
+
+
+def same_row(least: float) -> Callable[[], Band]:
+    return lambda: SameRow(least)
 
 
 def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
@@ -148,13 +178,15 @@ def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: floa
     ship(df.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made: list[list[float]] = []
+        sums: list[float] = []
+        sizes: list[int] = []
         for v in sorted(pdf[value].tolist()):
-            if made and abs(v - sum(made[-1]) / len(made[-1])) <= tolerance:
-                made[-1].append(v)
-            else:
-                made.append([v])
-        return pd.DataFrame({group: pdf[group].iloc[0], "cluster": range(1, len(made) + 1), "n": [len(m) for m in made], "mean": [sum(m) / len(m) for m in made]})
+            if not sums or abs(v - sums[-1] / sizes[-1]) > tolerance:
+                sums.append(0)
+                sizes.append(0)
+            sums[-1] += v
+            sizes[-1] += 1
+        return pd.DataFrame({group: pdf[group].iloc[0], "cluster": range(1, len(sums) + 1), "n": sizes, "mean": [s / n for s, n in zip(sums, sizes, strict=True)]})
 
     return df.select(group, value).groupBy(group).applyInPandas(run, f"{group} long, cluster int, n long, mean double")
 
@@ -188,13 +220,18 @@ def similarity(left, right):
 
 
 def dice(left, right):
-    """Twice the shared character pairs over all of both texts, as a multiset; null where neither has a pair."""
-
-    def pairs(c):
-        n = F.length(c) - 1
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(c, i, 2))).otherwise(F.array().cast("array<string>"))
+    """Twice the shared character pairs over all of both texts, as a multiset, in one pass over each; null where neither has a pair or either text is null."""
 
-    a, b = pairs(left), pairs(right)
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(F.size(F.filter(a, lambda x: x == g)), F.size(F.filter(b, lambda x: x == g))))
-    total = F.size(a) + F.size(b)
-    return F.when(total > 0, 2.0 * shared / total)
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            if x is None or y is None:
+                out.append(None)
+                continue
+            p, q = (Counter(map(str.__add__, t, t[1:])) for t in (x, y))
+            total = max(len(x) - 1, 0) + max(len(y) - 1, 0)
+            out.append(2.0 * (p & q).total() / total if total else None)
+        return pd.Series(out, dtype=float)
+
+    return share(left, right)

@@ -127,3 +127,58 @@ def role(kind: Column, labelled: Column, over_text: Column) -> Column:
         .when(kind == "image", F.when(over_text, "raster-forbidden-overlaps-text").otherwise("raster-asset-candidate"))
         .otherwise(F.coalesce(kind, F.lit("unknown")))
     )
+
+
+def inside_parts(outer: DataFrame, inner: DataFrame, pad: int = 4, group: str = "image_id", key: str = "seq") -> DataFrame:
+    """Each inner box that lies in an outer one, up to pad pixels beyond its edges: group, key of the outer box, part, kind of the part; no box is its own part."""
+    wide = outer.withColumn("own", geometry.box(*geometry.SIDES)).withColumns({"x0": F.col("x0") - pad - 1, "y0": F.col("y0") - pad - 1, "x1": F.col("x1") + pad + 1, "y1": F.col("y1") + pad + 1})
+    pairs = overlapping(wide, inner, group).where((F.col(f"a_{key}") != F.col(f"b_{key}")) & geometry.inside(F.col("b_box"), F.col("a_own"), pad))
+    return pairs.select(group, F.col(f"a_{key}").alias(key), F.col(f"b_{key}").alias("part"), F.col("b_kind").alias("part_kind"))
+
+
+def section_role(kind: Column, box: Column, n_texts: Column, n_buttons: Column, cap_height: Column, largest_cap: Column, width: int, height: int) -> Column:
+    """A section's role by its place, size and content; the first rule that holds decides."""
+    w, h, top = geometry.width(box), geometry.height(box), box["y0"]
+    return (
+        F.when(kind == "texture", "graphic")
+        .when((h < height * 0.18) & (top < height * 0.15) & (n_texts >= 2), "nav")
+        .when(n_buttons >= 2, "cta")
+        .when((h < height * 0.14) & (w < width * 0.55) & (n_texts > 0), "badge")
+        .when((top < height * 0.2) & (h < height * 0.3), "header")
+        .when(top > height * 0.85, "footer")
+        .when((cap_height > 0) & (cap_height >= largest_cap * 0.8), "hero")
+        .otherwise("content")
+    )
+
+
+def adjacent_lines(current: Column, neighbour: Column, above: bool) -> Column:
+    """Whether a line is the next one above (or below): extents that share 55 % of the narrower, centres at most 1.45 of the taller line apart."""
+    narrow = F.greatest(F.least(geometry.width(current), geometry.width(neighbour)), F.lit(1))
+    share = F.greatest(geometry.overlap_x(current, neighbour), F.lit(0)) / narrow
+    apart = ((neighbour["y0"] + neighbour["y1"]) - (current["y0"] + current["y1"])) / 2
+    tall = F.greatest(geometry.height(current), geometry.height(neighbour), F.lit(1))
+    return (share >= 0.55) & (apart < 0 if above else apart > 0) & (F.abs(apart) <= tall * 1.45)
+
+
+def located(readings: DataFrame, queries: DataFrame, group: str, *, text: str = "text", confidence: str = "confidence", key: str = "seq", most: int = 5) -> DataFrame:
+    """For each group's query the readings that equal, contain or lie in it, without regard to case: the surest, the first on ties, how many there are, and the first keys; none is found where best is null."""
+    needle, hay = F.lower(F.trim("query")), F.lower(F.col(text))
+    hits = readings.join(queries.select(group, "query"), group).where((needle != "") & (F.contains(hay, needle) | F.contains(needle, hay)))
+    best = F.max(F.struct(F.col(confidence), (-F.col(key)).alias("minus"))).alias("best")
+    found = hits.groupBy(group).agg(best, F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list(key)), 1, most).alias("matches"))
+    return queries.select(group).join(found, group, "left").select(group, (-F.col("best.minus")).alias("best"), F.col(f"best.{confidence}").alias("confidence"), F.coalesce("n", F.lit(0)).alias("n"), "matches")
+
+
+def cell_width(readings: DataFrame, group: str, *, text: str, glyph_width: str) -> DataFrame:
+    """The width of a character cell: the median of measured glyph widths, else of box width by characters; null where neither is known."""
+    by_box = F.when((F.length(text) > 0) & (F.col("x1") > F.col("x0")), (F.col("x1") - F.col("x0")) / F.length(text))
+    return readings.groupBy(group).agg(F.coalesce(F.median(F.when(F.col(glyph_width) > 0, F.col(glyph_width).cast("double"))), F.median(by_box)).alias("cell_width"))
+
+
+def unresolved_focus(readings: DataFrame, covers: DataFrame, limit: int, width: int, height: int, group: str = "image_id", key: str = "seq") -> DataFrame:
+    """Regions to look at again: unresolved readings that no cover hides by half, the least sure first, then the largest, clipped to the canvas; limit to a group."""
+    box = geometry.box(*geometry.SIDES)
+    open_ = drop_covered(readings.where("resolution = 'unresolved'"), covers, 0.5, group, key)
+    order = F.struct((-(1.0 - F.coalesce("confidence", F.lit(0.0)))).alias("sure"), (-F.greatest(geometry.area(box), F.lit(1))).alias("area"), F.col(key).alias("k"), *(F.least(F.greatest(F.col(c), F.lit(0)), F.lit(width if c[0] == "x" else height)).alias(c) for c in geometry.SIDES))
+    top = open_.groupBy(group).agg(F.slice(F.array_sort(F.collect_list(order)), 1, max(0, limit)).alias("top")).select(group, F.posexplode("top").alias("at", "r"))
+    return top.select(group, F.col("r.k").alias(key), (F.col("at") + 1).alias("rank"), F.col("r.x0").alias("x"), F.col("r.y0").alias("y"), (F.col("r.x1") - F.col("r.x0")).alias("width"), (F.col("r.y1") - F.col("r.y0")).alias("height"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from evidentia.plans import relational, scalars
+from evidentia.plans import relational, requests, scalars
 
 FLAGSHIP = "verified_claims"
 
 
 def queries() -> dict:
-    return {**scalars.queries(), **relational.queries()}
+    return {**scalars.queries(), **relational.queries(), **requests.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**scalars.oracle_sql(), **relational.oracle_sql()}
+    return {**scalars.oracle_sql(), **relational.oracle_sql(), **requests.oracle_sql()}

@@ -405,7 +405,7 @@ _COLS = ("kind", "status", "x0", "confidence")
     "boxes",
 )
 def compact_column_statistics(spark, d):
-    return compact.column_statistics(_boxes(spark, d), "image_id", list(_COLS)).drop("value")
+    return compact.column_statistics(_boxes(spark, d), "image_id", list(_COLS)).drop("value", "json")
 
 
 @query("SELECT image_id, count(*) AS count, string_agg('[' || seq || ',\"' || kind || '\",' || x0 || ']', chr(10) ORDER BY seq) AS rows FROM b_boxes GROUP BY 1", "boxes")

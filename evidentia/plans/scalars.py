@@ -102,7 +102,6 @@ SCALARS = {
     "letter_offsets": ("texts", "conv_id turn", {"n": (lambda: F.length(text.letter_offsets(_text())["text"]), rf"length(regexp_replace({_FOLD}, '[^\p{{L}}\p{{N}}]', '', 'g'))"), "last": (lambda: F.element_at(text.letter_offsets(_text())["offsets"], -1), r"CAST(length(text) - length(regexp_extract(text, '([^\p{L}\p{N}]*)$', 1)) - 1 AS INT)")}),
     "mostly_ascii": ("texts", "conv_id turn", {"out": (lambda: text.mostly_ascii(_text()), r"length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) > 0 AND length(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) >= 0.75 * length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))")}),
     "capitalize_first": ("texts", "conv_id turn", {"out": (lambda: text.capitalize_first(F.concat(F.lit("- "), F.lower(_text()))), r"concat(regexp_extract('- ' || lower(text), '(?s)^(\P{L}*)', 1), upper(regexp_extract('- ' || lower(text), '(?s)^\P{L}*(\p{L})', 1)), regexp_extract('- ' || lower(text), '(?s)^\P{L}*\p{L}(.*)$', 1))")}),
-    "clean_transcript": ("texts", "conv_id turn", {"out": (lambda: text.clean_transcript(F.concat(F.lit("Thank you for watching. [Music] \n ... "), _text())), r"(SELECT concat(upper(left(t, 1)), substr(t, 2)) FROM (SELECT trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '^[\s\-–—.•,;:!?]+', '')) AS t))")}),
     "single_line_text": ("texts", "conv_id turn", {"out": (lambda: text.single_line(_text()), r"regexp_replace(trim(regexp_replace(text, '[\n\r\\]+', ' ', 'g')), '\s+', ' ', 'g')")}),
     "seam_words": ("texts", "conv_id turn", {"out": (lambda: F.array_join(F.transform(F.split(text.collapse(_text()), " "), text.seam_word), "|"), r"array_to_string(list_transform(string_split(regexp_replace(trim(text), '\s+', ' ', 'g'), ' '), lambda w: replace(lower(trim(w, '.,!?;:…""''()[]«»—-')), 'ß', 'ss')), '|')")}),
     "path_component": ("urls", "page_id", {"out": (lambda: text.path_component(F.col("url")), "regexp_replace(left(url, 80), '[^A-Za-z0-9_-]', '_', 'g')")}),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import os
+import random
 import wave
 
 import duckdb
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import color, geometry, text, values
 from evidentia.operators import compact, evidence, greedy, sequences, spatial
-from evidentia.plans import registry
+from evidentia.plans import registry, requests
 from evidentia.sources import stores
 from evidentia.streaming import jobs, reviews
 
@@ -110,13 +112,27 @@ def test_sequences(spark):
     assert (got.first, got.last) == (60, 150)
 
 
-def test_compact_round_trip():
-    rng = np.random.default_rng(0)
-    for _ in range(50):
-        n = int(rng.integers(0, 8))
-        made = [[int(rng.integers(0, 2)) or None, "k", None, "a" if rng.random() < 0.9 else "b"] for _ in range(n)]
-        table = compact.encode(made, ["p", "q", "r", "s"])
-        assert [[row.get(c) for c in "pqrs"] for row in compact.decode(table)] == made
+def test_sparse_tables_round_trip(spark):
+    rng, rows = random.Random(3), []
+    for g in range(30):
+        kind = rng.choice(["a", "b"])
+        for k in range(rng.choice([1, 2, 12])):
+            rows.append((g, k, None if g % 3 else k / 4, kind, rng.choice(["x"] * 9 + ['y"\\']), rng.choice([1, 2, None])))
+    df = spark.createDataFrame(rows, "g long, seq int, p double, q string, r string, s int")
+    tables = compact.sparse_table(df, "g", "seq", ["p", "q", "r", "s"]).collect()
+    assert len(tables) == 30 and any(t.constant for t in tables) and any(t.default for t in tables) and any(len(t.columns) < 4 for t in tables)
+    for t in tables:
+        found = compact.decode({"count": t["count"], "columns": t.columns, "rows": t.rows, "constants": {k: json.loads(v) for k, v in t.constant.items()}, "defaults": {k: json.loads(v) for k, v in t.default.items()}})
+        assert [tuple(row.get(c) for c in "pqrs") for row in found] == [r[2:] for r in rows if r[0] == t.g]
+
+
+def test_transcripts_keep_words_that_begin_like_silence(spark):
+    said = {
+        "Something else.": "Something else.", "Young people sing.": "Young people sing.", "Music theory is hard. Social life.": "Theory is hard. Social life.", "Thank you for watching. [Music] hello": "Hello",
+        "So. you Übung": "Übung", "soß. He said so.": "Soß. He said so.", None: "", "  ": "", "- ok": "Ok",
+    }
+    df = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r.t: r.out for r in df.select("t", text.clean_transcript(F.col("t")).alias("out")).collect()} == said
 
 
 REVIEWS = "reference string, url string, seq long, similarity double, complete boolean, final boolean, checks int, failed int, worst double, total double"
@@ -167,7 +183,7 @@ def test_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 1
 
 
-SAMPLE = ["verified_claims", "machine_predicates", "best_overlap_lookup", "layout_gaps", "section_parents", "gap_sessions", "job_states", "compact_tables", "review_quality", "clean_transcript", "box_to_source", "contrast"]
+SAMPLE = ["verified_claims", "machine_predicates", "best_overlap_lookup", "layout_gaps", "section_parents", "gap_sessions", "job_states", "compact_tables", "review_quality", "box_to_source", "contrast", "job_store_sweep", "compact_column_statistics", *requests.QUERIES]
 
 
 @pytest.mark.parametrize("name", SAMPLE)
