@@ -1,7 +1,7 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
 A text is read as its runs of non-space characters, in pieces of at most
-WORD_BYTES bytes. Over each piece one network runs forwards and one backwards;
+WORD_BYTES bytes that end where a character does. Over each piece one network runs forwards and one backwards;
 at every byte position their joined states give a probability of each language.
 A document's probabilities are the means over all its positions. The networks
 are trained in numpy by backpropagation through time, with Adam, on pieces
@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import _shared
 
-#: Most labelled documents that the network is trained on, in the order of a hash of the id.
-SAMPLE_ROWS = 2048
+#: Most labelled documents that the network is trained on, in the order of a hash of the id, and most pieces of each, evenly spaced over its text: at most 17 MB reach the driver.
+SAMPLE_ROWS, SAMPLE_PIECES = 2048, 256
 WORD_BYTES = 32
 HIDDEN = 16
 STEPS, BATCH, RATE = 360, 512, 0.02
@@ -50,6 +50,20 @@ def _batch(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ahead.T, back.T, lengths
 
 
+def pieces(raw: bytes) -> list[bytes]:
+    """A run of bytes cut into pieces of at most WORD_BYTES, none within a character."""
+    if len(raw) <= WORD_BYTES:
+        return [raw]
+    out, at = [], 0
+    while at < len(raw):
+        end = min(at + WORD_BYTES, len(raw))
+        while end < len(raw) and raw[end] & 0xC0 == 0x80 and end > at + WORD_BYTES - 4:
+            end -= 1
+        out.append(raw[at:end])
+        at = end
+    return out
+
+
 def _mirror(lengths: np.ndarray, steps: int) -> np.ndarray:
     """(step, word) -> the step of the reversed word at the same byte."""
     return np.maximum(lengths[None, :] - 1 - np.arange(steps)[:, None], 0)
@@ -140,18 +154,17 @@ class Network:
             self._known, self._sums, new = {}, np.zeros((0, len(self.langs))), words
             known = self._known
         if new:
-            pieces, owner = [], []
+            parts, owner = [], []
             for k, w in enumerate(new):
-                raw = w.encode("utf-8", "surrogatepass")
-                for i in range(0, len(raw), WORD_BYTES):
-                    pieces.append(raw[i : i + WORD_BYTES])
-                    owner.append(k)
+                own = pieces(w.encode("utf-8", "surrogatepass"))
+                parts += own
+                owner += [k] * len(own)
             sums = np.zeros((len(new), len(self.langs)))
-            order = np.argsort(np.fromiter(map(len, pieces), np.int64, len(pieces)), kind="stable")
+            order = np.argsort(np.fromiter(map(len, parts), np.int64, len(parts)), kind="stable")
             owner = np.array(owner, np.int64)
             for i in range(0, len(order), _BLOCK):
                 part = order[i : i + _BLOCK]
-                logits, inside, _ = self.logits([pieces[k] for k in part.tolist()])
+                logits, inside, _ = self.logits([parts[k] for k in part.tolist()])
                 np.add.at(sums, owner[part], (_softmax(logits) * inside[:, :, None]).sum(0))
             known.update(zip(new, range(len(self._sums), len(self._sums) + len(new)), strict=True))
             self._sums = np.concatenate([self._sums, sums])
@@ -183,7 +196,7 @@ def fit(texts: list[str], langs: list[str], *, hidden: int = HIDDEN, steps: int
     pools = []
     for name in names:
         words = [w for t, x in zip(texts, langs, strict=True) if x == name for w in (t or "").encode("utf-8", "surrogatepass").split()]
-        pools.append([p for w in words for p in (w[i : i + WORD_BYTES] for i in range(0, len(w), WORD_BYTES))] or [b" "])
+        pools.append([p for w in words for p in pieces(w)] or [b" "])
     shapes = [(256, 3 * hidden), (hidden, 2 * hidden), (hidden, hidden)] * 2 + [(2 * hidden, len(names)), (len(names),)]
     net = Network(names, [(rng.standard_normal(s) * (0.3 if len(s) == 2 else 0)).astype(np.float32) for s in shapes])
     first, second = ([np.zeros_like(w) for w in net.weights] for _ in range(2))
@@ -217,18 +230,36 @@ def fit(texts: list[str], langs: list[str], *, hidden: int = HIDDEN, steps: int
 
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Network:
-    """Fit on at most SAMPLE_ROWS rows with a language outside the held-out fold; of other columns only the fold and the order use the id."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (_shared.fold(id_col, 5) != 0))
-    ids = known.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_ROWS)
-    rows = known.join(F.broadcast(ids), id_col).select(text_col, lang_col).collect()
-    rows = sorted((r[1], r[0]) for r in rows)
-    return fit([t for _, t in rows], [x for x, _ in rows])
+    """Fit on at most SAMPLE_PIECES pieces of each of at most SAMPLE_ROWS ids with a language outside the held-out fold; of other columns only the fold and the order use the id.
+
+    An id that occurs more than once gives its least text and language.
+    """
+    rows = _shared.positional(docs).select(*(_shared.column(docs, c).alias(k) for c, k in ((id_col, "id"), (text_col, "text"), (lang_col, "lang"))))
+    known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (_shared.fold("id", 5) != 0))
+    ids = known.select(F.col("id").alias("own")).distinct().orderBy(F.xxhash64("own"), "own").limit(SAMPLE_ROWS)
+    texts = known.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("own"))).groupBy("id").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
+
+    def make():
+        def of(texts):
+            out = []
+            for text in texts:
+                own = [p.decode("utf-8", "replace") for w in text.encode("utf-8", "surrogatepass").split() for p in pieces(w)]
+                out.append(" ".join(own[:: -(-len(own) // SAMPLE_PIECES) or 1]))
+            return pa.array(out)
+
+        return of
+
+    drawn = _shared.annotate(texts.select("text", "lang"), "text", make, "string", carry=["lang"], name="drawn")
+    drawn = sorted(tuple(r) for r in drawn.collect())
+    return fit([t for _, t in drawn], [x for x, _ in drawn])
 
 
 def identify(df: DataFrame, net: Network, *, text_col: str = "text", carry: list[str] | None = None, name: str = "language") -> DataFrame:
     """Append lang, score (its mean probability) and all probabilities in the order of net.langs, of each whole text.
 
-    A null text, or one without a letter, is UNKNOWN with score 0; so is every text where nothing was learned.
+    A null text, or one without a letter, is UNKNOWN with score 0; so is every
+    text where nothing was learned. Equal texts score alike; an empty table
+    gives no rows; a column that is called name is replaced, all others stay.
     """
     held = df.sparkSession.sparkContext.broadcast(net)
 
