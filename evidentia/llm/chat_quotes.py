@@ -91,7 +91,7 @@ def _parsed(df: DataFrame, text_col: str) -> DataFrame:
 
         return of
 
-    return _shared.annotate(df, text_col, make, RESULT, name="__parsed")
+    return _shared.annotate(df, text_col, make, RESULT, name="parsed")
 
 
 def _latest_before(originals: DataFrame, quotes: DataFrame) -> DataFrame:
@@ -129,23 +129,37 @@ def link(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", te
     position counts a thread's messages from 1 in order of turns, so a reply
     always comes after what it replies to; repeated rows, and rows of one turn,
     come in order of their text. Null texts are empty; rows with a null
-    conversation or turn are never linked.
+    conversation or turn are never linked, and each is at position 1. Columns of
+    df that are called like one of the new ones give way to it. An empty table
+    gives no rows.
     """
-    conv, turn = "__conv", "__turn"
-    rows = df.withColumns({conv: F.col(conv_col), turn: F.col(turn_col).cast("long")})
-    parsed = _shared.materialize(_parsed(rows, text_col), "messages")
-    keyed = parsed.where(f"{conv} IS NOT NULL AND {turn} IS NOT NULL").select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), "__parsed")
-    originals = keyed.select("conv_id", "turn", F.explode("__parsed.keys").alias("key"))
-    quotes = keyed.select("conv_id", "turn", F.explode("__parsed.quotes").alias("q")).select("conv_id", "turn", "q.*").groupBy("conv_id", "turn", "level", "key").agg(F.max("chars").alias("chars"))
+    made = ["own_text", "n_quotes", "parent_turn", "root_turn", "depth", "position"]
+    text_at = _shared.position(df, text_col)
+    kept = [k for k, c in enumerate(df.columns) if k != text_at and c.lower() not in made]
+    flat = _shared.positional(df)
+    rows = flat.select(*(F.col(f"c{k}") for k in kept), _shared.column(df, conv_col).alias("conv_id"), _shared.column(df, turn_col).cast("long").alias("turn"), F.col(f"c{text_at}").alias("text"))
+    parsed = _shared.materialize(_parsed(rows, "text").drop("text"), "messages")
+    keyed = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", "parsed")
+    originals = keyed.select("conv_id", "turn", F.explode("parsed.keys").alias("key"))
+    quotes = keyed.select("conv_id", "turn", F.explode("parsed.quotes").alias("q")).select("conv_id", "turn", "q.*").groupBy("conv_id", "turn", "level", "key").agg(F.max("chars").alias("chars"))
     found = _latest_before(originals, quotes).groupBy("conv_id", "turn", "level", "parent").agg(F.sum("chars").alias("chars"))
     best = F.max(F.struct(-F.col("level"), "chars", "parent"))
-    parents = _shared.materialize(found.groupBy("conv_id", "turn").agg(best["parent"].alias("parent")), "parents")
-    threads = _threads(parents).join(parents, ["conv_id", "turn"]).select(F.col("conv_id").alias(conv), F.col("turn").alias(turn), F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), "depth")
-    out = parsed.join(threads, [conv, turn], "left").withColumn("root_turn", F.coalesce("root_turn", turn)).withColumn("depth", F.coalesce("depth", F.lit(0)))
-    order = Window.partitionBy(conv, "root_turn").orderBy(turn, "__parsed.own")
-    out = out.withColumn("position", F.row_number().over(order))
-    kept = [c for c in df.columns if c != text_col]
-    return out.select(*kept, F.col("__parsed.own").alias("own_text"), F.size("__parsed.quotes").alias("n_quotes"), "parent_turn", "root_turn", "depth", "position")
+    parents = _shared.materialize(found.groupBy("conv_id", "turn").agg(best["parent"].alias("parent_turn")), "parents")
+    threads = _threads(parents.withColumnRenamed("parent_turn", "parent")).join(parents, ["conv_id", "turn"]).withColumnRenamed("root", "root_turn")
+    out = parsed.join(threads, ["conv_id", "turn"], "left").withColumn("root_turn", F.coalesce("root_turn", "turn")).withColumn("depth", F.coalesce("depth", F.lit(0)))
+    own = [*(f"c{k}" for k in kept), F.col("parsed.own").alias("own_text"), F.size("parsed.quotes").alias("n_quotes"), "parent_turn", "root_turn", "depth"]
+    loose = out.where("conv_id IS NULL OR turn IS NULL").select(*own, F.lit(1).alias("position"))
+    return _numbered(out.where("conv_id IS NOT NULL AND turn IS NOT NULL")).select(*own, "position").unionByName(loose).toDF(*(df.columns[k] for k in kept), *made)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """rows with position, their rank in the thread: by blocks of turns, so that no thread meets in one task."""
+    thread = ["conv_id", "root_turn"]
+    rows = rows.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    before = Window.partitionBy(*thread).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*thread, "block").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    near = F.row_number().over(Window.partitionBy(*thread, "block").orderBy("turn", "parsed.own"))
+    return rows.join(blocks, [*thread, "block"]).withColumn("position", (F.col("base") + near).cast("int"))
 
 
 def op3_quotation_links(spark, sf_dir: str) -> DataFrame:
