@@ -25,7 +25,7 @@ def parallel(requests: DataFrame, key: str, jobs: str, most: int = 4) -> DataFra
     """One row for each job of a request of 1 to most jobs, counted from 1, with the request's count; other requests give one row without a job, and an error."""
     n = F.coalesce(F.size(F.col(jobs)), F.lit(0))
     fits = n.between(1, most)
-    rows = requests.select(key, n.alias("count"), F.when(fits, F.lit(None).cast("string")).otherwise("touch_invalid_parallel").alias("error"), F.posexplode_outer(F.when(fits, F.col(jobs))).alias("at", "job"))
+    rows = requests.select(key, n.alias("count"), F.when(fits, F.lit(None).cast("string")).otherwise("invalid_parallel").alias("error"), F.posexplode_outer(F.when(fits, F.col(jobs))).alias("at", "job"))
     return rows.select(key, "count", "error", (F.col("at") + 1).alias("job_seq"), "job")
 
 

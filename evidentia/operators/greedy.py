@@ -1,13 +1,14 @@
-"""Ordered greedy steps over one picture's few boxes, by grouped pandas functions.
+"""Ordered greedy steps over one picture's few boxes.
 
-A group is one picture, whose boxes are few; its rows are put in the order of
-seq first, so that results don't depend on the order of arrival.
+A group is one picture, whose boxes are few; ties are taken in the order of
+seq, so that results don't depend on the order of arrival. Groups are not given
+a frame each: sorted partitions are read in batches, one group after another.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -54,21 +55,66 @@ def assign(scores: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
+def _starts(keys: pd.Series) -> np.ndarray:
+    """Where a new group begins, null keys being one group."""
+    before = keys.shift()
+    new = ~((keys == before) | (keys.isna() & before.isna())).to_numpy(bool)
+    new[:1] = True
+    return np.flatnonzero(new)
+
+
+def each_group(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
+    """The rows that step gives for each group's rows in order (- before a column: the greatest first; nulls last; then seq).
+
+    One sort in each partition and one pass over its batches; of a partition
+    only the rows of the group in turn and one batch are held.
+    """
+    ship(df.sparkSession)
+    keys = [c.removeprefix("-") for c in order]
+    by = [F.col(k).desc_nulls_last() if c.startswith("-") else F.col(k).asc_nulls_last() for c, k in zip(order, keys, strict=True)]
+    cols = list(dict.fromkeys([group, "seq", *keys, *columns]))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def made(rows: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame(rows, columns=[group, *names]).astype(object)
+
+        def whole(pdf: pd.DataFrame, starts: np.ndarray) -> list[tuple]:
+            parts = zip(starts, [*starts[1:], len(pdf)], strict=True)
+            return [(None if pd.isna(key) else key, *row) for i, k in parts for key in (pdf[group].iat[i],) for row in step(pdf.iloc[i:k])]
+
+        held = None
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if pdf.empty:
+                continue
+            starts = _starts(pdf[group])
+            held = pdf.iloc[starts[-1] :]
+            if len(starts) > 1:
+                yield made(whole(pdf.iloc[: starts[-1]], starts[:-1]))
+        if held is not None and len(held):
+            yield made(whole(held, np.array([0])))
+
+    ordered = df.select(cols).repartition(group).sortWithinPartitions(F.col(group), *by, F.col("seq"))
+    return ordered.mapInPandas(run, f"{group} long, {types}")
+
+
+def _boxes(pdf: pd.DataFrame) -> np.ndarray:
+    return pdf[SIDES].to_numpy(float)
+
+
 def match_one_to_one(left: DataFrame, right: DataFrame, group: str = "image_id", *, least: float = 0.30, score: Callable = iou_matrix) -> DataFrame:
     """Full outer one-to-one matching in order of the left rows: group, left_seq, right_seq, score (rounded to six places); null where one has no partner."""
-    ship(left.sparkSession)
 
-    def run(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        a, b = (x.sort_values("seq", ignore_index=True) for x in (a, b))
-        s = score(a[SIDES].to_numpy(float), b[SIDES].to_numpy(float))
+    def step(pdf: pd.DataFrame) -> list[tuple]:
+        second = pdf["__second"].to_numpy(bool)
+        p, q = pdf.seq.to_numpy()[~second], pdf.seq.to_numpy()[second]
+        s = score(_boxes(pdf)[~second], _boxes(pdf)[second])
         got = assign(s, least)
-        rows = [(key[0], int(a.seq[i]), int(b.seq[k]) if k >= 0 else None, round(float(s[i, k]), 6) if k >= 0 else None) for i, k in enumerate(got)]
-        rows += [(key[0], None, int(q), None) for k, q in enumerate(b.seq) if k not in set(got.tolist())]
-        return pd.DataFrame(rows, columns=[group, "left_seq", "right_seq", "score"]).astype({"left_seq": "Int64", "right_seq": "Int64"})
+        rows = [(int(p[i]), int(q[k]) if k >= 0 else None, round(float(s[i, k]), 6) if k >= 0 else None) for i, k in enumerate(got)]
+        return rows + [(None, int(q[k]), None) for k in sorted(set(range(len(q))) - set(got.tolist()))]
 
-    cols = [group, "seq", *SIDES]
-    renewed = right.select(*(F.col(c).alias(c) for c in cols))  # both sides may come from one table
-    return left.select(cols).groupBy(group).cogroup(renewed.groupBy(group)).applyInPandas(run, f"{group} long, left_seq long, right_seq long, score double")
+    both = [df.select(group, "seq", *SIDES, F.lit(second).alias("__second")) for df, second in ((left, False), (right, True))]
+    return each_group(both[0].unionByName(both[1]), group, ["__second"], SIDES, ["left_seq", "right_seq", "score"], "left_seq long, right_seq long, score double", step)
 
 
 def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group: str = "image_id") -> DataFrame:
@@ -93,40 +139,33 @@ def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group:
 
 def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *, limit: int | None = None, score: Callable = smaller_matrix) -> DataFrame:
     """Rows of each group in turn unless a kept one overlaps them by more: group, seq, rank. limit keeps that many, as a feature."""
-    ship(df.sparkSession)
-    keys = [c.removeprefix("-") for c in order]
-    up = [not c.startswith("-") for c in order]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*keys, "seq"], ascending=[*up, True], kind="stable", ignore_index=True)
-        s, kept = score(pdf[SIDES].to_numpy(float), pdf[SIDES].to_numpy(float)), []
+    def step(pdf: pd.DataFrame) -> list[tuple]:
+        s, kept = score(_boxes(pdf), _boxes(pdf)), []
         for i in range(len(pdf)):
             if not kept or s[i, kept].max() <= most_overlap:
                 kept.append(i)
             if limit and len(kept) == limit:
                 break
-        return pd.DataFrame({group: pdf[group][kept], "seq": pdf.seq[kept], "rank": range(1, len(kept) + 1)})
+        return [(int(q), k + 1) for k, q in enumerate(pdf.seq.to_numpy()[kept])]
 
-    cols = list(dict.fromkeys([group, "seq", *SIDES, *keys]))
-    return df.select(cols).groupBy(group).applyInPandas(run, f"{group} long, seq int, rank int")
+    return each_group(df, group, order, SIDES, ["seq", "rank"], "seq int, rank int", step)
 
 
 def first_fit(df: DataFrame, group: str, order: list[str], band: Callable[[], Band]) -> DataFrame:
     """Each row in turn joins the first band that takes it, or begins one: group, seq, band."""
-    ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, "seq"], ignore_index=True)
+    def step(pdf: pd.DataFrame) -> list[tuple]:
         bands, out = [], []
-        for box in pdf[SIDES].itertuples(index=False, name=None):
+        for seq, box in zip(pdf.seq.tolist(), _boxes(pdf).tolist(), strict=True):
             k = next((k for k, b in enumerate(bands) if b.takes(box)), len(bands))
             if k == len(bands):
                 bands.append(band())
             bands[k].add(box)
-            out.append(k + 1)
-        return pd.DataFrame({group: pdf[group], "seq": pdf.seq, "band": out})
+            out.append((seq, k + 1))
+        return out
 
-    return df.groupBy(group).applyInPandas(run, f"{group} long, seq int, band int")
+    return each_group(df, group, order, SIDES, ["seq", "band"], "seq int, band int", step)
 
 
 class Band:
@@ -175,38 +214,34 @@ def same_row(least: float) -> Callable[[], Band]:
 
 def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
     """Sorted values join the last cluster while they are within tolerance of its mean so far: group, cluster, n, mean."""
-    ship(df.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(pdf: pd.DataFrame) -> list[tuple]:
         sums: list[float] = []
         sizes: list[int] = []
-        for v in sorted(pdf[value].tolist()):
+        for v in pdf[value].tolist():
             if not sums or abs(v - sums[-1] / sizes[-1]) > tolerance:
                 sums.append(0)
                 sizes.append(0)
             sums[-1] += v
             sizes[-1] += 1
-        return pd.DataFrame({group: pdf[group].iloc[0], "cluster": range(1, len(sums) + 1), "n": sizes, "mean": [s / n for s, n in zip(sums, sizes, strict=True)]})
+        return [(k + 1, n, s / n) for k, (s, n) in enumerate(zip(sums, sizes, strict=True))]
 
-    return df.select(group, value).groupBy(group).applyInPandas(run, f"{group} long, cluster int, n long, mean double")
+    rows = df if "seq" in df.columns else df.withColumn("seq", F.lit(0))
+    return each_group(rows, group, [value], [], ["cluster", "n", "mean"], "cluster int, n long, mean double", step)
 
 
 def within_budget(df: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """Rows of each group in turn while their summed cost fits the budget; what doesn't fit is passed over: group, seq, spent."""
-    ship(df.sparkSession)
-    keys = [c.removeprefix("-") for c in order]
-    up = [not c.startswith("-") for c in order]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def step(pdf: pd.DataFrame) -> list[tuple]:
         out, spent = [], 0
-        for row in pdf.sort_values([*keys, "seq"], ascending=[*up, True]).itertuples():
-            if spent + getattr(row, cost) <= budget:
-                spent += int(getattr(row, cost))
-                out.append((getattr(row, group), row.seq, spent))
-        return pd.DataFrame(out, columns=[group, "seq", "spent"])
-
-    cols = list(dict.fromkeys([group, "seq", cost, *keys]))
-    return df.select(cols).groupBy(group).applyInPandas(run, f"{group} long, seq int, spent int")
+        for seq, price in zip(pdf.seq.tolist(), pdf[cost].tolist(), strict=True):
+            if spent + price <= budget:
+                spent += int(price)
+                out.append((seq, spent))
+        return out
+
+    return each_group(df, group, order, [cost], ["seq", "spent"], "seq int, spent int", step)
 
 
 def similarity(left, right):

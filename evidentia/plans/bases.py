@@ -58,3 +58,14 @@ class _Names(dict):
 def with_sql(names: str, body: str) -> str:
     """body with a common table expression for each named evidence table, called b_<name>."""
     return "WITH " + ", ".join(f"b_{n} AS ({base_sql(n)})" for n in names.split()) + " " + body
+
+
+def in_turn(names: str, candidates: str, order: str, empty: str, step: str, result: str, group: str = "image_id") -> str:
+    """SQL of an ordered step over each group: candidates by order, a state that begins as empty and becomes step (over the state s and the candidate c), and result over r (group, k, s, and the candidate's columns)."""
+    head = with_sql(names, "").strip() if names else "WITH"
+    head = head.replace("WITH", "WITH RECURSIVE", 1) + ("," if names else "")
+    return (
+        f"{head} c AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS k FROM ({candidates})), "
+        f"t AS (SELECT DISTINCT {group}, CAST(0 AS BIGINT) AS k, {empty} AS s FROM c UNION ALL SELECT c.{group}, c.k, {step} FROM t JOIN c ON c.{group} = t.{group} AND c.k = t.k + 1), "
+        f"r AS (SELECT c.*, t.s FROM t JOIN c ON c.{group} = t.{group} AND c.k = t.k) {result}"
+    )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from evidentia.plans import relational, requests, scalars
+from evidentia.plans import relational, requests, scalars, screens
 
 FLAGSHIP = "verified_claims"
 
 
 def queries() -> dict:
-    return {**scalars.queries(), **relational.queries(), **requests.queries()}
+    return {**scalars.queries(), **relational.queries(), **requests.queries(), **screens.queries()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**scalars.oracle_sql(), **relational.oracle_sql(), **requests.oracle_sql()}
+    return {**scalars.oracle_sql(), **relational.oracle_sql(), **requests.oracle_sql(), **screens.oracle_sql()}

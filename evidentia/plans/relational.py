@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.network import url_refusal
 from evidentia.operators import compact, documents, evidence, greedy, sequences, spatial
-from evidentia.plans.bases import HEIGHT, WIDTH, base, with_sql
+from evidentia.plans.bases import HEIGHT, WIDTH, base, in_turn, with_sql
 from evidentia.sources import stores
 from evidentia.shipping import ship
 from evidentia.streaming import jobs, reviews
@@ -357,28 +357,62 @@ def script_matching(spark, d):
     return greedy.match_one_to_one(left, right, score=greedy.script_matrix)
 
 
-@query()
+_MET = "greatest(least(x.x1, c.x1) - greatest(x.x0, c.x0), 0) * greatest(least(x.y1, c.y1) - greatest(x.y0, c.y0), 0)"
+_KEPT = "{'seq': c.seq, 'x0': c.x0, 'y0': c.y0, 'x1': c.x1, 'y1': c.y1}"
+
+
+@query(
+    in_turn(
+        "boxes", "SELECT * FROM b_boxes", "confidence DESC, y0, x0, seq", "CAST([] AS STRUCT(seq INT, x0 INT, y0 INT, x1 INT, y1 INT)[])",
+        f"CASE WHEN len(t.s) < 4 AND len(list_filter(t.s, lambda x: CAST({_MET} AS DOUBLE) / least((x.x1 - x.x0) * (x.y1 - x.y0), (c.x1 - c.x0) * (c.y1 - c.y0)) > 0.65)) = 0 THEN list_append(t.s, {_KEPT}) ELSE t.s END",
+        "SELECT image_id, seq, CAST(len(s) AS INT) AS rank FROM r WHERE len(s) > 0 AND s[-1].seq = seq",
+    )
+)
 def suppressed_boxes(spark, d):
     return greedy.suppress(_boxes(spark, d), "image_id", ["-confidence", "y0", "x0"], 0.65, limit=4)
 
 
-@query()
+@query(
+    in_turn(
+        "boxes", "SELECT *, (x0 + x1) / 2.0 AS mid FROM b_boxes WHERE y1 - y0 > 0.5 * greatest(1, x1 - x0)", "y0, seq", "{'at': CAST([] AS DOUBLE[]), 'band': 0}",
+        "(SELECT {'at': t.s.at[:b - 1] || [CAST(c.mid AS DOUBLE)] || t.s.at[b + 1:], 'band': b} FROM (SELECT CAST(coalesce(nullif(list_position(list_transform(t.s.at, lambda x: abs(x - c.mid) <= 24), true), 0), len(t.s.at) + 1) AS INT) AS b))",
+        "SELECT image_id, seq, s.band AS band FROM r",
+    )
+)
 def vertical_groups(spark, d):
     tall = _boxes(spark, d).where("y1 - y0 > 0.5 * greatest(1, x1 - x0)")
     return greedy.first_fit(tall, "image_id", ["y0"], greedy.same_column(24))
 
 
-@query()
+@query(
+    in_turn(
+        "boxes", "SELECT * FROM b_boxes", "y0, x0, seq", "{'at': CAST([] AS STRUCT(y0 INT, y1 INT)[]), 'band': 0}",
+        "(SELECT {'at': t.s.at[:b - 1] || [{'y0': least(c.y0, coalesce(t.s.at[b].y0, c.y0)), 'y1': greatest(c.y1, coalesce(t.s.at[b].y1, c.y1))}] || t.s.at[b + 1:], 'band': b} FROM (SELECT CAST(coalesce(nullif(list_position(list_transform(t.s.at, lambda x: least(c.y1, x.y1) - greatest(c.y0, x.y0) >= CAST(0.6 AS DOUBLE) * least(c.y1 - c.y0, x.y1 - x.y0)), true), 0), len(t.s.at) + 1) AS INT) AS b))",
+        "SELECT image_id, seq, s.band AS band FROM r",
+    )
+)
 def banded_sections(spark, d):
     return greedy.first_fit(_boxes(spark, d), "image_id", ["y0", "x0"], greedy.same_row(0.6))
 
 
-@query()
+@query(
+    in_turn(
+        "boxes", "SELECT * FROM b_boxes", "x0", "{'cluster': 0, 'n': 0, 'sum': 0}",
+        "CASE WHEN t.s.n = 0 OR abs(c.x0 - t.s.sum / CAST(t.s.n AS DOUBLE)) > 12 THEN {'cluster': t.s.cluster + 1, 'n': 1, 'sum': c.x0} ELSE {'cluster': t.s.cluster, 'n': t.s.n + 1, 'sum': t.s.sum + c.x0} END",
+        "SELECT image_id, s.cluster AS cluster, count(*) AS n, round(avg(x0), 6) AS mean FROM r GROUP BY 1, 2",
+    )
+)
 def running_mean_clusters(spark, d):
     return greedy.running_mean_clusters(_boxes(spark, d), "image_id", "x0", 12.0).withColumn("mean", F.round("mean", 6))
 
 
-@query()
+@query(
+    in_turn(
+        "boxes", "SELECT *, 1 + x0 % 4 AS cost FROM b_boxes", "confidence DESC, seq", "{'spent': 0, 'taken': false}",
+        "CASE WHEN t.s.spent + c.cost <= 6 THEN {'spent': t.s.spent + c.cost, 'taken': true} ELSE {'spent': t.s.spent, 'taken': false} END",
+        "SELECT image_id, seq, s.spent AS spent FROM r WHERE s.taken",
+    )
+)
 def budgeted_focus(spark, d):
     b = _boxes(spark, d).withColumn("cost", F.lit(1) + F.col("x0") % 4)
     return greedy.within_budget(b, "image_id", ["-confidence"], "cost", 6)

@@ -159,7 +159,7 @@ def repeated_texts(spark, d):
     return found.withColumn("ids", F.array_join("ids", ","))
 
 
-@query("SELECT o_orderkey, CAST(n AS INT) AS count, CASE WHEN n BETWEEN 1 AND 4 THEN NULL ELSE 'touch_invalid_parallel' END AS error, CAST(CASE WHEN n BETWEEN 1 AND 4 THEN j END AS INT) AS job_seq, CASE WHEN n BETWEEN 1 AND 4 THEN o_orderpriority || j END AS job FROM (SELECT o_orderkey, o_orderpriority, n, unnest(CASE WHEN n BETWEEN 1 AND 4 THEN range(1, n + 1) ELSE [0] END) AS j FROM (SELECT *, o_custkey % 6 AS n FROM orders))")
+@query("SELECT o_orderkey, CAST(n AS INT) AS count, CASE WHEN n BETWEEN 1 AND 4 THEN NULL ELSE 'invalid_parallel' END AS error, CAST(CASE WHEN n BETWEEN 1 AND 4 THEN j END AS INT) AS job_seq, CASE WHEN n BETWEEN 1 AND 4 THEN o_orderpriority || j END AS job FROM (SELECT o_orderkey, o_orderpriority, n, unnest(CASE WHEN n BETWEEN 1 AND 4 THEN range(1, n + 1) ELSE [0] END) AS j FROM (SELECT *, o_custkey % 6 AS n FROM orders))")
 def parallel_jobs(spark, d):
     n = F.col("o_custkey") % 6
     jobs = F.when(n > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.greatest(n, F.lit(1))), lambda k: F.concat("o_orderpriority", k.cast("string")))).otherwise(F.array().cast("array<string>"))
