@@ -8,6 +8,9 @@ import importlib
 MODULES = {
     "op1_token_store": "token_store",
     "op10_language": "langid",
+    "op11_conversation_repair": "chat_repair",
+    "op12_secret_parts": "secrets_scan",
+    "op13_centroids": "centroids",
     "op2_decontamination": "decontaminate",
     "op3_quotation_links": "chat_quotes",
     "op4_simhash": "simhash",
