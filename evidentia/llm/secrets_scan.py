@@ -20,7 +20,7 @@ from collections.abc import Callable
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.llm import _shared
@@ -197,9 +197,12 @@ def op12_secret_parts(spark, sf_dir: str) -> DataFrame:
     """The spans of every document: how many of each base kind, the SHA-256 of the base spans, and all spans."""
     scanned = scan(_shared.table(spark, sf_dir, "documents"), carry=["doc_id"])
 
-    def joined(of) -> F.Column:
+    def joined(of) -> Column:
         return F.array_join(F.transform(of, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    base = F.filter("secrets", lambda s: s["kind"].isin(*BASE))
-    counts = [F.size(F.filter("secrets", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    def of_kinds(*kinds: str) -> Column:
+        return F.filter("secrets", lambda s: s["kind"].isin(*kinds))
+
+    base = of_kinds(*BASE)
+    counts = [F.size(of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
     return scanned.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined("secrets").alias("spans"), F.size(F.filter("secrets", lambda s: s["partner"].isNotNull())).cast("long").alias("n_linked"))

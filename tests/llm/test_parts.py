@@ -232,6 +232,20 @@ def test_scan_of_odd_tables(spark):
     assert secrets_scan.scan(df.limit(0)).count() == 0
 
 
+def test_query_of_secret_parts(spark):
+    """Every document of the smallest tables, against the spans found without regular expressions."""
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = secrets_scan.op12_secret_parts(spark, folder).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and sum(r["n_hex"] for r in got) > 0
+    for r in got:
+        want = base_by_characters(texts[r["doc_id"]])
+        line = ",".join(f"{k}:{a}:{b}" for a, b, k in want)
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in secrets_scan.BASE] == [sum(x == k for *_, x in want) for k in secrets_scan.BASE]
+        assert r["spans"] == line or r["n_linked"]
+
+
 # --- centroid clustering
 
 
