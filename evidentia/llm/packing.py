@@ -5,8 +5,13 @@ capacity. The plan is a list of patterns (the lengths that share a sequence)
 with how many sequences use each: lengths are taken from the longest down, the
 gap that one leaves is looked up among single lengths, sums of two and sums of
 three, and as many sequences are filled exactly as the counts allow; what finds
-no complement goes, longest first, to the smallest gap that holds it. Each
-piece then finds its place by its rank among the pieces of its length.
+no complement goes, longest first, to the smallest gap that holds it. Of the
+complements of one kind that with the longest piece counts, which spares short
+pieces for gaps that nothing else fills. Filling much exactly can leave residuals
+that fit badly, so plans with complements of up to three, two, one and no pieces,
+of any length or of longer ones only, are made, and the one with the fewest
+sequences is used: it never has more than best fit by itself. Each piece then finds its place by its rank among the pieces
+of its length.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from evidentia.llm import _shared
 from evidentia.llm.encode import default_path, encoder
 
 CAPACITY = 1024
+#: Most pieces of a complement, and the share of the capacity that each has at least: shorter ones are left for residuals.
+TRIALS = ((3, 0.25), (3, 0.05), (3, 0), (2, 0.25), (2, 0.05), (2, 0), (1, 0), (0, 0))
 
 
 def cut(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int | None = 2, capacity: int = CAPACITY) -> DataFrame:
@@ -33,7 +40,9 @@ def cut(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokeni
     Columns: doc_id, piece, start, length, ids_crc32, ids (little-endian, two
     bytes an id, four for a vocabulary beyond 65,536), part and nth (the rank
     among the task's pieces of that length). A null text is empty; a text
-    without any token makes no piece.
+    without any token makes no piece. Repeated rows and ids, null ids among them,
+    are cut one by one; an empty table gives no rows; other columns don't matter,
+    whatever their names.
     """
     tokenizer = tokenizer or default_path()
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "nth"]
@@ -61,42 +70,45 @@ def cut(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tokeni
                     kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = _shared.positional(df).select(_shared.column(df, id_col).cast("long").alias("doc_id"), _shared.column(df, text_col).alias("text"))
     return _shared.map_arrow(rows, run, "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part long, nth long")
 
 
-def _complement(counts: np.ndarray, first: int, gap: int) -> tuple[int, ...] | None:
-    """Available lengths, none longer than first, that sum to gap: one, else two, else three, the most plentiful of each kind."""
-    if gap <= first and counts[gap] > (gap == first):
+def _complement(counts: np.ndarray, first: int, gap: int, most: int, least: int) -> tuple[int, ...] | None:
+    """Available lengths, from least up to first and at most so many, that sum to gap: one, else two, else three, of each kind the combination with the longest piece."""
+    if most and least <= gap <= first and counts[gap] > (gap == first):
         return (gap,)
     top = min(first, gap - 1)
     spare = counts[: top + 1].copy()
     spare[first : first + 1] -= 1  # the piece that leaves the gap is in use
-    spare[0] = 0
-
-    def two(g: int, most: int) -> tuple[int, int, int]:
-        a = np.arange((g + 1) // 2, min(most, g - 1) + 1)
-        if not len(a):
-            return 0, 0, 0
-        have = np.where(a == g - a, spare[a] // 2, np.minimum(spare[a], spare[g - a]))
-        k = int(have.argmax())
-        return int(have[k]), int(a[k]), g - int(a[k])
-
-    have, a, b = two(gap, top)
-    if have > 0:
-        return a, b
-    best: tuple[int, tuple[int, ...] | None] = (0, None)
-    for c in np.flatnonzero(spare[: gap // 3 + 1] > 0).tolist():
-        spare[c] -= 1
-        have, a, b = two(gap - c, top)
-        spare[c] += 1
-        if min(have, int(spare[c])) > best[0]:
-            best = (min(have, int(spare[c])), (a, b, c))
-    return best[1]
+    spare[:least] = 0
+
+    def two(g: int, most: int) -> tuple[int, int] | None:
+        a = np.arange(min(most, g - 1), (g + 1) // 2 - 1, -1)
+        have = np.flatnonzero((spare[a] > (a == g - a)) & (spare[g - a] > 0))
+        return (int(a[have[0]]), g - int(a[have[0]])) if len(have) else None
+
+    if most > 1 and (found := two(gap, top)):
+        return found
+    for a in np.flatnonzero(spare > 0)[::-1].tolist() if most > 2 else ():
+        if 3 * a < gap:
+            break
+        if gap - a < 2:
+            continue
+        spare[a] -= 1
+        found = two(gap - a, min(a, gap - a - 1))
+        spare[a] += 1
+        if found:
+            return a, *found
+    return None
 
 
 def plan(counts_by_length: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of lengths and how many sequences use each; every counted piece is in exactly one."""
+    """Patterns of lengths and how many sequences use each; every counted piece is in exactly one. Of the plans for TRIALS the first with the fewest sequences."""
+    return min((_plan(counts_by_length, capacity, most, max(1, int(share * capacity))) for most, share in TRIALS), key=lambda made: sum(n for _, n in made))
+
+
+def _plan(counts_by_length: dict[int, int], capacity: int, most: int, least: int) -> list[tuple[tuple[int, ...], int]]:
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in counts_by_length.items():
         if not 0 < length <= capacity:
@@ -107,7 +119,7 @@ def plan(counts_by_length: dict[int, int], capacity: int = CAPACITY) -> list[tup
         made.append(((capacity,), int(counts[capacity])))
         counts[capacity] = 0
     for first in range(capacity - 1, 0, -1):
-        while counts[first] > 0 and (rest := _complement(counts, first, capacity - first)):
+        while counts[first] > 0 and (rest := _complement(counts, first, capacity - first, most, least)):
             pattern = (first, *rest)
             uses = Counter(pattern)
             n = min(int(counts[x]) // k for x, k in uses.items())
