@@ -8,8 +8,9 @@ and of lines that occurred already, and what each leaves. Log frequencies,
 weighted by inverse document frequency, make each part a unit vector; the three
 are projected on the RANK leading right singular vectors of the labelled sample
 and made unit vectors again. The sample's vectors are broadcast; each block of
-documents takes its cosines with all of them, and its NEIGHBOURS nearest, and
-all that are as near as the last of those, vote with the cosine as weight.
+documents takes its cosines with all of them, in double precision and then
+rounded to whole steps, and its NEIGHBOURS nearest, and all that are as near as
+the last of those, vote with the cosine as weight.
 """
 
 from __future__ import annotations
@@ -24,13 +25,13 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import _shared
 
-#: Most labelled rows in the neighbour table, in the order of a hash of the id; with RANK it bounds the broadcast to about 1.5 MB.
+#: Most labelled rows in the neighbour table, in the order of a hash of the id; with RANK it bounds the broadcast to about 4 MB.
 SAMPLE_ROWS = 6144
 RANK = 48
 NEIGHBOURS = 7
 THRESHOLD = 0.3
-#: Buckets of words, and cosines that differ by no more count as equal.
-WORDS, EQUAL = 1024, 1e-5
+#: Buckets of words, and the steps of 1 that cosines are rounded to: those of one step count as equal.
+WORDS, STEPS = 1024, 1e6
 _BLOCK, _CACHE_WORDS = 256, 400_000
 RESULT = "struct<score: double, neighbours: int>"
 
@@ -122,21 +123,28 @@ class Model:
         return np.concatenate([_unit(freq[:, part]) for part in _PARTS], axis=1)
 
     def place(self, freq: np.ndarray) -> np.ndarray:
-        return _unit(self._weighted(freq) @ self.axes)
+        return _unit(self._weighted(freq.astype(np.float64)) @ self.axes)
+
+    def votes(self, texts: list[str | None]) -> np.ndarray:
+        """The rounded cosine, in steps, of each text with each vector, where it is among the nearest and above 0, else 0."""
+        cosines = np.rint(STEPS * (self.place(frequencies(texts)) @ self.vectors.T))
+        k = min(NEIGHBOURS, len(self.labels))
+        last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+        return np.where(cosines >= last, np.maximum(cosines, 0), 0)
 
     def scores(self, texts: list[str | None]) -> tuple[np.ndarray, int]:
-        """The share of label 1 among the neighbours' votes; the mean label for a text without terms, or without any cosine above 0."""
+        """The share of label 1 among the neighbours' votes; the mean label for a text without terms, or without any cosine above 0. Sums of whole steps are exact."""
         k = min(NEIGHBOURS, len(self.labels))
         if not k:
             return np.full(len(texts), self.base), 0
-        out = []
-        for lo in range(0, len(texts), _BLOCK):
-            cosines = self.place(frequencies(texts[lo : lo + _BLOCK])) @ self.vectors.T
-            last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k] - EQUAL
-            weight = np.where(cosines >= last, np.maximum(cosines, 0), 0).astype(np.float64)
+        each: dict[str | None, float] = {}
+        distinct = list(dict.fromkeys(texts))
+        for lo in range(0, len(distinct), _BLOCK):
+            part = distinct[lo : lo + _BLOCK]
+            weight = self.votes(part)
             total = weight.sum(1)
-            out.append(np.where(total > EQUAL, weight @ self.labels / np.maximum(total, EQUAL), self.labels.mean()))
-        return np.clip(np.concatenate([*out, np.zeros(0)]), 0, 1), k
+            each.update(zip(part, np.where(total > 0, weight @ self.labels / np.maximum(total, 1), self.labels.mean()).tolist(), strict=True))
+        return np.array([each[t] for t in texts]), k
 
 
 def fit(sample: DataFrame) -> Model:
@@ -159,8 +167,8 @@ def fit(sample: DataFrame) -> Model:
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
     idf[_PARTS[2]] = 1
     model = Model(idf, np.zeros((TERMS, 1), np.float32), np.zeros((0, 1)), np.array([y for *_, y in rows], float))
-    model.axes = _axes(model._weighted(x), RANK)
-    model.vectors = model.place(x).astype(np.float32)
+    model.axes = _axes(model._weighted(x), RANK).astype(np.float64)
+    model.vectors = model.place(x)
     return model
 
 
@@ -169,7 +177,10 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", carry: list[st
 
     Empty and null texts have no terms: they score the mean label of the sample.
     Neighbours that are equally near all vote, so the order of the sample
-    doesn't matter. An empty table gives no rows; repeated rows score one by
+    doesn't matter. Nor does the batch that a text comes in: cosines in double
+    precision, which may differ by some 1e-15 with the shape of a product, are
+    rounded to 1e-6 before anything is compared or added, so a score could change
+    only where a cosine lies that close to the middle of two steps. An empty table gives no rows; repeated rows score one by
     one; a column that is called name is replaced, all others stay.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
