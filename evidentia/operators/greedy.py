@@ -244,12 +244,22 @@ def within_budget(df: DataFrame, group: str, order: list[str], cost: str, budget
     return each_group(df, group, order, [cost], ["seq", "spent"], "seq int, spent int", step)
 
 
-def similarity(left, right):
-    """The sequence ratio of two texts, as a pandas function; null counts as empty."""
+def closeness(left: str, right: str, least: float = 0.0) -> float:
+    """The sequence ratio of two texts; 0 without a comparison where the characters they share, at most the fewer of each, could not reach least."""
+    total = len(left) + len(right)
+    if least and total and (2 * min(len(left), len(right)) < least * total or 2 * (Counter(left) & Counter(right)).total() < least * total):
+        return 0.0
+    return SequenceMatcher(None, left, right).ratio()
+
+
+def similarity(left, right, least: float = 0.0):
+    """The sequence ratio of two texts, as a pandas function that compares each distinct pair of a batch once; null counts as empty, and what cannot reach least gives 0."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+        pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
+        each = {pair: closeness(*pair, least) for pair in set(pairs)}
+        return pd.Series([each[pair] for pair in pairs], dtype=float)
 
     return ratio(left, right)
 
