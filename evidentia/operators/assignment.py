@@ -52,6 +52,8 @@ def span_proposals(phrases: DataFrame, candidates: DataFrame, group: str) -> Dat
     target = texts.latin_look(F.trim("value"))
     wanted = candidates.select(group, "seq", target.alias("target"), F.greatest(F.size(words(F.col("value"))), F.lit(1)).alias("n")).where("target <> ''")
     wanted = wanted.withColumn("count", F.explode(F.sequence(F.greatest(F.col("n") - SLACK, F.lit(1)), F.col("n") + SLACK)))
+    n = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = wanted.repartition(n, group, "count")  # by number: few bytes, but much to compare
     counts = wanted.select(group, "count").distinct()
     found = phrases.select(group, F.col("phrase"), words(F.col("phrase")).alias("words")).join(counts, group).where(F.size("words") >= F.col("count"))
     starts = found.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("count"))))
@@ -127,12 +129,14 @@ def partition(phrase: str, observed: list[str], first_word_only: bool = False) -
     if n < max(2, rows):
         return None
 
+    pieces = [_look(phrase[i:j]) for i, j in zip(at, at[1:], strict=False)]
+
     def segment(i: int, j: int) -> str:
         return phrase[at[i] : at[j]].strip()
 
     @lru_cache(maxsize=None)
     def score(row: int, i: int, j: int) -> float:
-        seen, said = looks[row], _look(segment(i, j))
+        seen, said = looks[row], "".join(pieces[i:j])
         if not seen or not said:
             return -np.inf
         ratio = min(len(seen), len(said)) / max(len(seen), len(said))
@@ -156,20 +160,25 @@ def partition(phrase: str, observed: list[str], first_word_only: bool = False) -
             used[:, ends] = np.where(better, wide, used[:, ends])
         best = reach
         widths.append(used)
-    found: tuple[float, list[tuple[str, float]]] | None = None
-    for first, end in zip(*np.nonzero(np.isfinite(best)), strict=True):
-        cuts = [int(end)]
+    found: tuple[float, int, list[tuple[str, float]]] | None = None
+    firsts, ends = np.nonzero(np.isfinite(best))
+    sums = best[firsts, ends] / rows
+    for k in np.argsort(-sums, kind="stable").tolist():
+        if found is not None and 0.65 * sums[k] + 0.35 < found[0]:
+            break  # not even the whole phrase alike could make up for it
+        first, end = int(firsts[k]), int(ends[k])
+        cuts = [end]
         for used in reversed(widths):
             cuts.append(cuts[-1] - int(used[first, cuts[-1]]))
         cuts.reverse()
         parts = [(segment(i, j), score(row, i, j)) for row, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
         if min(s for _, s in parts) < ROW_SCORE:
             continue
-        overall = greedy.closeness("".join(looks), "".join(_look(v) for v, _ in parts), OVERALL)
-        quality = 0.65 * (best[first, end] / rows) + 0.35 * overall
-        if overall >= OVERALL and quality >= QUALITY and (found is None or quality > found[0]):
-            found = (float(quality), parts)
-    return None if found is None else [(value, min(found[0], s)) for value, s in found[1]]
+        overall = greedy.closeness("".join(looks), "".join(pieces[cuts[0] : end]), OVERALL)
+        quality = float(0.65 * sums[k] + 0.35 * overall)
+        if overall >= OVERALL and quality >= QUALITY and (found is None or (quality, -k) > found[:2]):
+            found = (quality, -k, parts)
+    return None if found is None else [(value, min(found[0], s)) for value, s in found[2]]
 
 
 def row_assignments(phrases: DataFrame, rows: DataFrame, group: str) -> DataFrame:

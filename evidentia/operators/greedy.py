@@ -94,7 +94,8 @@ def each_group(df: DataFrame, group: str, order: list[str], columns: list[str],
         if held is not None and len(held):
             yield made(whole(held, np.array([0])))
 
-    ordered = df.select(cols).repartition(group).sortWithinPartitions(F.col(group), *by, F.col("seq"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told by number, so that small rows with much to do aren't brought together
+    ordered = df.select(cols).repartition(n, group).sortWithinPartitions(F.col(group), *by, F.col("seq"))
     return ordered.mapInPandas(run, f"{group} long, {types}")
 
 

@@ -78,7 +78,8 @@ def tiled(pairs: DataFrame, *, size: int = TILE, margin: int = MARGIN) -> DataFr
                 yield row.image_id, top // size, left // size, top, left, h, w, height, width, a[part].tobytes(), b[part].tobytes()
 
     kept = pairs.select("image_id", "height", "width", "data", "other_height", "other_width", "other")
-    return _mapped(kept, f"{PLACE}, a binary, b binary", of)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _mapped(kept, f"{PLACE}, a binary, b binary", of).repartition(n, "image_id", "ty", "tx")
 
 
 def label(mask: np.ndarray, eight: bool) -> tuple[np.ndarray, int]:

@@ -1,4 +1,4 @@
-"""Queries that deal readings out to measured texts, over lines of conversations; their choices are ordered, so tests hold them against exhaustive search."""
+"""Queries that deal readings out to measured texts, over sentences of conversations; their choices are ordered, so tests hold them against exhaustive search."""
 
 from __future__ import annotations
 
@@ -19,10 +19,10 @@ def query(f):
 
 
 def crops(spark, d):
-    """Each line of each message as a crop (crop, phrase), and its words in threes, every other piece misread, as the texts measured in it (crop, seq, value, box)."""
+    """Each sentence of each message as a crop (crop, phrase), and its words in threes, every other piece misread, as the texts measured in it (crop, seq, value, box)."""
     texts = base(spark, d, "texts").where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL")
-    lines = texts.select("conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("line", "phrase"))
-    lines = lines.select((F.col("conv_id") * 10_000_000 + F.col("turn") * 1000 + F.col("line")).alias("crop"), "phrase").where("trim(phrase) <> ''")
+    lines = texts.select("conv_id", "turn", F.posexplode(F.split("text", r"[.!?\n]+")).alias("line", "phrase"))
+    lines = lines.select((F.col("conv_id") * 10_000_000_000 + F.col("turn") * 100_000 + F.col("line")).alias("crop"), "phrase").where("trim(phrase) <> ''")
     words = F.split(F.trim("phrase"), " +")
     piece = F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.size(words) - 1) / _PIECE).cast("int")), lambda k: F.array_join(F.slice(words, k * _PIECE + 1, _PIECE), " ")))
     pieces = lines.select("crop", piece.alias("seq", "value"))
