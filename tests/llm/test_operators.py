@@ -328,6 +328,34 @@ def test_chroma_recall_on_document_bytes(spark):
     assert sum(got[10 * k] == got[10 * k + 1] for k in range(48)) >= 0.9 * 48 and len({got[10 * k] for k in range(48)}) == 48
 
 
+def test_chroma_recall_by_size_and_shift(spark):
+    """Texts from the shortest that have an item, behind leads of every part of a hop: of the pairs that brute force over offsets aligns, nine in ten are found in each class at each shift."""
+    rng, s = random.Random(22), chroma.BYTES
+    texts = sorted({r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect() if r["text"]})
+    rng.shuffle(texts)
+    sizes, shifts = ((600, 1600), (1600, 2400), (2400, 4000), (4000, 9000)), (8, 20, 32, 44, 56)
+    lead = "the quick brown fox jumps over the lazy dog and runs away again."
+    rows, of = [], {}
+    for n, (lo, hi) in enumerate(sizes):
+        for text in [t for t in texts if lo <= len(t.encode()) < hi][:30]:
+            k = 100 * (len(of) + 1)
+            of[k] = n
+            rows += [(k, text), *((k + shift, lead[:shift] + text) for shift in shifts)]
+    raw = {k: np.frombuffer(t.encode(), np.uint8).astype(np.float32) / 128 - 1 for k, t in rows}
+    made = dict(zip(raw, chroma.items(list(raw.values()), s), strict=True))
+    got = {r.id: r for r in chroma.align(spark.createDataFrame(rows, "id long, pcm string"), settings=s, dtype="u1").collect()}
+    for n in range(len(sizes)):
+        for shift in shifts:
+            pairs = []
+            for k in (k for k, c in of.items() if c == n):
+                a, b = made[k], made[k + shift]
+                found = (chroma.stretch(a, b, o, s.item_error) for o in (-1, 0, 1, 2))
+                if any(m >= min(s.least_items, len(a), len(b)) and wrong <= s.most_error * 32 * m for _, m, wrong in found):
+                    pairs.append((k, k + shift))
+            assert len(pairs) > 15 and sum(got[a].recording_id == got[b].recording_id for a, b in pairs) >= 0.9 * len(pairs), (sizes[n], shift)
+    assert sum(got[k].offset is not None for k in got) > 0.9 * len(got)
+
+
 def test_segments_are_maximal():
     rng = random.Random(6)
     for _ in range(300):
@@ -510,7 +538,7 @@ def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
         decoy[3:13] = a[10:20]
         own += [a, np.concatenate([noise(5), b]), decoy, noise(9)]
     prints = rng.permutation(len(own)).tolist()
-    root, at = list(range(len(own))), [chroma.keys(x, 3, 3)[:2] for x in own]
+    root, at = list(range(len(own))), [chroma.all_keys(x, [], chroma.Settings())[:2] for x in own]
     for i in range(len(own)):
         for j in range(i):
             offsets = [q - p for p, h in zip(*at[i], strict=True) for q, g in zip(*at[j], strict=True) if g == h]
@@ -519,7 +547,7 @@ def test_chroma_finds_every_pair_behind_a_common_key(spark, monkeypatch):
                 if n >= 16 and wrong <= 0.15 * 32 * n:
                     root = [min(root[i], root[j]) if x in (root[i], root[j]) else x for x in root]
     assert sum(prints[k + 2] < min(prints[k], prints[k + 1]) for k in range(0, len(own), 4)) > 1 and len(set(root)) == 36
-    made = spark.createDataFrame([(k, x.view(np.int32).tolist(), p) for k, (x, p) in enumerate(zip(own, prints, strict=True))], "id long, items array<int>, print long")
+    made = spark.createDataFrame([(k, x.view(np.int32).tolist(), p, []) for k, (x, p) in enumerate(zip(own, prints, strict=True))], "id long, items array<int>, print long, late array<array<int>>")
     monkeypatch.setattr(chroma, "fingerprint", lambda *_, **__: made)
     got = sorted(chroma.align(made, pcm_col="items", settings=chroma.Settings(least_items=16)).collect())
     assert [r.recording_id for r in got] == root
