@@ -50,5 +50,5 @@ def test_pipeline_drops_what_is_planted(spark, tmp_path):
 
 
 def test_registries():
-    assert len(registry.queries()) == 10 and set(registry.oracle_sql()) == {"op2_decontamination", "op7_warc"}
+    assert len(registry.queries()) == 13 and set(registry.oracle_sql()) == {"op2_decontamination", "op7_warc", "op11_conversation_repair", "op13_centroids"}
     assert list(corpus_pipeline.queries()) == ["pipeline"]
