@@ -13,3 +13,10 @@ def test_parts_that_do_not_overlap_are_told_whole(spark):
     got = rows(sequences.merge_transcripts(df, "id", "turn", "text", overlapping=False))
     assert got == [(1, "so it goes on goes on and on x"), (2, "a"), (3, None), (4, "")]
     assert rows(sequences.merge_transcripts(df.where("id = 1"), "id", "turn", "text"))[0][1].startswith("so it goes on and on")
+
+
+def test_equal_coordinates_are_never_parted(spark):
+    df = spark.createDataFrame([(1, 5), (1, 40), (1, 40), (1, 40), (1, 41), (2, 7), (2, 7)], "image_id long, x0 int")
+    for n in (1, 3):
+        got = rows(sequences.coordinate_groups(df.repartition(n), "image_id", "x0", 12))
+        assert got == [(1, 1, 1, 5), (1, 2, 4, 40), (2, 1, 2, 7)]
