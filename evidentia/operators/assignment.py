@@ -74,11 +74,11 @@ def span_assignments(phrases: DataFrame, candidates: DataFrame, group: str) -> D
     is passed over. A group without proposals gives no rows.
     """
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: greedy.Rows) -> list[tuple]:
         taken: list[tuple[int, int]] = []
         given: set[int] = set()
         out = []
-        for seq, start, end, segment, score in zip(pdf["seq"], pdf["start"], pdf["end"], pdf["segment"], pdf["score"], strict=True):
+        for seq, start, end, segment, score in zip(*(pdf[c].tolist() for c in ("seq", "start", "end", "segment", "score")), strict=True):
             k = bisect_left(taken, (start, end))
             if seq in given or k and taken[k - 1][1] > start or k < len(taken) and taken[k][0] < end:
                 continue
@@ -193,11 +193,13 @@ def row_assignments(phrases: DataFrame, rows: DataFrame, group: str) -> DataFram
     near = F.col("y0") - F.col("top") <= F.greatest(F.lit(24), 3 * F.greatest(F.lit(1), F.col("y1") - F.col("y0")))
     led = led.withColumn("bound", F.coalesce(near & (F.col("paragraph") == 1), F.lit(False)).cast("int"))
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: greedy.Rows) -> list[tuple]:
         out = []
-        for _, part in pdf.groupby("paragraph", sort=True):
-            made = partition(part["phrase"].iat[0] or "", part["value"].tolist(), bool(part["bound"].iat[0]))
-            out += [(int(seq), segment, float(score)) for seq, (segment, score) in zip(part["seq"], made or [], strict=False)]
+        number, seqs, values, phrase, bound = (pdf[c].tolist() for c in ("paragraph", "seq", "value", "phrase", "bound"))
+        starts = [k for k in range(len(pdf)) if not k or number[k] != number[k - 1]]
+        for i, k in zip(starts, [*starts[1:], len(pdf)], strict=True):
+            made = partition(phrase[i] or "", values[i:k], bool(bound[i]))
+            out += [(int(seq), segment, float(score)) for seq, (segment, score) in zip(seqs[i:k], made or [], strict=False)]
         return out
 
     return greedy.each_group(led, group, ["paragraph", "place"], ["value", "phrase", "bound"], ["seq", "segment", "score"], "seq int, segment string, score double", step)

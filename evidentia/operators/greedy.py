@@ -63,7 +63,29 @@ def _starts(keys: pd.Series) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def each_group(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
+class Rows:
+    """The rows of one group: columns as arrays, cut from those of a whole batch, since a frame for each small group costs more than its step."""
+
+    __slots__ = ("_columns", "_part", "_size")
+
+    def __init__(self, columns: dict, first: int, end: int):
+        self._columns, self._part, self._size = columns, slice(first, end), end - first
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self._columns[name][self._part]
+
+    def floats(self, names: list[str]) -> np.ndarray:
+        """Several columns side by side."""
+        key = tuple(names)
+        if key not in self._columns:
+            self._columns[key] = np.stack([self._columns[n].astype(float) for n in names], axis=1)
+        return self._columns[key][self._part]
+
+
+def each_group(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable[[Rows], list[tuple]]) -> DataFrame:
     """The rows that step gives for each group's rows in order (- before a column: the greatest first; nulls last; then seq).
 
     One sort in each partition and one pass over its batches; of a partition
@@ -79,8 +101,9 @@ def each_group(df: DataFrame, group: str, order: list[str], columns: list[str],
             return pd.DataFrame(rows, columns=[group, *names]).astype(object)
 
         def whole(pdf: pd.DataFrame, starts: np.ndarray) -> list[tuple]:
-            parts = zip(starts, [*starts[1:], len(pdf)], strict=True)
-            return [(None if pd.isna(key) else key, *row) for i, k in parts for key in (pdf[group].iat[i],) for row in step(pdf.iloc[i:k])]
+            columns = {c: pdf[c].to_numpy() for c in pdf.columns}
+            parts = zip(pdf[group].iloc[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True)
+            return [(None if pd.isna(key) else key, *row) for key, i, k in parts for row in step(Rows(columns, i, k))]
 
         held = None
         for pdf in batches:
@@ -99,17 +122,17 @@ def each_group(df: DataFrame, group: str, order: list[str], columns: list[str],
     return ordered.mapInPandas(run, f"{group} long, {types}")
 
 
-def _boxes(pdf: pd.DataFrame) -> np.ndarray:
-    return pdf[SIDES].to_numpy(float)
+def _boxes(rows: Rows) -> np.ndarray:
+    return rows.floats(SIDES)
 
 
 def match_one_to_one(left: DataFrame, right: DataFrame, group: str = "image_id", *, least: float = 0.30, score: Callable = iou_matrix) -> DataFrame:
     """Full outer one-to-one matching in order of the left rows: group, left_seq, right_seq, score (rounded to six places); null where one has no partner."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
-        second = pdf["__second"].to_numpy(bool)
-        p, q = pdf.seq.to_numpy()[~second], pdf.seq.to_numpy()[second]
-        s = score(_boxes(pdf)[~second], _boxes(pdf)[second])
+    def step(pdf: Rows) -> list[tuple]:
+        first = len(pdf) - int(pdf["__second"].sum())  # those of the left come first
+        p, q = pdf["seq"][:first], pdf["seq"][first:]
+        s = score(_boxes(pdf)[:first], _boxes(pdf)[first:])
         got = assign(s, least)
         rows = [(int(p[i]), int(q[k]) if k >= 0 else None, round(float(s[i, k]), 6) if k >= 0 else None) for i, k in enumerate(got)]
         return rows + [(None, int(q[k]), None) for k in sorted(set(range(len(q))) - set(got.tolist()))]
@@ -141,14 +164,14 @@ def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group:
 def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *, limit: int | None = None, score: Callable = smaller_matrix) -> DataFrame:
     """Rows of each group in turn unless a kept one overlaps them by more: group, seq, rank. limit keeps that many, as a feature."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: Rows) -> list[tuple]:
         s, kept = score(_boxes(pdf), _boxes(pdf)), []
         for i in range(len(pdf)):
             if not kept or s[i, kept].max() <= most_overlap:
                 kept.append(i)
             if limit and len(kept) == limit:
                 break
-        return [(int(q), k + 1) for k, q in enumerate(pdf.seq.to_numpy()[kept])]
+        return [(int(q), k + 1) for k, q in enumerate(pdf["seq"][kept])]
 
     return each_group(df, group, order, SIDES, ["seq", "rank"], "seq int, rank int", step)
 
@@ -156,9 +179,9 @@ def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *
 def first_fit(df: DataFrame, group: str, order: list[str], band: Callable[[], Band]) -> DataFrame:
     """Each row in turn joins the first band that takes it, or begins one: group, seq, band."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: Rows) -> list[tuple]:
         bands, out = [], []
-        for seq, box in zip(pdf.seq.tolist(), _boxes(pdf).tolist(), strict=True):
+        for seq, box in zip(pdf["seq"].tolist(), _boxes(pdf).tolist(), strict=True):
             k = next((k for k, b in enumerate(bands) if b.takes(box)), len(bands))
             if k == len(bands):
                 bands.append(band())
@@ -216,7 +239,7 @@ def same_row(least: float) -> Callable[[], Band]:
 def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
     """Sorted values join the last cluster while they are within tolerance of its mean so far: group, cluster, n, mean."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: Rows) -> list[tuple]:
         sums: list[float] = []
         sizes: list[int] = []
         for v in pdf[value].tolist():
@@ -234,9 +257,9 @@ def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: floa
 def within_budget(df: DataFrame, group: str, order: list[str], cost: str, budget: int) -> DataFrame:
     """Rows of each group in turn while their summed cost fits the budget; what doesn't fit is passed over: group, seq, spent."""
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: Rows) -> list[tuple]:
         out, spent = [], 0
-        for seq, price in zip(pdf.seq.tolist(), pdf[cost].tolist(), strict=True):
+        for seq, price in zip(pdf["seq"].tolist(), pdf[cost].tolist(), strict=True):
             if spent + price <= budget:
                 spent += int(price)
                 out.append((seq, spent))

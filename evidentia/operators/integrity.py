@@ -11,7 +11,6 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +36,7 @@ def _claims(pairs: DataFrame, references: DataFrame, group: str, choose) -> Data
     """One row for each reference: group, seq, outcome, candidate. choose gives, of a reference's free candidates (candidate, score, coverage, ok), the one to take or name, and whether it is taken."""
     rows = references.select(group, "seq").join(pairs.select(group, F.col("a_seq").alias("seq"), F.col("b_seq").alias("candidate"), "score", "coverage", "ok"), [group, "seq"], "left")
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
+    def step(pdf: greedy.Rows) -> list[tuple]:
         out, used, own, last = [], set(), [], None
         rows = list(zip(pdf["seq"].tolist(), pdf["candidate"].tolist(), pdf["score"].tolist(), pdf["coverage"].tolist(), pdf["ok"].tolist(), strict=True))
         for k, (seq, candidate, score, coverage, ok) in enumerate(rows):
@@ -128,18 +127,16 @@ def line_matches(references: DataFrame, lines: DataFrame, group: str) -> DataFra
     """
     sides = [df.select(group, "seq", *geometry.SIDES, (F.col("orientation") == "horizontal").alias("level"), thick.cast("double").alias("thickness"), F.lit(k).alias("side")) for k, df, thick in ((0, references, F.coalesce(F.col("thickness"), F.lit(1))), (1, lines, F.lit(1)))]
 
-    def step(pdf: pd.DataFrame) -> list[tuple]:
-        refs, found = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        level = [x["level"].to_numpy(bool) for x in (refs, found)]
-
-        def ends(x, flat):
-            start, far, across = (np.where(flat, x[a], x[b]).astype(float) for a, b in (("x0", "y0"), ("x1", "y1"), ("y0", "x0")))
-            return start, far - start, across
-
-        (s, n, c), (p, m, d) = ends(refs, level[0]), ends(found, level[1])
-        out, used = [], np.zeros(len(found), bool)
-        keys, thick = found["seq"].tolist(), refs["thickness"].tolist()
-        for k, seq in enumerate(refs["seq"].tolist()):
+    def step(pdf: greedy.Rows) -> list[tuple]:
+        refs = len(pdf) - int(pdf["side"].sum())  # references come first
+        flat, boxes, keys, thick = pdf["level"].astype(bool), pdf.floats([*geometry.SIDES]), pdf["seq"].tolist(), pdf["thickness"].tolist()
+        x0, y0, x1, y1 = boxes.T
+        start, far, across_at = (np.where(flat, a, b) for a, b in ((x0, y0), (x1, y1), (y0, x0)))
+        long = far - start
+        (s, n, c), (p, m, d) = ([v[part] for v in (start, long, across_at)] for part in (slice(refs), slice(refs, None)))
+        level = [flat[:refs], flat[refs:]]
+        out, used = [], np.zeros(len(p), bool)
+        for k, seq in enumerate(keys[:refs]):
             across = np.abs(d - c[k])
             score = np.where((level[1] == level[0][k]) & ~used, across + 0.25 * np.abs(m - n[k]) + 0.1 * np.abs(p - s[k]), np.inf)
             j = int(score.argmin()) if len(score) else -1
@@ -148,7 +145,7 @@ def line_matches(references: DataFrame, lines: DataFrame, group: str) -> DataFra
                 continue
             fits = across[j] <= max(12.0, (thick[k] or 1) * 4) and m[j] >= max(8.0, n[k] * 0.5)
             used[j] |= fits
-            out.append((int(seq), "matched" if fits else "displaced", int(keys[j])))
+            out.append((int(seq), "matched" if fits else "displaced", int(keys[refs + j])))
         return out
 
     both = sides[0].unionByName(sides[1]).where("level IS NOT NULL")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from conftest import rows
 
-from evidentia.operators import sequences
+from evidentia.operators import greedy, rules, sequences
 
 
 def test_parts_that_do_not_overlap_are_told_whole(spark):
@@ -20,3 +21,21 @@ def test_equal_coordinates_are_never_parted(spark):
     for n in (1, 3):
         got = rows(sequences.coordinate_groups(df.repartition(n), "image_id", "x0", 12))
         assert got == [(1, 1, 1, 5), (1, 2, 4, 40), (2, 1, 2, 7)]
+
+
+def test_steps_get_arrays_of_their_group(spark):
+    def step(got):
+        assert isinstance(got["x0"], np.ndarray) and got.floats(["x0", "seq"]).shape == (len(got), 2)
+        return [(int(got["x0"].sum()), len(got))]
+
+    df = spark.createDataFrame([(k % 3 if k % 3 else None, k, k * 2) for k in range(12)], "image_id long, seq int, x0 int")
+    got = rows(greedy.each_group(df, "image_id", ["x0"], [], ["total", "n"], "total long, n long", step))
+    assert got == [(1, 44, 4), (2, 52, 4), (None, 36, 4)]
+
+
+def test_pixels_are_not_broadcast(spark):
+    ink = spark.createDataFrame([(1, x, 9, 0, 0, 0) for x in range(9)], "image_id long, x int, y int, b int, g int, r int")
+    found = spark.createDataFrame([(1, 9, 0, 8, 1)], "image_id long, y int, x0 int, x1 int, rule int")
+    made = rules.drawn_columns(ink, found, 255.0, 20)
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().toString()
+    assert rows(made) == [(1, 1, x, 0, 0, 0) for x in range(9)]
