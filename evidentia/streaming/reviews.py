@@ -63,9 +63,25 @@ def _fold(key: tuple, rows: pd.DataFrame, state: tuple | None) -> tuple[tuple |
 
 
 def fold_reviews(reviews: DataFrame) -> DataFrame:
-    """The decision on each review (columns INPUT) in order of seq; a key's reviews are few."""
+    """The decision on each review (columns INPUT) in order of seq: one pass over sorted partitions, of which a batch and one key's champion are held."""
     ship(reviews.sparkSession)
-    return reviews.select(INPUT).groupBy("reference", "url").applyInPandas(lambda key, pdf: _fold(key, pdf, None)[1], OUTPUT)
+    names = [c.split()[0] for c in OUTPUT.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                own = (None if pd.isna(row.reference) else row.reference, None if pd.isna(row.url) else row.url)
+                if own != key:
+                    key, state = own, None
+                state, said = step(state, row)
+                out.append((*own, row.seq, *said))
+            yield pd.DataFrame(out, columns=names)
+
+    n = int(reviews.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told by number: few bytes, but each row is a step
+    ordered = reviews.select(INPUT).repartition(n, "reference", "url").sortWithinPartitions("reference", "url", "seq")
+    return ordered.mapInPandas(run, OUTPUT)
 
 
 def stream_reviews(reviews: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from conftest import rows
 
 from evidentia.operators import greedy, rules, sequences
+from evidentia.streaming import reviews
 
 
 def test_parts_that_do_not_overlap_are_told_whole(spark):
@@ -39,3 +41,23 @@ def test_pixels_are_not_broadcast(spark):
     made = rules.drawn_columns(ink, found, 255.0, 20)
     assert "BroadcastHashJoin" not in made._jdf.queryExecution().toString()
     assert rows(made) == [(1, 1, x, 0, 0, 0) for x in range(9)]
+
+
+def test_reviews_are_folded_over_batches(spark):
+    said = [(key, url, seq, 0.1 * (seq * 7 % 5), False, seq % 4 == 0, 3, seq % 3, 0.0, 0.0) for key in ("a", None) for url in ("x", "y") for seq in range(7)]
+    df = spark.createDataFrame(said, "reference string, url string, seq long, similarity double, complete boolean, final boolean, checks int, failed int, worst double, total double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = reviews.fold_reviews(df)
+        assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().toString()
+        got = rows(made)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = []
+    for key, part in pd.DataFrame(said, columns=df.columns).groupby(["reference", "url"], dropna=False):
+        state = None
+        for row in part.itertuples(index=False):
+            state, out = reviews.step(state, row)
+            want.append((None if pd.isna(key[0]) else key[0], key[1], row.seq, *out))
+    assert got == sorted(want, key=repr)
