@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -116,6 +116,98 @@ def _look(value: str) -> str:
     return "".join(c for c in value.casefold() if c.isalnum()).translate(str.maketrans(*texts.HOMOGLYPHS))
 
 
+class _Partition:
+    """One phrase among its rows, as far as it is worked out: best sums for each first and last word over the rows so far, and what each took."""
+
+    def __init__(self, phrase: str, observed: list[str], first_word_only: bool):
+        self.phrase, self.looks = phrase, [_look(v) for v in observed]
+        self.at = [m.start() for m in WORD.finditer(phrase)] + [len(phrase)]
+        self.n, self.rows = len(self.at) - 1, len(observed)
+        self.found: tuple[float, int, list[tuple[str, float]]] | None = None
+        self.open = self.n >= max(2, self.rows)
+        if self.open:
+            self.pieces = [_look(phrase[i:j]) for i, j in zip(self.at, self.at[1:], strict=False)]
+            self.starts = [0] if first_word_only else list(range(self.n - self.rows + 1))
+            self.best = np.full((len(self.starts), self.n + 1), -np.inf)
+            self.best[range(len(self.starts)), self.starts] = 0.0
+            self.used: list[np.ndarray] = []
+            self.scores: list[np.ndarray] = []
+
+    def asked(self, row: int) -> list[tuple[int, int, float, str, str]]:
+        """Of the spans that a row may take behind the rows before: first word, words, ratio of lengths, and both texts, where that ratio is enough."""
+        seen, last, out = self.looks[row], self.n - (self.rows - row - 1), []
+        for i in np.flatnonzero(np.isfinite(self.best).any(axis=0)).tolist() if seen else []:
+            said = ""
+            for wide in range(1, min(ROW_WORDS, last - i) + 1):
+                said += self.pieces[i + wide - 1]
+                ratio = min(len(seen), len(said)) / max(len(seen), len(said))
+                if ratio >= ROW_LENGTH:
+                    out.append((i, wide, ratio, seen, said))
+        return out
+
+    def take(self, spans: list[tuple], close: list[float]) -> None:
+        """The best sums with one row more, longer segments first on ties."""
+        scores = np.full((ROW_WORDS + 1, self.n + 1), -np.inf)
+        for (i, wide, ratio, *_), c in zip(spans, close, strict=True):
+            if c >= ROW_SIMILARITY:
+                scores[wide, i] = 0.82 * c + 0.18 * ratio
+        reach, used = np.full_like(self.best, -np.inf), np.zeros(self.best.shape, np.int8)
+        for wide in range(min(ROW_WORDS, self.n), 0, -1):
+            if not np.isfinite(scores[wide]).any():
+                continue
+            sums = self.best[:, : self.n + 1 - wide] + scores[wide, : self.n + 1 - wide]
+            better = sums > reach[:, wide:]
+            reach[:, wide:][better] = sums[better]
+            used[:, wide:][better] = wide
+        self.best = reach
+        self.used.append(used)
+        self.scores.append(scores)
+
+    def candidates(self) -> Iterator[tuple[str, str]]:
+        """The partitions that hold the rows' thresholds, the greatest sums first, as both whole texts; each is answered by send() with their similarity, until none can be better."""
+        firsts, ends = np.nonzero(np.isfinite(self.best))
+        sums = self.best[firsts, ends] / self.rows
+        for k in np.argsort(-sums, kind="stable").tolist():
+            if self.found is not None and 0.65 * sums[k] + 0.35 < self.found[0]:
+                break  # not even the whole phrase alike could make up for it
+            cuts = [int(ends[k])]
+            for used in reversed(self.used):
+                cuts.append(cuts[-1] - int(used[firsts[k], cuts[-1]]))
+            cuts.reverse()
+            parts = [(i, j, float(self.scores[row][j - i, i])) for row, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
+            if min(s for *_, s in parts) < ROW_SCORE:
+                continue
+            overall = yield "".join(self.looks), "".join(self.pieces[cuts[0] : cuts[-1]])
+            quality = float(0.65 * sums[k] + 0.35 * overall)
+            if overall >= OVERALL and quality >= QUALITY and (self.found is None or (quality, -k) > self.found[:2]):
+                self.found = (quality, -k, [(self.phrase[self.at[i] : self.at[j]].strip(), s) for i, j, s in parts])
+
+
+def partitions(asked: list[tuple[str, list[str], bool]]) -> list[list[tuple[str, float]] | None]:
+    """partition() of each (phrase, observed, first_word_only): what they compare is compared side by side, row by row and then candidate by candidate."""
+    each = [_Partition(*one) for one in asked]
+    open_ = [p for p in each if p.open]
+    for row in range(max((p.rows for p in open_), default=0)):
+        deep = [p for p in open_ if p.rows > row]
+        spans = [p.asked(row) for p in deep]
+        close = greedy.closenesses([(seen, said) for own in spans for *_, seen, said in own], ROW_SIMILARITY).tolist()
+        at = 0
+        for p, own in zip(deep, spans, strict=True):
+            p.take(own, close[at : at + len(own)])
+            at += len(own)
+    turns = [(p.candidates(), None) for p in open_]
+    while turns:
+        waiting, pairs = [], []
+        for turn, overall in turns:
+            try:
+                pairs.append(turn.send(overall))
+                waiting.append(turn)
+            except StopIteration:
+                pass
+        turns = list(zip(waiting, greedy.closenesses(pairs, OVERALL).tolist(), strict=True))
+    return [p.found and [(value, min(p.found[0], s)) for value, s in p.found[2]] for p in each]
+
+
 def partition(phrase: str, observed: list[str], first_word_only: bool = False) -> list[tuple[str, float]] | None:
     """The segment and score of each row, of the best partition of consecutive words of phrase among rows; None where none is good enough.
 
@@ -123,62 +215,7 @@ def partition(phrase: str, observed: list[str], first_word_only: bool = False) -
     scores counts, with longer earlier segments on ties; of those that hold the
     thresholds, the one of the greatest quality, the first on ties.
     """
-    at = [m.start() for m in WORD.finditer(phrase)] + [len(phrase)]
-    n, rows = len(at) - 1, len(observed)
-    looks = [_look(v) for v in observed]
-    if n < max(2, rows):
-        return None
-
-    pieces = [_look(phrase[i:j]) for i, j in zip(at, at[1:], strict=False)]
-
-    def segment(i: int, j: int) -> str:
-        return phrase[at[i] : at[j]].strip()
-
-    @lru_cache(maxsize=None)
-    def score(row: int, i: int, j: int) -> float:
-        seen, said = looks[row], "".join(pieces[i:j])
-        if not seen or not said:
-            return -np.inf
-        ratio = min(len(seen), len(said)) / max(len(seen), len(said))
-        close = greedy.closeness(seen, said, ROW_SIMILARITY) if ratio >= ROW_LENGTH else 0.0
-        return 0.82 * close + 0.18 * ratio if close >= ROW_SIMILARITY else -np.inf
-
-    best = np.full((n + 1, n + 1), -np.inf)
-    starts = [0] if first_word_only else range(n - rows + 1)
-    best[starts, starts] = 0.0
-    widths = []
-    for row in range(rows):
-        last = n - (rows - row - 1)
-        reach, used = np.full_like(best, -np.inf), np.zeros(best.shape, np.int8)
-        for wide in range(min(ROW_WORDS, n), 0, -1):
-            ends = np.array([j for j in range(wide, last + 1) if np.isfinite(best[:, j - wide]).any()], int)
-            if not len(ends):
-                continue
-            sums = best[:, ends - wide] + np.array([score(row, int(j) - wide, int(j)) for j in ends])
-            better = sums > reach[:, ends]
-            reach[:, ends] = np.where(better, sums, reach[:, ends])
-            used[:, ends] = np.where(better, wide, used[:, ends])
-        best = reach
-        widths.append(used)
-    found: tuple[float, int, list[tuple[str, float]]] | None = None
-    firsts, ends = np.nonzero(np.isfinite(best))
-    sums = best[firsts, ends] / rows
-    for k in np.argsort(-sums, kind="stable").tolist():
-        if found is not None and 0.65 * sums[k] + 0.35 < found[0]:
-            break  # not even the whole phrase alike could make up for it
-        first, end = int(firsts[k]), int(ends[k])
-        cuts = [end]
-        for used in reversed(widths):
-            cuts.append(cuts[-1] - int(used[first, cuts[-1]]))
-        cuts.reverse()
-        parts = [(segment(i, j), score(row, i, j)) for row, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
-        if min(s for _, s in parts) < ROW_SCORE:
-            continue
-        overall = greedy.closeness("".join(looks), "".join(pieces[cuts[0] : end]), OVERALL)
-        quality = float(0.65 * sums[k] + 0.35 * overall)
-        if overall >= OVERALL and quality >= QUALITY and (found is None or (quality, -k) > found[:2]):
-            found = (quality, -k, parts)
-    return None if found is None else [(value, min(found[0], s)) for value, s in found[2]]
+    return partitions([(phrase, observed, first_word_only)])[0]
 
 
 def row_assignments(phrases: DataFrame, rows: DataFrame, group: str) -> DataFrame:
@@ -193,13 +230,16 @@ def row_assignments(phrases: DataFrame, rows: DataFrame, group: str) -> DataFram
     near = F.col("y0") - F.col("top") <= F.greatest(F.lit(24), 3 * F.greatest(F.lit(1), F.col("y1") - F.col("y0")))
     led = led.withColumn("bound", F.coalesce(near & (F.col("paragraph") == 1), F.lit(False)).cast("int"))
 
-    def step(pdf: greedy.Rows) -> list[tuple]:
-        out = []
-        number, seqs, values, phrase, bound = (pdf[c].tolist() for c in ("paragraph", "seq", "value", "phrase", "bound"))
-        starts = [k for k in range(len(pdf)) if not k or number[k] != number[k - 1]]
-        for i, k in zip(starts, [*starts[1:], len(pdf)], strict=True):
-            made = partition(phrase[i] or "", values[i:k], bool(bound[i]))
-            out += [(int(seq), segment, float(score)) for seq, (segment, score) in zip(seqs[i:k], made or [], strict=False)]
+    def step(groups: list[greedy.Rows]) -> list[list[tuple]]:
+        asked, places, out = [], [], [[] for _ in groups]
+        for g, pdf in enumerate(groups):
+            number, seqs, values, phrase, bound = (pdf[c].tolist() for c in ("paragraph", "seq", "value", "phrase", "bound"))
+            starts = [k for k in range(len(pdf)) if not k or number[k] != number[k - 1]]
+            for i, k in zip(starts, [*starts[1:], len(pdf)], strict=True):
+                asked.append((phrase[i] or "", values[i:k], bool(bound[i])))
+                places.append((g, seqs[i:k]))
+        for (g, seqs), made in zip(places, partitions(asked), strict=True):
+            out[g] += [(int(seq), segment, float(score)) for seq, (segment, score) in zip(seqs, made or [], strict=False)]
         return out
 
-    return greedy.each_group(led, group, ["paragraph", "place"], ["value", "phrase", "bound"], ["seq", "segment", "score"], "seq int, segment string, score double", step)
+    return greedy.each_group(led, group, ["paragraph", "place"], ["value", "phrase", "bound"], ["seq", "segment", "score"], "seq int, segment string, score double", step, together=True)

@@ -85,8 +85,8 @@ class Rows:
         return self._columns[key][self._part]
 
 
-def each_group(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable[[Rows], list[tuple]]) -> DataFrame:
-    """The rows that step gives for each group's rows in order (- before a column: the greatest first; nulls last; then seq).
+def each_group(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable, *, together: bool = False) -> DataFrame:
+    """The rows that step (of Rows) gives for each group's rows in order (- before a column: the greatest first; nulls last; then seq); together: step gets the groups of a batch as a list, and gives a list of rows for each.
 
     One sort in each partition and one pass over its batches; of a partition
     only the rows of the group in turn and one batch are held.
@@ -103,7 +103,9 @@ def each_group(df: DataFrame, group: str, order: list[str], columns: list[str],
         def whole(pdf: pd.DataFrame, starts: np.ndarray) -> list[tuple]:
             columns = {c: pdf[c].to_numpy() for c in pdf.columns}
             parts = zip(pdf[group].iloc[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(pdf)], strict=True)
-            return [(None if pd.isna(key) else key, *row) for key, i, k in parts for row in step(Rows(columns, i, k))]
+            keys, groups = zip(*((key, Rows(columns, i, k)) for key, i, k in parts), strict=True)
+            found = step(list(groups)) if together else map(step, groups)
+            return [(None if pd.isna(key) else key, *row) for key, rows in zip(keys, found, strict=True) for row in rows]
 
         held = None
         for pdf in batches:
@@ -276,13 +278,82 @@ def closeness(left: str, right: str, least: float = 0.0) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+#: Longest texts that are compared side by side, and cells of the tables that are held at once.
+_SIDE_BY_SIDE, _CELLS = 199, 1 << 19
+
+
+def _longest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each column of a and b (texts downwards, padded by -1 and -2) the longest common part, the first in a and then in b on ties: its length times 2^16, and 255 less its two starts in a byte each."""
+    first = np.arange(255, 255 - len(b), -1, dtype=np.int32)[:, None] + (1 << 16)
+    line, best, grown = np.zeros((len(b) + 1, b.shape[1]), np.int32), np.zeros(b.shape, np.int32), np.empty(b.shape, np.int32)
+    for i in range(len(a)):
+        # along a diagonal the starts stay and the length grows
+        np.add(line[:-1], 1 << 16, out=grown)
+        np.maximum(grown, first + (255 - i << 8), out=grown)
+        np.multiply(grown, b == a[i], out=line[1:])
+        np.maximum(best, line[1:], out=best)
+    return best.max(axis=0)
+
+
+def closenesses(pairs: list[tuple[str, str]], least: float = 0.0) -> np.ndarray:
+    """closeness() of each pair, where it reaches least, else any number below: all pairs side by side, those of long texts alone."""
+    out, total = np.zeros(len(pairs)), np.array([len(a) + len(b) for a, b in pairs], np.int64)
+    alone = np.array([max(len(a), len(b)) > _SIDE_BY_SIDE for a, b in pairs], bool)
+    for k in np.flatnonzero(alone).tolist():
+        out[k] = closeness(*pairs[k], least)
+    out[total == 0] = 1.0
+    side = np.flatnonzero(~alone & (total > 0))
+    if not len(side):
+        return out
+    sizes = [np.array([len(pairs[k][i]) for k in side.tolist()], np.int32) for i in (0, 1)]
+    texts = []
+    for i in (0, 1):
+        code = np.frombuffer("".join(pairs[k][i] for k in side.tolist()).encode("utf-32-le", "surrogatepass"), np.int32)
+        starts = np.cumsum(sizes[i], dtype=np.int64) - sizes[i]
+        texts.append((np.concatenate([code, np.full(_SIDE_BY_SIDE + 1, -1 - i, np.int32)]), starts))
+    matched, total = np.zeros(len(side), np.int64), total[side]
+    zero = np.zeros(len(side), np.int32)
+    # parts that are still to be compared: pair, from and to in both texts
+    parts = np.stack([np.arange(len(side), dtype=np.int32), zero, sizes[0], zero, sizes[1]])
+    while True:
+        left = np.minimum(parts[2] - parts[1], parts[4] - parts[3])
+        most = matched + np.bincount(parts[0], left, len(side)).astype(np.int64)
+        parts = parts[:, (left > 0) & (2.0 * most / total >= least)[parts[0]]]
+        if not parts.shape[1]:
+            break
+        high, wide = parts[2] - parts[1], parts[4] - parts[3]
+        order = np.lexsort((high, wide))
+        found, at = np.zeros(parts.shape[1], np.int32), 0
+        while at < len(order):
+            n = max(1, _CELLS // 8 // int(wide[order[at]]))
+            some = order[at : at + n]
+            cut = int(np.searchsorted(wide[some], wide[some[0]] + max(2, int(wide[some[0]]) // 4), "right"))
+            some = some[:cut]
+            both = []
+            for i, size in ((0, high[some]), (1, wide[some])):
+                code, starts = texts[i]
+                down = np.arange(int(size.max()))[:, None]
+                both.append(np.where(down < size, code[np.minimum(starts[parts[0, some]] + parts[1 + 2 * i, some] + down, len(code) - 1)], -1 - i).astype(np.int32))
+            found[some] = _longest(*both)
+            at += len(some)
+        parts, found = parts[:, found > 0], found[found > 0]
+        n = found >> 16
+        np.add.at(matched, parts[0], n)
+        i, j = parts[1] + 255 - (found >> 8 & 255), parts[3] + 255 - (found & 255)
+        before, after = np.stack([parts[0], parts[1], i, parts[3], j]), np.stack([parts[0], i + n, parts[2], j + n, parts[4]])
+        parts = np.concatenate([before, after], axis=1)
+    out[side] = 2.0 * matched / total
+    return out
+
+
 def similarity(left, right, least: float = 0.0):
-    """The sequence ratio of two texts, as a pandas function that compares each distinct pair of a batch once; null counts as empty, and what cannot reach least gives 0."""
+    """The sequence ratio of two texts, as a pandas function that compares the distinct pairs of a batch side by side; null counts as empty, and what cannot reach least gives less than it."""
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         pairs = list(zip(a.fillna(""), b.fillna(""), strict=True))
-        each = {pair: closeness(*pair, least) for pair in set(pairs)}
+        distinct = list(dict.fromkeys(pairs))
+        each = dict(zip(distinct, closenesses(distinct, least).tolist(), strict=True))
         return pd.Series([each[pair] for pair in pairs], dtype=float)
 
     return ratio(left, right)
