@@ -25,19 +25,27 @@ TILE, MARGIN = 256, 4
 PLACE = "image_id long, ty int, tx int, top int, left int, h int, w int, height int, width int"
 _PLACE = [c.split()[0] for c in PLACE.split(", ")]
 _PART = 1 << 32
+#: Rows and bytes of pixels of a frame that leaves a kernel.
+_FRAME, _BYTES = 4096, 8 << 20
 
 
 def _mapped(df: DataFrame, schema: str, of: Callable[[tuple], Iterator[tuple]]) -> DataFrame:
-    """The rows that of makes of each row."""
+    """The rows that of makes of each row; they leave in frames of up to _FRAME rows or _BYTES, since a frame for each row costs more than most kernels."""
     names = StructType.fromDDL(schema).names
     ship(df.sparkSession)
 
     def run(frames):
+        rows, size = [], 0
         for frame in frames:
             for row in frame.itertuples(index=False):
-                rows = list(of(row))
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                for made in of(row):
+                    rows.append(made)
+                    size += sum(len(v) for v in made if isinstance(v, bytes))
+                    if len(rows) >= _FRAME or size >= _BYTES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     return df.mapInPandas(run, schema)
 
@@ -141,7 +149,9 @@ def labelled(masks: DataFrame, *, eight: bool) -> tuple[DataFrame, DataFrame]:
         found, n = label(mask > 0, eight)
         tile = (row.ty << 14 | row.tx) * _PART
         edge = np.zeros(found.shape, bool)
-        edge[[0, -1]] = edge[:, [0, -1]] = True
+        # at the picture's own edge there is no tile to go on in
+        for at, inner in ((np.s_[0], row.top > 0), (np.s_[-1], row.top + row.h < row.height), (np.s_[:, 0], row.left > 0), (np.s_[:, -1], row.left + row.w < row.width)):
+            edge[at] |= inner
         ys, xs = np.nonzero((found > 0) & edge)
         border = [{"y": int(y) + row.top, "x": int(x) + row.left, "part": tile + int(found[y, x]), "low": bool(y == row.h - 1), "right": bool(x == row.w - 1)} for y, x in zip(ys, xs, strict=True)]
         yield (*(getattr(row, c) for c in _PLACE), row.layer, found.tobytes(), n, np.unique(found[mask == 2]).tolist(), border)
