@@ -84,7 +84,7 @@ def glyph_icons(glyphs: DataFrame, icons: DataFrame, group: str = "image_id") ->
 
 def _holding(points: DataFrame, boxes: DataFrame, group: str, key: str) -> DataFrame:
     """group and key of the boxes of points whose centre lies in a closed box of the others."""
-    pairs = spatial.overlapping(spatial._closed(points), spatial._closed(boxes), group).where(geometry.center_inside(F.col("a_own"), F.col("b_own")))
+    pairs = spatial.centred(points, boxes, group)
     return pairs.select(group, F.col(f"a_{key}").alias(key)).distinct()
 
 

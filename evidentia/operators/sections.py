@@ -1,7 +1,8 @@
 """The section tree of a picture: regions cut at empty bands, their content, roles and summary.
 
-What is on a picture is a set of rectangles that don't overlap. Regions are cut
-level by level: each level finds the widest empty band of all regions of all
+What is on a picture is a set of rectangles that don't overlap. Pictures of few
+boxes are cut in one pass over partitions, level by level for all pictures of a
+batch. Those of many stay distributed: each level finds the widest empty band of all regions of all
 pictures in one pass of windows over the places where the profile along an axis
 changes, and gives every rectangle to the part it falls in. So a level shuffles
 the rectangles of regions that may still be cut once, and there are no more
@@ -12,15 +13,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import color, geometry
 from evidentia.lineage import cut as written
 from evidentia.operators import spatial
+from evidentia.shipping import ship
 
 #: Narrowest band that is cut, least side of a part, and most levels.
 BAND, SIDE, DEPTH = 12, 40, 10
+#: Most boxes of a picture that is cut within one task.
+LARGE = 4096
 #: Least area and side of the content of a section.
 LEAST_AREA, LEAST_SIDE = 400, 24
 _KEPT_ROLES = ("nav", "badge", "footer", "graphic")
@@ -96,17 +102,166 @@ def _parts(df: DataFrame, region: str) -> DataFrame:
     return twice.withColumns({**sides, region: F.concat(F.col(region), F.col("__part").cast("string"))}).drop("__part")
 
 
-def content_sections(regions: DataFrame, rects: DataFrame, group: str = "image_id", *, least_area: int = LEAST_AREA, least_side: int = LEAST_SIDE) -> DataFrame:
-    """Regions shrunk to the bounds of what is in them: group, seq (from 1 in reading order), region, x0, y0, x1, y1; small and empty ones go."""
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where a new key begins in sorted keys."""
+    return np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+
+
+def _covering(own: np.ndarray, boxes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """disjoint() of the boxes (rows x0, y0, x1, y1) of many groups at once: group and rectangle of each."""
+    if not len(own):
+        return own, boxes
+    key = [own << 33 | boxes[:, c] + (1 << 31) for c in (1, 3)]
+    edges = np.unique(np.concatenate(key))
+    first, end = (np.searchsorted(edges, k) for k in key)
+    n = end - first
+    box = np.repeat(np.arange(len(own)), n)
+    slab = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+    order = np.lexsort((boxes[box, 2], boxes[box, 0], slab))
+    box, slab = box[order], slab[order]
+    x0, x1 = boxes[box, 0], boxes[box, 2]
+    # slabs go up, so the greatest end so far is one of the same slab unless it begins
+    reach = np.maximum.accumulate(slab << 33 | x1 + (1 << 31))
+    at = np.flatnonzero(np.concatenate([[True], (slab[1:] != slab[:-1]) | (x0[1:] + (1 << 31) > (reach[:-1] & (1 << 33) - 1))]))
+    ends = (reach[np.concatenate([at[1:], [len(reach)]]) - 1] & (1 << 33) - 1) - (1 << 31)
+    low, high = ((edges[slab[at] + k] & (1 << 33) - 1) - (1 << 31) for k in (0, 1))
+    return own[box[at]], np.stack([x0[at], low, ends, high], axis=1)
+
+
+def _middles(own: np.ndarray, rects: np.ndarray, n: int, axis: int, band: int) -> np.ndarray:
+    """The middle of the widest band of each of n regions along an axis (0 for x, 1 for y), as widest_bands() has it; -1 << 40 where none is."""
+    out = np.full(n, -1 << 40)
+    across = rects[:, 3 - axis] - rects[:, 1 - axis]
+    key = np.concatenate([own << 33 | rects[:, axis] + (1 << 31), own << 33 | rects[:, axis + 2] + (1 << 31)])
+    order = np.argsort(key, kind="stable")
+    key, change = key[order], np.concatenate([across, -across])[order]
+    at = _runs(key)
+    if not len(at):
+        return out
+    key, filled = key[at], np.add.reduceat(change, at).cumsum()  # a region's changes come to nothing
+    region, place = key >> 33, (key & (1 << 33) - 1) - (1 << 31)
+    starts = _runs(region)
+    most = np.zeros(n, np.int64)
+    most[region[starts]] = np.maximum.reduceat(filled, starts)
+    full = np.flatnonzero(filled > np.maximum(1, np.floor(most[region] * 0.02)))
+    if len(full) < 2:
+        return out
+    after, region, place = place[np.minimum(full + 1, len(place) - 1)], region[full], place[full]
+    gap = np.flatnonzero((region[1:] == region[:-1]) & (place[1:] - after[:-1] >= band))
+    of, start, end = region[1:][gap], after[:-1][gap], place[1:][gap]
+    order = np.lexsort((start, start - end, of))
+    best = order[_runs(of[order])]
+    out[of[best]] = (start[best] + end[best]) // 2
+    return out
+
+
+def _tree(boxes: np.ndarray, own: np.ndarray, n: int, canvas: tuple[int, int, int, int], band: int, side: int, depth: int) -> list[tuple]:
+    """The regions of n groups at once, level by level: group, region, its box, and the bounds of what is in it (or four None)."""
+    own, rects = _covering(own, boxes)
+    group, path, area = np.arange(n), np.zeros(n, np.int64), np.tile(np.array(canvas, np.int64), (n, 1))
+    out: list[tuple] = []
+    for level in range(depth + 1):
+        cuts, axis, at = np.zeros(len(group), bool), np.zeros(len(group), np.int64), np.zeros(len(group), np.int64)
+        if level < depth:
+            by_x, by_y = (_middles(own, rects, len(group), k, band) for k in (0, 1))
+            axis = (by_y > -1 << 40).astype(np.int64)
+            at, each = np.where(axis == 1, by_y, by_x), np.arange(len(group))
+            wide = area[:, 2:] - area[:, :2]
+            cuts = (at > -1 << 40) & (wide >= side).all(axis=1) & (at - area[each, axis] >= side) & (area[each, axis + 2] - at >= side)
+        held = np.concatenate([np.maximum(rects[:, :2], area[own, :2]), np.minimum(rects[:, 2:], area[own, 2:])], axis=1)
+        shown = (held[:, :2] < held[:, 2:]).all(axis=1) & ~cuts[own]
+        low, high = np.full((len(group), 2), 1 << 40), np.full((len(group), 2), -1 << 40)
+        np.minimum.at(low, own[shown], held[shown, :2])
+        np.maximum.at(high, own[shown], held[shown, 2:])
+        done = np.flatnonzero(~cuts)
+        inside = np.where((low[done] < high[done]).all(axis=1)[:, None], np.concatenate([low, high], axis=1)[done], None)
+        names = [f"{p:0{level}b}" if level else "" for p in path[done].tolist()]
+        out += zip(group[done].tolist(), names, *area[done].T.tolist(), *inside.T.tolist(), strict=True)
+        if not cuts.any():
+            break
+        # both parts of each cut region, next to each other
+        number, twice = np.cumsum(cuts) - 1, np.repeat(np.flatnonzero(cuts), 2)
+        part, rows = np.arange(len(twice)) % 2, np.arange(len(twice))
+        area, group, path = area[twice], group[twice], path[twice] * 2 + part
+        area[rows, axis[twice] + 2 - 2 * part] = at[twice]
+        kept = cuts[own]
+        own, rects = own[kept], rects[kept]
+        halves = []
+        for k in (0, 1):
+            cut_, rows = rects.copy(), np.arange(len(rects))
+            column = axis[own] + 2 - 2 * k
+            cut_[rows, column] = (np.minimum if k == 0 else np.maximum)(cut_[rows, column], at[own])
+            full = (cut_[:, :2] < cut_[:, 2:]).all(axis=1)
+            halves.append((2 * number[own[full]] + k, cut_[full]))
+        own, rects = (np.concatenate([h[i] for h in halves]) for i in (0, 1))
+    return out
+
+
+def region_tree(boxes: DataFrame, canvas: tuple[int, int, int, int], group: str = "image_id", *, band: int = BAND, side: int = SIDE, depth: int = DEPTH, large: int = LARGE) -> DataFrame:
+    """cut_regions() of disjoint() boxes on one canvas (x0, y0, x1, y1) for each group that has a box: group, region, its box, and held, the bounds of what is in it.
+
+    Pictures of few boxes, up to large, are cut in one pass, many of them at
+    once; the boxes of larger ones stay distributed and are cut level by level.
+    """
+    ship(boxes.sparkSession)
+    real = boxes.where("x0 < x1 AND y0 < y1").where(F.col(group).isNotNull()).select(F.col(group).cast("long").alias(group), *(F.col(c).cast("int").alias(c) for c in geometry.SIDES))
+    counted = real.withColumn("__n", F.count("*").over(Window.partitionBy(group)))  # which also brings each group together
+    held = [f"h{c}" for c in geometry.SIDES]
+    names = [group, "region", *geometry.SIDES, *held, "__left"]
+
+    def run(frames):
+        def made(pdf):
+            ids = pdf[group].to_numpy()
+            starts = _runs(ids)
+            own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
+            rows = _tree(pdf[list(geometry.SIDES)].to_numpy(np.int64), own, len(starts), canvas, band, side, depth)
+            out = pd.DataFrame(rows, columns=["k", *names[1:-1]])
+            out.insert(0, group, ids[starts][out.pop("k").to_numpy()])
+            return out.astype({h: "Int32" for h in held}).assign(__left=False)
+
+        kept = None
+        for frame in frames:
+            many = frame["__n"].to_numpy() > large
+            if many.any():
+                yield frame[many].assign(region=None, **{h: pd.array([None] * int(many.sum()), "Int32") for h in held}, __left=True)[names]
+            frame = frame[~many] if kept is None else pd.concat([kept, frame[~many]], ignore_index=True)
+            if len(frame):
+                last = len(frame) - int((frame[group].to_numpy() == frame[group].iloc[-1]).sum())
+                kept = frame.iloc[last:]
+                if last:
+                    yield made(frame.iloc[:last])
+        if kept is not None and len(kept):
+            yield made(kept)
+
+    types = f"{group} long, region string, " + ", ".join(f"{c} int" for c in (*geometry.SIDES, *held)) + ", __left boolean"
+    found = written(counted.mapInPandas(run, types), "regions")
+    bounds = F.when(F.col("hx0").isNotNull(), F.struct(*(F.col(h).alias(c) for h, c in zip(held, geometry.SIDES, strict=True)))).alias("held")
+    done = found.where("NOT __left").select(group, "region", *geometry.SIDES, bounds)
+    left = found.where("__left").select(group, *geometry.SIDES)
+    if not left.head(1):
+        return done
+    rects = written(disjoint(left, group), "large")
+    whole = left.select(group).distinct().select(group, *(F.lit(v).alias(c) for c, v in zip(geometry.SIDES, canvas, strict=True)))
+    regions = cut_regions(rects, whole, group, band=band, side=side, depth=depth)
+    return done.unionByName(regions.join(_bounds(regions, rects, group).select(group, "region", F.struct(*geometry.SIDES).alias("held")), [group, "region"], "left"))
+
+
+def _bounds(regions: DataFrame, rects: DataFrame, group: str) -> DataFrame:
+    """group, region, and the bounds of what is in it; empty ones have none."""
+    pairs = spatial.overlapping(regions, rects.withColumn("seq", F.lit(0)), group)
+    return pairs.groupBy(group, F.col("a_region").alias("region")).agg(*((F.min if k == "0" else F.max)((F.greatest if k == "0" else F.least)(F.col(f"a_box.{a}{k}"), F.col(f"b_box.{a}{k}"))).alias(f"{a}{k}") for a, k in ("x0", "y0", "x1", "y1")))
+
+
+def content_sections(regions: DataFrame, rects: DataFrame | None = None, group: str = "image_id", *, least_area: int = LEAST_AREA, least_side: int = LEAST_SIDE) -> DataFrame:
+    """Regions shrunk to the bounds of what is in them, as rects or the regions' own column held have it: group, seq (from 1 in reading order), region, x0, y0, x1, y1; small and empty ones go."""
     large = regions.where((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) >= least_area)
-    pairs = spatial.overlapping(large, rects.withColumn("seq", F.lit(0)), group)
-    held = pairs.groupBy(group, F.col("a_region").alias("region")).agg(*((F.min if k == "0" else F.max)((F.greatest if k == "0" else F.least)(F.col(f"a_box.{a}{k}"), F.col(f"b_box.{a}{k}"))).alias(f"{a}{k}") for a, k in ("x0", "y0", "x1", "y1")))
+    held = large.where("held IS NOT NULL").select(group, "region", "held.*") if rects is None else _bounds(large, rects, group)
     kept = held.where((F.col("x1") - F.col("x0") >= least_side) & (F.col("y1") - F.col("y0") >= least_side))
     return kept.withColumn("seq", F.row_number().over(Window.partitionBy(group).orderBy("region")))
 
 
 def _centred(elements: DataFrame, sections: DataFrame, group: str) -> DataFrame:
-    return spatial.overlapping(spatial._closed(elements), spatial._closed(sections), group).where(geometry.center_inside(F.col("a_own"), F.col("b_own")))
+    return spatial.centred(elements, sections, group)
 
 
 def assigned_roles(sections: DataFrame, texts: DataFrame, buttons: DataFrame, width: int, height: int, group: str = "image_id", key: str = "seq", *, cap: str = "cap_height") -> DataFrame:

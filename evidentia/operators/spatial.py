@@ -64,9 +64,17 @@ def smallest_container(boxes: DataFrame, least: float = 0.8, group: str = "image
     return boxes.join(found, [group, key], "left").select(group, key, "parent")
 
 
+def centred(elements: DataFrame, sections: DataFrame, group: str = "image_id", *, cell: int = CELL) -> DataFrame:
+    """Each pair of an element and a section whose closed box holds the element's centre: group, a_own, b_own (their boxes), and other columns as a_ and b_. An element is in the cell of its centre only, so that each pair meets once."""
+    middle = {c: F.floor((F.col(f"{x}0") + F.col(f"{x}1")) / 2 / cell) for c, x in (("__cx", "x"), ("__cy", "y"))}
+    a, b = (_sided(_closed(df), group, side) for df, side in ((elements.withColumns(middle), "a"), (_celled(sections, cell, 1), "b")))
+    met = a.join(b, [group, "__cx", "__cy"]).where((geometry.intersection(F.col("a_box"), F.col("b_box")) > 0) & geometry.center_inside(F.col("a_own"), F.col("b_own")))
+    return met.drop("__cx", "__cy", "a_box", "b_box")
+
+
 def section_of(elements: DataFrame, sections: DataFrame, group: str = "image_id", key: str = "seq") -> DataFrame:
     """The smallest section whose closed box holds each element's centre, the first on ties; null for the root."""
-    pairs = overlapping(_closed(elements), _closed(sections), group).where(geometry.center_inside(F.col("a_own"), F.col("b_own")))
+    pairs = centred(elements.select(group, key, *geometry.SIDES), sections.select(group, key, *geometry.SIDES), group)
     best = F.min(F.struct(geometry.area(F.col("b_own")).alias("area"), F.col(f"b_{key}").alias("section")))
     found = pairs.groupBy(group, F.col(f"a_{key}").alias(key)).agg(best.alias("s")).select(group, key, "s.section")
     return elements.join(found, [group, key], "left").select(group, key, "section")

@@ -88,24 +88,21 @@ def _content(spark, d):
 
 
 def _regions(spark, d):
-    rects = sections.disjoint(_content(spark, d))
-    sides = zip(("x0", "y0", "x1", "y1"), (0, 0, WIDTH, HEIGHT), strict=True)
-    canvas = rects.select("image_id").distinct().select("image_id", *(F.lit(v).alias(c) for c, v in sides))
-    return sections.cut_regions(rects, canvas), rects
+    return sections.region_tree(_content(spark, d), (0, 0, WIDTH, HEIGHT))
 
 
 @query(_sql("SELECT image_id, region, x0, y0, x1, y1 FROM regions"))
 def section_cuts(spark, d):
-    return _regions(spark, d)[0]
+    return _regions(spark, d).drop("held")
 
 
 @query(_sql("SELECT image_id, seq, region, x0, y0, x1, y1 FROM shown"))
 def content_sections(spark, d):
-    return sections.content_sections(*_regions(spark, d))
+    return sections.content_sections(_regions(spark, d))
 
 
 def _roles(spark, d):
-    shown = sections.content_sections(*_regions(spark, d))
+    shown = sections.content_sections(_regions(spark, d))
     content = _content(spark, d).where("x0 < x1")
     texts = content.where("kind = 'R'").withColumn("cap_height", F.expr(_TALL))
     return shown, content, sections.assigned_roles(shown, texts, content.where("kind = 'A'"), WIDTH, HEIGHT)
