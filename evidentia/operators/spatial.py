@@ -72,12 +72,12 @@ def centred(elements: DataFrame, sections: DataFrame, group: str = "image_id", *
     return met.drop("__cx", "__cy", "a_box", "b_box")
 
 
-def section_of(elements: DataFrame, sections: DataFrame, group: str = "image_id", key: str = "seq") -> DataFrame:
-    """The smallest section whose closed box holds each element's centre, the first on ties; null for the root."""
+def section_of(elements: DataFrame, sections: DataFrame, group: str = "image_id", key: str = "seq", *, kept: tuple[str, ...] = ()) -> DataFrame:
+    """The smallest section whose closed box holds each element's centre, the first on ties; null for the root: group, key, section, and the elements' columns kept."""
     pairs = centred(elements.select(group, key, *geometry.SIDES), sections.select(group, key, *geometry.SIDES), group)
     best = F.min(F.struct(geometry.area(F.col("b_own")).alias("area"), F.col(f"b_{key}").alias("section")))
     found = pairs.groupBy(group, F.col(f"a_{key}").alias(key)).agg(best.alias("s")).select(group, key, "s.section")
-    return elements.join(found, [group, key], "left").select(group, key, "section")
+    return elements.join(found, [group, key], "left").select(group, key, "section", *kept)
 
 
 def _closed(df: DataFrame) -> DataFrame:

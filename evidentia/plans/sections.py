@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidentia.lineage import cut
 from evidentia.operators import sections
 from evidentia.plans.bases import HEIGHT, WIDTH, base, with_sql
 
@@ -102,8 +103,8 @@ def content_sections(spark, d):
 
 
 def _roles(spark, d):
-    shown = sections.content_sections(_regions(spark, d))
-    content = _content(spark, d).where("x0 < x1")
+    shown = cut(sections.content_sections(_regions(spark, d)), "shown")
+    content = cut(_content(spark, d).where("x0 < x1").select("image_id", "seq", "kind", "x0", "y0", "x1", "y1"), "content")  # met several times
     texts = content.where("kind = 'R'").withColumn("cap_height", F.expr(_TALL))
     return shown, content, sections.assigned_roles(shown, texts, content.where("kind = 'A'"), WIDTH, HEIGHT)
 
@@ -136,7 +137,7 @@ def screen_summaries(spark, d):
         "kind": F.expr("CASE kind WHEN 'R' THEN 'text' WHEN 'A' THEN 'button' ELSE 'image' END"), "text": F.concat("kind", "seq"), "family": F.lit(None).cast("string"), "size": F.col("y1") - F.col("y0"),
         "labels": F.expr("CASE WHEN seq % 2 = 0 THEN array() ELSE array(concat('A', seq)) END"), "icon": F.lit(None).cast("string"), "fill": F.expr("CASE WHEN seq % 2 = 0 THEN '#102030' END"), "border": F.lit(None).cast("string"),
     }
-    elements = content.join(spatial.section_of(content, shown), ["image_id", "seq"]).withColumns(said)
+    elements = spatial.section_of(content.where("image_id IS NOT NULL"), shown, kept=("kind", "x0", "y0", "x1", "y1")).withColumns(said)
     return sections.summary_lines(shown.join(roles, ["image_id", "seq"]), elements, sections.theme(F.expr(_COLOR)), WIDTH, HEIGHT)
 
 
