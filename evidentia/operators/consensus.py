@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions import text
 from evidentia.operators.greedy import similarity
+from evidentia.shipping import ship
 
 # Lengths of words, least ratio of lengths, least similarity and lead over the second.
 SHORT, LONG, LENGTHS, LEAST, LEAD = 4, 32, 0.8, 0.6, 0.12
@@ -46,6 +47,7 @@ def repeated_words(entries: DataFrame, group: str) -> DataFrame:
     ties, where nothing wins. Null groups are groups like any other in neither
     table: their entries get nothing.
     """
+    ship(entries.sparkSession)
     n = F.length("look")
     near = observed(entries, group).withColumn("length", F.explode(F.sequence(F.ceil(n * LENGTHS).cast("int"), F.floor(n / LENGTHS).cast("int"))))
     words = vocabulary(entries, group).select(group, "word", F.col("look").alias("entry"), F.length("look").alias("length"))
