@@ -3,18 +3,15 @@
 Windowed spectra are folded onto twelve pitch classes. Over an integral image of
 those frames sixteen rectangle filters compare halves, quadrants and thirds in
 pitch or time; each comparison gives two bits, and a position's bits make one
-packed 32-bit item. Recordings of equal items are one class. A key joins the
-sign bits of KEY_ITEMS items KEY_STEP apart, or fewer in short recordings, the half of the bits that small
-shifts and noise turn least; a key that a class has again and again, as steady
-sound does, counts where it is first met. Keys index the classes; each class is
-compared with the first class of every key it has, and after that all classes
-that share a key of one item more and that no alignments connect yet with each
-other; only the latter grow with the square of a group, which blocks spread over
-tasks. For a pair that shares VOTES keys,
-or one where either has few, a histogram of the offsets of shared keys
-finds the alignment, and the bit errors along it the stretch that agrees. A short
-recording has too few places for one of its keys to stand a shift of half a hop,
-so it has keys of itself behind silences of parts of a hop as well.
+packed 32-bit item. Recordings of equal items are one class, and every pair of
+classes is compared at every offset, so that no alignment that counts is left
+out. Classes are tiles that are files, and a task gets pairs of tiles. A stretch
+that counts holds four of the places that stand a quarter of its least length apart in
+one recording, with few wrong bits at all, or the whole of a recording that is
+shorter than that, with few at both its ends: offsets at which neither holds
+are passed over, the others are measured. Of a pair of tiles only each class's best
+alignment, its number of alignments, and as many links as connect its classes leave the task. The
+comparison grows with the square of the items.
 """
 
 from __future__ import annotations
@@ -26,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.llm import _shared
+from evidentia.llm import _shared, tiles
 from evidentia.llm.components import components
 
 PITCHES, WIDTH = 12, 16
@@ -53,17 +50,16 @@ class Settings:
 
 #: For the bytes of short texts read as unsigned 8-bit samples at 8 kHz.
 BYTES = Settings(rate=8000, frame=512, hop=64, least_items=16)
-#: Shared keys from which two recordings of FEW keys or more are compared; one is enough where either has less, as steady sound has.
-VOTES, FEW = 2, 32
-#: Recordings of fewer items are also read behind silences of so many parts of a hop, so that some reading meets a copy at any shift; those of fewer than TINY are found by single items.
-SHORT, TINY, PARTS = 48, 7, ((7, 8), (16, 4), (48, 2))
+#: Recordings of fewer items have keys of fewer items, those of fewer than TINY single items.
+SHORT, TINY = 48, 7
 #: Up to so many items a key joins two, and from so many three: recordings between have both.
 _TWO_TO, _THREE_FROM = 18, 14
-#: Rows of a key that one task compares with as many others.
-KEY_BLOCK = 512
+#: Items of a tile, and comparisons that are held at once.
+TILE, _CELLS = 1 << 15, 1 << 22
 #: The sign bits of an item.
 _SIGNS = np.uint32(0xAAAAAAAA)
 _SALTS = 32
+_COLUMNS = ["print", "first", "offset", "aligned", "error", "n"]
 
 
 def _pitch_map(s: Settings) -> np.ndarray:
@@ -153,7 +149,7 @@ def keys(own: np.ndarray, size: int, step: int) -> tuple[np.ndarray, np.ndarray,
 
 
 def all_keys(own: np.ndarray, late: list[np.ndarray], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ma.MaskedArray]:
-    """The keys of a recording and of its readings behind silence (positions count from the silence, so they may be one too high), their size by its number of items; the third array, the keys by which classes are compared among each other, is masked for single items and behind silence."""
+    """The keys of a recording and of its readings behind silence (positions count from the silence, so they may be one too high), their size by its number of items; the third array, those of one item more, is masked for single items and behind silence. align() needs no keys; this says which recordings an index by keys would bring together."""
     n = len(own)
     sizes = [s.key_items] if n >= SHORT else [k for k, holds in ((1, n < TINY), (2, TINY - 2 <= n <= _TWO_TO), (s.key_items, n >= _THREE_FROM)) if holds]
     made = [(*keys(x, k, s.key_step), k == 1 or x is not own) for x in (own, *late) for k in sizes]
@@ -165,17 +161,6 @@ def all_keys(own: np.ndarray, late: list[np.ndarray], s: Settings) -> tuple[np.n
     return at[first].astype(np.int32), found, np.ma.array(longer[first], mask=alone[first])
 
 
-def behind_silence(clips: list[np.ndarray], made: list[np.ndarray], s: Settings) -> list[list[np.ndarray]]:
-    """The items of each short clip behind silences of parts of a hop; none for others."""
-    parts = [next((n for below, n in PARTS if len(own) < below), 1) if len(own) else 1 for own in made]
-    wanted = [(k, s.hop * d // n) for k, n in enumerate(parts) for d in range(1, n)]
-    out: list[list[np.ndarray]] = [[] for _ in clips]
-    found = items([np.concatenate([np.zeros(p, np.float32), clips[k]]) for k, p in wanted], s) if wanted else []
-    for (k, _), own in zip(wanted, found, strict=True):
-        out[k].append(own)
-    return out
-
-
 def stretch(a: np.ndarray, b: np.ndarray, offset: int, item_error: int) -> tuple[int, int, int]:
     """(start in a, items, wrong bits) of the longest run along the alignment a[i] ~ b[i + offset] whose items have at most item_error wrong bits."""
     lo, hi = max(0, -offset), min(len(a), len(b) - offset)
@@ -188,8 +173,183 @@ def stretch(a: np.ndarray, b: np.ndarray, offset: int, item_error: int) -> tuple
     return lo + first, last - first, int(wrong[first:last].sum())
 
 
+class Tile:
+    """Recordings one after the other: prints, lens and starts of each, and of all items flat and own (the recording)."""
+
+    def __init__(self, data: bytes):
+        words = np.frombuffer(data, "<u4")
+        prints, lens, at = [], [], 0
+        while at < len(words):
+            prints.append(words[at : at + 2].view("<i8")[0])
+            lens.append(int(words[at + 2]))
+            at += 3 + lens[-1]
+        self.prints, self.lens = np.array(prints, np.int64), np.array(lens, np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+        self.own = np.repeat(np.arange(len(lens)), self.lens)
+        self.flat = words[np.arange(len(self.own)) + 3 * (self.own + 1)].astype(np.uint32)
+
+    @staticmethod
+    def record(print_: int, own: np.ndarray) -> bytes:
+        return np.int64(print_).tobytes() + np.uint32(len(own)).tobytes() + own.astype("<u4").tobytes()
+
+
+def _wrong(a: Tile, i: np.ndarray, b: Tile, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a.flat[i] ^ b.flat[j]).astype(np.int64)
+
+
+def _within(a: Tile, b: Tile, s: Settings) -> list[np.ndarray]:
+    """Alignments of a's recordings of fewer than least_items with recordings of b that hold them whole: rows of x in a, y in b, offset, items, wrong bits."""
+    out = []
+    for n in np.unique(a.lens[a.lens < s.least_items]).tolist():
+        most = s.most_error * 32 * n
+        xs, width = np.flatnonzero(a.lens == n), len(b.flat) - n + 1
+        if width <= 0:
+            continue
+        fits, low = b.own[:width] == b.own[n - 1 :], min(s.item_error, int(most))
+        for k in range(0, len(xs), max(1, _CELLS // width)):
+            part = a.starts[xs[k : k + max(1, _CELLS // width)]]
+            near = (np.bitwise_count(a.flat[part, None] ^ b.flat[None, :width]) <= low) & fits
+            if n > 1:
+                near &= np.bitwise_count(a.flat[part + n - 1, None] ^ b.flat[None, n - 1 :]) <= low
+            r, j = np.divmod(np.flatnonzero(near), width)
+            i, total = part[r], np.zeros(len(r), np.int64)
+            for t in range(n):
+                each = _wrong(a, i + t, b, j + t)
+                kept = (each <= s.item_error) & (total + each <= most)
+                i, j, total = i[kept], j[kept], (total + each)[kept]
+            x, y = a.own[i], b.own[j]
+            out.append(np.stack([x, y, j - b.starts[y], np.full(len(x), n), total]))
+    return out
+
+
+def _measured(a: Tile, b: Tile, x: np.ndarray, y: np.ndarray, offset: np.ndarray, s: Settings) -> np.ndarray:
+    """stretch() of many alignments a[i] ~ b[i + offset] side by side: rows of x, y, offset, items, wrong bits of those that count."""
+    lo, hi = np.maximum(0, -offset), np.minimum(a.lens[x], b.lens[y] - offset)
+    ends, out, k = np.cumsum(hi - lo + 1), [], 0
+    while k < len(x):
+        end = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _CELLS, "right")))
+        sizes = (hi - lo)[k:end] + 1  # each alignment is followed by a place that ends its last stretch
+        stop = np.cumsum(sizes)
+        at = np.arange(stop[-1]) - np.repeat(stop - sizes, sizes)
+        i = np.minimum(np.repeat((a.starts[x] + lo)[k:end], sizes) + at, len(a.flat) - 1)
+        j = np.minimum(np.repeat((b.starts[y] + lo + offset)[k:end], sizes) + at, len(b.flat) - 1)
+        wrong = _wrong(a, i, b, j)
+        wrong[stop - 1] = 33
+        bad = np.flatnonzero(wrong > s.item_error)
+        wrong[bad] = 0
+        total, before = np.concatenate([[0], np.cumsum(wrong)]), np.concatenate([[-1], bad[:-1]])
+        length = bad - before - 1
+        first = np.searchsorted(bad, stop - sizes)
+        # the longest, the first on ties
+        longest = np.maximum.reduceat(length * (1 << 32) - np.arange(len(length)), first)
+        best = -longest & ((1 << 32) - 1)
+        out.append(np.stack([x[k:end], y[k:end], offset[k:end], length[best], total[bad[best]] - total[before[best] + 1]]))
+        k = end
+    made = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+    least = np.minimum(s.least_items, np.minimum(a.lens[made[0]], b.lens[made[1]]))
+    return made[:, (made[3] >= least) & (made[4] <= s.most_error * 32 * made[3])]
+
+
+def _along(a: Tile, b: Tile, s: Settings, same: bool) -> list[np.ndarray]:
+    """Alignments of recordings of least_items or more: a stretch of so many items holds four places of a that are a quarter as many apart, and all between."""
+    step = s.least_items // 4  # 0 where fewer than four items are a stretch
+    every, across = max(1, step), 3 * step
+    width = len(b.flat) - across
+    if width <= 0:
+        return []
+    inner = np.arange(len(a.flat)) - a.starts[a.own]
+    rows = np.flatnonzero((a.lens[a.own] >= s.least_items) & (inner % every == 0))
+    fits = (b.own[:width] == b.own[across:]) & (b.lens[b.own[:width]] >= s.least_items)
+    out: list[np.ndarray] = []
+    found: list[np.ndarray] = []
+    high = max(1, _CELLS // len(b.flat))
+
+    def measure():
+        if found:
+            x, y, offset = np.unique(np.concatenate(found, axis=1), axis=1)
+            out.append(_best(_measured(a, b, x, y, offset, s)))
+            found.clear()
+
+    for k in range(0, len(rows), high):
+        part = rows[k : k + high + 3 * (step > 0)]  # and those that follow
+        near = np.bitwise_count(a.flat[part, None] ^ b.flat[None, :]) <= s.item_error
+        if step:
+            if len(part) < 4:
+                break
+            met = near[:-3, :width] & near[3:, across:] & (a.own[part[:-3]] == a.own[part[3:]])[:, None]
+            for t in (1, 2):
+                met &= near[t : t - 3, t * step : t * step + width]
+            near = met
+        r, j = np.divmod(np.flatnonzero(near & fits), width)
+        i = part[r]
+        for t in range(1, across):
+            kept = _wrong(a, i + t, b, j + t) <= s.item_error
+            i, j = i[kept], j[kept]
+        x, y = a.own[i], b.own[j]
+        kept = x < y if same else np.ones(len(x), bool)
+        offset = (j - b.starts[y]) - (i - a.starts[x])
+        found.append(np.stack([x, y, offset])[:, kept])
+        if sum(f.shape[1] for f in found) > _CELLS // 4:
+            measure()
+    measure()
+    return out
+
+
+def _best(rows: np.ndarray) -> np.ndarray:
+    """Of the rows of each pair (x, y) that of most items, of these that of the fewest wrong bits, then of the least shift."""
+    rows = rows[:, np.lexsort((rows[2], np.abs(rows[2]), rows[4], -rows[3], rows[1], rows[0]))]
+    new = np.ones(rows.shape[1], bool)
+    new[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+    return rows[:, new]
+
+
+def alignments(a: Tile, b: Tile | None, s: Settings) -> np.ndarray:
+    """The best alignment of each pair of recordings of two tiles (of one, where b is None) of which one counts: rows of x in a, y in b, offset, items, wrong bits."""
+    same, b = b is None, a if b is None else b
+    rows = _along(a, b, s, same) + _within(a, b, s)
+    if not same:
+        rows += [np.stack([y, x, -offset, n, wrong]) for x, y, offset, n, wrong in _within(b, a, s)]
+    rows = np.concatenate([*rows, np.zeros((5, 0), np.int64)], axis=1)
+    if same:
+        turned = rows[0] > rows[1]
+        rows[:2, turned], rows[2, turned] = rows[1::-1, turned], -rows[2, turned]
+        rows = rows[:, rows[0] < rows[1]]
+    return _best(rows)
+
+
+def _told(a: Tile, b: Tile | None, found: np.ndarray) -> pa.RecordBatch:
+    """What leaves a pair of tiles: each class's best alignment (print, first, offset, aligned, error) with its number n of alignments, and links that connect the classes, without those and with n 0."""
+    p, q = a.prints[found[0]], (b or a).prints[found[1]]
+    ends = np.concatenate([np.stack([p, q, found[2], found[3], found[4]]), np.stack([q, p, -found[2], found[3], found[4]])], axis=1)
+    ends = ends[:, np.lexsort((ends[1], ends[4], -ends[3], ends[0]))]
+    own, at, n = np.unique(ends[0], return_index=True, return_counts=True)
+    top = ends[:, at]
+    above: dict[int, int] = {}
+
+    def root(k: int) -> int:
+        while (up := above.get(k, k)) != k:
+            above[k] = above.get(up, up)
+            k = up
+        return k
+
+    links = []
+    for x, y in zip(p.tolist(), q.tolist(), strict=True):
+        rx, ry = root(x), root(y)
+        if rx != ry:
+            above[max(rx, ry)] = min(rx, ry)
+            links.append((x, y))
+    src, dst = np.array(links, np.int64).reshape(-1, 2).T
+    none = np.ones(len(src), bool)
+
+    def both(x, kind):
+        return pa.array(np.concatenate([x, np.zeros(len(src), x.dtype)]), kind, mask=np.concatenate([np.zeros(len(own), bool), none]))
+
+    kept = [pa.array(np.concatenate([own, src])), pa.array(np.concatenate([top[1], dst])), both(top[2], pa.int64()), both(top[3], pa.int64()), both(top[4] / (32 * np.maximum(top[3], 1)), pa.float64())]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate([n, np.zeros(len(src), n.dtype)]), pa.int64())], _COLUMNS)
+
+
 def fingerprint(df: DataFrame, *, id_col: str, pcm_col: str, settings: Settings, dtype: str = "<i2") -> DataFrame:
-    """id, items (array of int, the packed bits), print (hash of all items) and late (the items of short clips behind silences) of each row's PCM bytes; null and empty clips have no items."""
+    """id, items (array of int, the packed bits) and print (hash of all items) of each row's PCM bytes; null and empty clips have no items."""
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
@@ -201,85 +361,50 @@ def fingerprint(df: DataFrame, *, id_col: str, pcm_col: str, settings: Settings,
                 scale, zero = (128.0, 128.0) if np.dtype(dtype).kind == "u" else (float(np.iinfo(dtype).max), 0.0)
                 clips = [((x.astype(np.float32) - zero) / scale) for x in raw]
                 made = items(clips, settings)
-                late = behind_silence(clips, made, settings)
                 lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int32), pa.array(np.concatenate(made).view(np.int32)))
                 prints = pa.array([xxh3_64_intdigest(x.tobytes()) - (1 << 63) for x in made], pa.int64())
-                lates = pa.array([[x.view(np.int32) for x in each] for each in late], pa.list_(pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, prints, lates], ["id", "items", "print", "late"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, prints], ["id", "items", "print"])
 
     rows = _shared.positional(df).select(_shared.column(df, id_col).cast("long").alias("id"), _shared.column(df, pcm_col).cast("binary").alias("pcm"))
-    return _shared.map_arrow(rows, run, "id long, items array<int>, print long, late array<array<int>>")
+    return _shared.map_arrow(rows, run, "id long, items array<int>, print long")
 
 
 def align(df: DataFrame, *, id_col: str = "id", pcm_col: str = "pcm", settings: Settings = Settings(), dtype: str = "<i2") -> DataFrame:
-    """One row for each row of df: id, n_items, class_id (least id of equal items), aligned_with, offset, aligned_items, bit_error, recording_id.
+    """One row for each row of df: id, n_items, class_id (least id of equal items), aligned_with, offset, aligned_items, bit_error, recording_id, n_links.
 
-    aligned_with is the class whose alignment covers most items, of those that
-    were compared with this one: the first class of each key, the classes that
-    this one is the first of, and those that share a key and no alignment had
-    connected. offset is what to add to a position here to find it there; all
-    four are null where none counts. recording_id is the least class that alignments reach. Rows of a
+    All pairs of classes are compared at all offsets. aligned_with is the class
+    whose alignment covers most items, then has the fewest wrong bits, then the
+    least print; offset is what to add to a position here to find it there; all
+    four are null where none counts. n_links is the number of classes that align
+    with this one. recording_id is the least class that alignments reach. Rows of a
     null id have class and recording null where no row of their class has an id.
     Null and empty clips are one class, without items; repeated rows are one
     class each; an empty table gives no rows; other columns don't matter.
     """
     made = _shared.materialize(fingerprint(df, id_col=id_col, pcm_col=pcm_col, settings=settings, dtype=dtype), "prints")
     members = made.select("id", F.size("items").alias("n_items"), "print")
-    classes = made.groupBy("print").agg(F.min("id").alias("class_id"), F.first("items").alias("items"), F.first("late").alias("late"))
-    classes = _shared.materialize(classes, "recordings")
+    classes = _shared.materialize(made.groupBy("print").agg(F.min("id").alias("class_id"), F.first("items").alias("items")), "recordings")
+    n = -(-(classes.agg(F.sum(F.size("items"))).first()[0] or 0) // TILE)
 
-    def key_rows(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                own = [x.values.to_numpy().view(np.uint32) for x in part.column(1)]
-                late = [[np.asarray(y, np.int32).view(np.uint32) for y in x] for x in part.column(2).to_pylist()]
-                at, found, longer = zip(*(all_keys(x, y, settings) for x, y in zip(own, late, strict=True)), strict=True)
-                n = np.array([len(x) for x in at])
-                few = (n < FEW) | (np.array([len(x) for x in own]) < SHORT)
-                place = np.concatenate(at) * 2 + np.repeat(few, n)  # a position and, in the lowest bit, whether the recording has few keys
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), n)), pa.array(place.astype(np.int32)), pa.array(np.concatenate(found)), pa.array(np.concatenate([x.data for x in longer]), mask=np.concatenate([np.ma.getmaskarray(x) for x in longer]))], ["print", "at", "key", "longer"])
-
-    index = _shared.map_arrow(classes.select("print", "items", "late"), key_rows, "print long, at int, key long, longer long")
-    firsts = index.groupBy("key").agg(F.min(F.struct("print", "at")).alias("first"), F.max("print").alias("most")).where("most <> first.print").select("key", F.col("first.print").alias("first"), F.col("first.at").alias("first_at"))
-    shared = _shared.materialize(index.join(_shared.materialize(firsts, "shared-keys"), "key"), "shared")
-
-    def compare(batches):
+    def records(batches):
         for batch in batches:
-            rows = []
-            for k, (own, first, offset) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-                a, b = (batch.column(i)[k].values.to_numpy().view(np.uint32) for i in (3, 4))
-                near = (offset - 1, offset, offset + 1) if min(len(a), len(b)) < SHORT else (offset,)
-                n, wrong, offset = max(((n, -wrong, o) for o in near for _, n, wrong in (stretch(a, b, o, settings.item_error),)), key=lambda x: (x[0], x[1], -abs(x[2])))
-                wrong = -wrong
-                if n >= min(settings.least_items, len(a), len(b)) and wrong <= settings.most_error * 32 * n:
-                    rows.append((own, first, offset, n, wrong / (32 * n)))
-            if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["print", "first", "offset", "aligned", "error"])
-
-    def compared(meetings):
-        """The alignments that count, of the offset that most keys of a pair have in meetings (print, at, first, first_at)."""
-        offset = F.shiftright("first_at", 1) - F.shiftright("at", 1)
-        weight = F.when(F.col("at").bitwiseOR(F.col("first_at")).bitwiseAND(F.lit(1)) == 1, VOTES).otherwise(1)
-        offsets = meetings.select("print", "first", offset.alias("offset"), weight.alias("n")).groupBy("print", "first", "offset").agg(F.sum("n").alias("n"))
-        best = offsets.groupBy("print", "first").agg(F.max(F.struct("n", -F.abs("offset"), "offset")).alias("best"), F.sum("n").alias("n")).where(F.col("n") >= VOTES).select("print", "first", F.col("best.offset").alias("offset"))
-        pairs = best.join(classes.select("print", F.col("items").alias("a")), "print").join(classes.select(F.col("print").alias("first"), F.col("items").alias("b")), "first")
-        return _shared.materialize(_shared.map_arrow(pairs.select("print", "first", "offset", "a", "b"), compare, "print long, first long, offset int, aligned int, error double"), "alignments")
-
-    aligned = compared(shared.where("print <> first"))
-    roots = components(aligned.select(F.col("print").alias("src"), F.col("first").alias("dst")))
-    placed = shared.where("longer IS NOT NULL").select("longer", "print", "at").join(roots.withColumnRenamed("node", "print"), "print", "left").select(F.col("longer").alias("key"), "print", "at", F.coalesce("root", "print").alias("root"))
-    placed = _shared.materialize(placed, "placed")
-    several = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / KEY_BLOCK).alias("blocks"))
-    apart = placed.join(_shared.materialize(several, "keys-apart"), "key").select("key", "print", "at", "root", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1).alias("all"), F.pmod(F.xxhash64("print"), "blocks").alias("own"))
-    apart = _shared.materialize(apart, "apart")
-    left = apart.select("key", "print", "at", "root", F.col("own").alias("x"), F.explode("all").alias("y"))
-    right = apart.select("key", F.col("print").alias("first"), F.col("at").alias("first_at"), F.col("root").alias("first_root"), F.explode("all").alias("x"), F.col("own").alias("y"))
-    rest = left.join(right, ["key", "x", "y"]).where("print > first AND root <> first_root")
-    aligned = aligned.unionByName(compared(rest))
-    mirror = aligned.select(F.col("first").alias("print"), F.col("print").alias("first"), (-F.col("offset")).alias("offset"), "aligned", "error")
-    top = aligned.unionByName(mirror).groupBy("print").agg(F.max(F.struct("aligned", -F.col("error"), -F.col("first"), F.struct("first", "offset", "aligned", "error").alias("it"))).alias("top")).select("print", "top.it.*")
+            own = [Tile.record(p, x.values.to_numpy().view(np.uint32)) for p, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["name", "item"])
+
+    tiling = tiles.Tiling(_shared.scratch(df.sparkSession, "recording-tiles"), (0,), (0,), n)
+    if n:
+        named = classes.where(F.size("items") > 0).select(F.concat(F.lit("tile-"), F.pmod(F.xxhash64("print"), F.lit(n))).alias("name"), "print", "items")
+        tiles.write_groups(_shared.map_arrow(named, records, "name string, item binary"), tiling.path, "name")
+
+    def run(i: int, j: int) -> pa.RecordBatch | None:
+        a, b = Tile(tiles.read(f"{tiling.path}/tile-{i}")), None if i == j else Tile(tiles.read(f"{tiling.path}/tile-{j}"))
+        found = alignments(a, b, settings) if len(a.lens) and (b is None or len(b.lens)) else np.zeros((5, 0), np.int64)
+        return _told(a, b, found) if found.shape[1] else None
+
+    schema = "print long, first long, offset long, aligned long, error double, n long"
+    aligned = _shared.materialize(tiles.pairs(df.sparkSession, tiling, 0, run, schema), "alignments")
+    top = aligned.where("n > 0").groupBy("print").agg(F.max(F.struct("aligned", -F.col("error"), -F.col("first"), F.struct("first", "offset", "aligned", "error").alias("it"))).alias("top"), F.sum("n").alias("n_links"))
+    top = top.select("print", F.col("top.it.first").alias("first"), F.col("top.it.offset").cast("int").alias("offset"), F.col("top.it.aligned").cast("int").alias("aligned"), "top.it.error", "n_links")
     roots = components(aligned.select(F.col("print").alias("src"), F.col("first").alias("dst"))).select(F.col("node").alias("print"), "root")
     named = classes.select("print", "class_id")
     known = _shared.materialize(named.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")), "recording-roots")
@@ -287,7 +412,7 @@ def align(df: DataFrame, *, id_col: str = "id", pcm_col: str = "pcm", settings:
     least = known.groupBy("root").agg(F.min("class_id").alias("recording_id")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
     known = known.withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(_SALTS))).join(least, ["root", "salt"]).join(top, "print", "left")
     known = known.join(named.select(F.col("print").alias("first"), F.col("class_id").alias("aligned_with")), "first", "left")
-    return members.join(known, "print").select("id", "n_items", "class_id", "aligned_with", F.col("offset"), F.col("aligned").alias("aligned_items"), F.col("error").alias("bit_error"), "recording_id")
+    return members.join(known, "print").select("id", "n_items", "class_id", "aligned_with", F.col("offset"), F.col("aligned").alias("aligned_items"), F.col("error").alias("bit_error"), "recording_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
 def op5_chroma_prints(spark, sf_dir: str) -> DataFrame:
