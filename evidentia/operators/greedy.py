@@ -8,11 +8,12 @@ a frame each: sorted partitions are read in batches, one group after another.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,22 +23,24 @@ SIDES = ["x0", "y0", "x1", "y1"]
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Shared area of every box of a with every box of b."""
-    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
-    return np.prod(np.maximum(high - low, 0), axis=2)
+    """Shared area of every box of a with every box of b; axes before the last two are groups side by side, here and in all scores."""
+    a, b = a[..., :, None, :], b[..., None, :, :]
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    return np.maximum(w, 0) * np.maximum(h, 0)
 
 
 def _area(a: np.ndarray) -> np.ndarray:
-    return (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+    return (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1])
 
 
 def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     common = _common(a, b)
-    return common / np.maximum(1, _area(a)[:, None] + _area(b)[None, :] - common)
+    return common / np.maximum(1, _area(a)[..., :, None] + _area(b)[..., None, :] - common)
 
 
 def smaller_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return _common(a, b) / np.maximum(1, np.minimum(_area(a)[:, None], _area(b)[None, :]))
+    return _common(a, b) / np.maximum(1, np.minimum(_area(a)[..., :, None], _area(b)[..., None, :]))
 
 
 def script_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -46,12 +49,18 @@ def script_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def assign(scores: np.ndarray, least: float) -> np.ndarray:
     """For each row in turn the free column of the highest score, the first on ties; -1 where that is below least."""
-    scores, out = scores.astype(float).copy(), np.full(len(scores), -1)
-    for i in range(len(scores) if scores.shape[1] else 0):
-        k = int(scores[i].argmax())
-        if scores[i, k] >= least and scores[i, k] > 0:
-            out[i] = k
-            scores[:, k] = -1.0
+    scores = scores.astype(float).copy()
+    out = np.full(scores.shape[:-1], -1)
+    if not scores.size:
+        return out
+    flat, found = scores.reshape(-1, *scores.shape[-2:]), out.reshape(-1, out.shape[-1])
+    groups = np.arange(len(flat))
+    for i in range(out.shape[-1]):
+        k = flat[:, i].argmax(axis=1)
+        best = flat[groups, i, k]
+        taken = (best >= least) & (best > 0)
+        found[taken, i] = k[taken]
+        flat[groups[taken], :, k[taken]] = -1.0
     return out
 
 
@@ -124,23 +133,90 @@ def each_group(df: DataFrame, group: str, order: list[str], columns: list[str],
     return ordered.mapInPandas(run, f"{group} long, {types}")
 
 
-def _boxes(rows: Rows) -> np.ndarray:
-    return rows.floats(SIDES)
-
+#: Rows that a step over whole batches gets at least, and numbers that it holds at once for groups of one shape.
+_BATCH_ROWS, _HELD = 1 << 16, 1 << 20
 
-def match_one_to_one(left: DataFrame, right: DataFrame, group: str = "image_id", *, least: float = 0.30, score: Callable = iou_matrix) -> DataFrame:
-    """Full outer one-to-one matching in order of the left rows: group, left_seq, right_seq, score (rounded to six places); null where one has no partner."""
 
-    def step(pdf: Rows) -> list[tuple]:
-        first = len(pdf) - int(pdf["__second"].sum())  # those of the left come first
-        p, q = pdf["seq"][:first], pdf["seq"][first:]
-        s = score(_boxes(pdf)[:first], _boxes(pdf)[first:])
-        got = assign(s, least)
-        rows = [(int(p[i]), int(q[k]) if k >= 0 else None, round(float(s[i, k]), 6) if k >= 0 else None) for i, k in enumerate(got)]
-        return rows + [(None, int(q[k]), None) for k in sorted(set(range(len(q))) - set(got.tolist()))]
+def each_batch(df: DataFrame, group: str, order: list[str], columns: list[str], names: list[str], types: str, step: Callable, *, kept: Sequence[str] = ()) -> DataFrame:
+    """each_group() for steps over many groups side by side: step gets columns as arrays, those kept as Arrow arrays (of whole groups, one after the other) and where each group starts, and gives the rows whose groups its results belong to and an array for each of names."""
+    ship(df.sparkSession)
+    keys = [c.removeprefix("-") for c in order]
+    by = [F.col(k).desc_nulls_last() if c.startswith("-") else F.col(k).asc_nulls_last() for c, k in zip(order, keys, strict=True)]
+    cols = list(dict.fromkeys([group, *columns, *kept]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+            rows, arrays = step({c: batch.column(k) if c in kept else batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(cols)}, starts)
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(x if isinstance(x, pa.Array) else pa.array(x) for x in arrays)], [group, *names])
+
+        parts, size, wanted = [], 0, _BATCH_ROWS
+        for batch in batches:
+            parts.append(batch)
+            size += batch.num_rows
+            if size < wanted:
+                continue
+            whole = pa.concat_batches(parts)
+            starts = _starts(whole.column(0).to_pandas())
+            if len(starts) > 1:
+                yield made(whole.slice(0, starts[-1]), starts[:-1])
+            parts, size = [whole.slice(starts[-1])], size - int(starts[-1])
+            wanted = max(_BATCH_ROWS, 2 * size)
+        if size:
+            whole = pa.concat_batches(parts)
+            yield made(whole, _starts(whole.column(0).to_pandas()))
 
-    both = [df.select(group, "seq", *SIDES, F.lit(second).alias("__second")) for df, second in ((left, False), (right, True))]
-    return each_group(both[0].unionByName(both[1]), group, ["__second"], SIDES, ["left_seq", "right_seq", "score"], "left_seq long, right_seq long, score double", step)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told by number, so that small rows with much to do aren't brought together
+    ordered = df.select(list(dict.fromkeys([*cols, "seq", *keys]))).repartition(n, group).sortWithinPartitions(F.col(group), *by, F.col("seq")).select(cols)
+    return ordered.mapInArrow(run, f"{group} long, {types}")
+
+
+def _shapes(*sizes: np.ndarray) -> Iterator[tuple[tuple[int, ...], np.ndarray]]:
+    """Each combination of sizes that groups have, with those groups, as many at a time as may be held."""
+    code, at = np.unique(np.stack(sizes, axis=1), axis=0, return_inverse=True)
+    order = np.argsort(at.ravel(), kind="stable")
+    for shape, groups in zip(code.tolist(), np.split(order, np.cumsum(np.bincount(at.ravel()))[:-1]), strict=True):
+        n = max(1, _HELD // max(1, sum(shape)) ** 2)
+        for k in range(0, len(groups), n):
+            yield tuple(shape), groups[k : k + n]
+
+
+def _sides(columns: dict) -> np.ndarray:
+    return np.stack([columns[c].astype(float) for c in SIDES], axis=1)
+
+
+def match_one_to_one(left: DataFrame, right: DataFrame, group: str = "image_id", *, least: float = 0.30, score: Callable = iou_matrix, kept: tuple[str, ...] = ()) -> DataFrame:
+    """Full outer one-to-one matching in order of the left rows: group, left_seq, right_seq, score (rounded to six places), and columns kept of both as left_ and right_; null where one has no partner."""
+
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        boxes, seq = _sides(columns), columns["seq"]
+        right = np.add.reduceat(columns["__second"].astype(int), starts)
+        left = np.diff(np.append(starts, len(seq))) - right  # those of the left come first
+        pairs, alone = [], [np.zeros((2, 0), int)]
+        for (n, m), groups in _shapes(left, right):
+            p = starts[groups, None] + np.arange(n)
+            q = starts[groups, None] + n + np.arange(m)
+            s = score(boxes[p], boxes[q])
+            got = assign(s, least)
+            g, i = np.nonzero(got >= 0)
+            k = got[g, i]
+            pairs.append((p[g, i], q[g, k], s[g, i, k]))
+            free = np.ones((len(groups), m), bool)
+            free[g, k] = False
+            alone += [np.stack([x[where], np.full(int(where.sum()), side)]) for x, where, side in ((p, got < 0, 0), (q, free, 1))]
+        i, j, scores = (np.concatenate([x[k] for x in pairs]) for k in range(3))
+        rest, side = np.concatenate(alone, axis=1)
+        l, r = np.concatenate([i, rest]), np.concatenate([j, rest])
+        no_left, no_right = np.concatenate([np.zeros(len(i), bool), side == 1]), np.concatenate([np.zeros(len(i), bool), side == 0])
+        rounded = pa.array([*(round(x, 6) for x in scores.tolist()), *[None] * len(rest)], pa.float64())
+        told = [pa.array(seq[l].astype(np.int64), mask=no_left), pa.array(seq[r].astype(np.int64), mask=no_right), rounded]
+        return l, told + [columns[c].take(pa.array(x, mask=no)) for x, no in ((l, no_left), (r, no_right)) for c in kept]
+
+    both = [df.select(group, "seq", *SIDES, *kept, F.lit(second).alias("__second")) for df, second in ((left, False), (right, True))]
+    both = both[0].unionByName(both[1])
+    more = [(f"{side}_{c}", both.schema[c].dataType.simpleString()) for side in ("left", "right") for c in kept]
+    names = ["left_seq", "right_seq", "score", *(c for c, _ in more)]
+    types = ", ".join(["left_seq long, right_seq long, score double", *(f"{c} {kind}" for c, kind in more)])
+    return each_batch(both, group, ["__second"], ["seq", *SIDES, "__second"], names, types, step, kept=kept)
 
 
 def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group: str = "image_id") -> DataFrame:
@@ -149,11 +225,20 @@ def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group:
     base and second: group, seq, text, confidence. Returns group, left_seq,
     right_seq, text, confidence, verified, method.
     """
-    from evidentia.functions.text import reading_text
-
     a = base.select(group, F.col("seq").cast("long").alias("left_seq"), F.col("text").alias("ta"), F.col("confidence").alias("ca"))
     b = second.select(group, F.col("seq").cast("long").alias("right_seq"), F.col("text").alias("tb"), F.col("confidence").alias("cb"))
-    j = matched.join(a, [group, "left_seq"], "left").join(b, [group, "right_seq"], "left")
+    return _fused(matched.join(a, [group, "left_seq"], "left").join(b, [group, "right_seq"], "left"), group)
+
+
+def match_and_fuse(base: DataFrame, second: DataFrame, group: str = "image_id") -> DataFrame:
+    """fuse_readings() of base and second matched one to one; the readings stay with their boxes, so that no join looks them up again."""
+    matched = match_one_to_one(base, second, group, kept=("text", "confidence"))
+    return _fused(matched.withColumnsRenamed({"left_text": "ta", "left_confidence": "ca", "right_text": "tb", "right_confidence": "cb"}), group)
+
+
+def _fused(j: DataFrame, group: str) -> DataFrame:
+    from evidentia.functions.text import reading_text
+
     both = F.col("left_seq").isNotNull() & F.col("right_seq").isNotNull()
     agree = both & (reading_text(F.col("ta")) == reading_text(F.col("tb")))
     surer = both & F.when(agree, F.col("cb") > F.col("ca")).otherwise(F.col("cb") >= F.col("ca") + 0.08)
@@ -163,79 +248,135 @@ def fuse_readings(matched: DataFrame, base: DataFrame, second: DataFrame, group:
     return j.select(group, "left_seq", "right_seq", F.when(take, F.col("tb")).otherwise(F.col("ta")).alias("text"), F.bround(F.when(take, F.col("cb")).otherwise(F.col("ca")), 3).alias("confidence"), verified.alias("verified"), method.alias("method"))
 
 
-def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *, limit: int | None = None, score: Callable = smaller_matrix) -> DataFrame:
-    """Rows of each group in turn unless a kept one overlaps them by more: group, seq, rank. limit keeps that many, as a feature."""
+def suppress(df: DataFrame, group: str, order: list[str], most_overlap: float, *, limit: int | None = None, score: Callable = smaller_matrix, standing: Sequence[tuple[DataFrame, Callable]] = ()) -> DataFrame:
+    """Rows of each group in turn unless a kept one overlaps them by more: group, seq, rank. limit keeps that many, as a feature.
 
-    def step(pdf: Rows) -> list[tuple]:
-        s, kept = score(_boxes(pdf), _boxes(pdf)), []
-        for i in range(len(pdf)):
-            if not kept or s[i, kept].max() <= most_overlap:
-                kept.append(i)
-            if limit and len(kept) == limit:
-                break
-        return [(int(q), k + 1) for k, q in enumerate(pdf["seq"][kept])]
+    standing: boxes that were there before, each table with what says for boxes a and b of a group whether
+    b rules a out.
+    """
 
-    return each_group(df, group, order, SIDES, ["seq", "rank"], "seq int, rank int", step)
+    rules = [rule for _, rule in standing]
 
+    def ruled_out(boxes: np.ndarray, others: np.ndarray, rule: Callable) -> np.ndarray:
+        step = max(1, _HELD // max(1, len(boxes) * others.shape[1]))
+        return np.concatenate([rule(boxes[:, k : k + step], others).any(axis=2) for k in range(0, boxes.shape[1], step)], axis=1)
 
-def first_fit(df: DataFrame, group: str, order: list[str], band: Callable[[], Band]) -> DataFrame:
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        boxes, seq, kind = _sides(columns), columns["seq"], columns["__kind"]
+        sizes = [np.add.reduceat((kind == k).astype(int), starts) for k in range(len(rules) + 1)]
+        rows, ranks = [np.zeros(0, int)], [np.zeros(0, int)]
+        for (n, *others), groups in _shapes(*sizes):
+            if not n:
+                continue
+            at = starts[groups, None] + np.arange(n)
+            own = boxes[at]
+            free, first = np.ones((len(groups), n), bool), n
+            for rule, m in zip(rules, others, strict=True):
+                if m:
+                    free &= ~ruled_out(own, boxes[starts[groups, None] + first + np.arange(m)], rule)
+                first += m
+            kept, count = np.zeros((len(groups), n), bool), np.zeros(len(groups), int)
+            for i in range(n):
+                some = np.flatnonzero(kept[0, :i]) if len(groups) == 1 else slice(0, i)
+                s = np.where(kept[:, None, some], score(own[:, i : i + 1], own[:, some]), -np.inf)
+                kept[:, i] = free[:, i] & (~kept[:, :i].any(axis=1) | (s.max(axis=(1, 2), initial=-np.inf) <= most_overlap))
+                if limit:
+                    kept[:, i] &= count < limit
+                count += kept[:, i]
+            g, i = np.nonzero(kept)
+            rows.append(at[g, i])
+            ranks.append(kept.cumsum(axis=1)[g, i])
+        rows, ranks = np.concatenate(rows), np.concatenate(ranks)
+        return rows, [seq[rows].astype(np.int32), ranks.astype(np.int32)]
+
+    keys = list(dict.fromkeys(c.removeprefix("-") for c in order))
+    cols = list(dict.fromkeys([group, "seq", *SIDES, *keys]))
+    rows = df.select(*cols, F.lit(0).alias("__kind"))
+    for k, (others, _) in enumerate(standing, 1):
+        rows = rows.unionByName(others.select(group, "seq", *SIDES, F.lit(k).alias("__kind")), allowMissingColumns=True)
+    return each_batch(rows, group, ["__kind", *order], ["seq", *SIDES, "__kind"], ["seq", "rank"], "seq int, rank int", step)
+
+
+def first_fit(df: DataFrame, group: str, order: list[str], bands: Callable[[int], Bands]) -> DataFrame:
     """Each row in turn joins the first band that takes it, or begins one: group, seq, band."""
 
-    def step(pdf: Rows) -> list[tuple]:
-        bands, out = [], []
-        for seq, box in zip(pdf["seq"].tolist(), _boxes(pdf).tolist(), strict=True):
-            k = next((k for k, b in enumerate(bands) if b.takes(box)), len(bands))
-            if k == len(bands):
-                bands.append(band())
-            bands[k].add(box)
-            out.append((seq, k + 1))
-        return out
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        boxes, out = _sides(columns), np.zeros(len(columns["seq"]), np.int32)
+        for (n,), groups in _shapes(np.diff(np.append(starts, len(boxes)))):
+            made, count, each = bands(len(groups)), np.zeros(len(groups), int), np.arange(len(groups))
+            for i in range(n):
+                own = boxes[starts[groups] + i]
+                takes = made.takes(own) & (np.arange(made.width) < count[:, None])
+                k = np.where(takes.any(axis=1), takes.argmax(axis=1), count) if made.width else count.copy()
+                if k.max() == made.width:
+                    made.widen()
+                made.add(each, k, own, k == count)
+                count = np.maximum(count, k + 1)
+                out[starts[groups] + i] = k + 1
+        return np.arange(len(out)), [columns["seq"].astype(np.int32), out]
+
+    return each_batch(df, group, order, ["seq", *SIDES], ["seq", "band"], "seq int, band int", step)
+
+
+class Bands:
+    """What the bands of some groups (a row for each, width bands in it) remember of their members: enough to say which take one more."""
 
-    return each_group(df, group, order, SIDES, ["seq", "band"], "seq int, band int", step)
+    def __init__(self, groups: int, kept: int):
+        self.kept = np.zeros((kept, groups, 0))
 
+    @property
+    def width(self) -> int:
+        return self.kept.shape[2]
 
-class Band:
-    """What a band remembers of its members: enough to say whether it takes one more."""
+    def widen(self) -> None:
+        self.kept = np.concatenate([self.kept, np.zeros((*self.kept.shape[:2], max(1, self.width)))], axis=2)
 
-    def takes(self, box: tuple) -> bool:
+    def takes(self, boxes: np.ndarray) -> np.ndarray:
+        """For each group's box which of its bands take it."""
         raise NotImplementedError
 
-    def add(self, box: tuple) -> None:
+    def add(self, groups: np.ndarray, band: np.ndarray, boxes: np.ndarray, new: np.ndarray) -> None:
+        """Each group's box joins that band, or begins it where it is new."""
         raise NotImplementedError
 
 
-class SameColumn(Band):
+class SameColumn(Bands):
     """Takes a box whose centre is at most tolerance from that of the last member in x."""
 
-    def __init__(self, tolerance: float):
-        self.tolerance, self.centre = tolerance, None
+    def __init__(self, tolerance: float, groups: int):
+        super().__init__(groups, 1)
+        self.tolerance = tolerance
 
-    def takes(self, box):
-        return abs((box[0] + box[2]) / 2 - self.centre) <= self.tolerance
+    def takes(self, boxes):
+        return np.abs((boxes[:, 0] + boxes[:, 2])[:, None] / 2 - self.kept[0]) <= self.tolerance
 
-    def add(self, box):
-        self.centre = (box[0] + box[2]) / 2
+    def add(self, groups, band, boxes, new):
+        self.kept[0, groups, band] = (boxes[:, 0] + boxes[:, 2]) / 2
 
 
-class SameRow(Band):
+class SameRow(Bands):
     """Takes a box that overlaps the extent of all members by that share of the lesser height."""
 
-    def __init__(self, least: float):
-        self.least, self.top, self.bottom = least, None, None
+    def __init__(self, least: float, groups: int):
+        super().__init__(groups, 2)
+        self.least = least
 
-    def takes(self, box):
-        return min(box[3], self.bottom) - max(box[1], self.top) >= self.least * min(box[3] - box[1], self.bottom - self.top)
+    def takes(self, boxes):
+        (top, bottom), y0, y1 = self.kept, boxes[:, 1, None], boxes[:, 3, None]
+        return np.minimum(y1, bottom) - np.maximum(y0, top) >= self.least * np.minimum(y1 - y0, bottom - top)
 
-    def add(self, box):
-        self.top, self.bottom = (box[1], box[3]) if self.top is None else (min(self.top, box[1]), max(self.bottom, box[3]))
+    def add(self, groups, band, boxes, new):
+        top, bottom = self.kept[:, groups, band]
+        self.kept[0, groups, band] = np.where(new, boxes[:, 1], np.minimum(top, boxes[:, 1]))
+        self.kept[1, groups, band] = np.where(new, boxes[:, 3], np.maximum(bottom, boxes[:, 3]))
 
 
-def same_column(tolerance: float) -> Callable[[], Band]:
-    return lambda: SameColumn(tolerance)
+def same_column(tolerance: float) -> Callable[[int], Bands]:
+    return lambda groups: SameColumn(tolerance, groups)
 
 
-def same_row(least: float) -> Callable[[], Band]:
-    return lambda: SameRow(least)
+def same_row(least: float) -> Callable[[int], Bands]:
+    return lambda groups: SameRow(least, groups)
 
 
 def running_mean_clusters(df: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:

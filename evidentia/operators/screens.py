@@ -71,15 +71,15 @@ def glyph_noise(texts: DataFrame, width: int, height: int) -> DataFrame:
 
 def _shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How much of each box of a each box of b covers."""
-    w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-    area = np.maximum((a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1]), 1)
-    return np.clip(w, 0, None) * np.clip(h, 0, None) / area[:, None]
+    a, b = a[..., :, None, :], b[..., None, :, :]
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
+    return np.clip(w, 0, None) * np.clip(h, 0, None) / np.maximum((a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]), 1)
 
 
 def glyph_icons(glyphs: DataFrame, icons: DataFrame, group: str = "image_id") -> DataFrame:
     """Glyphs that become icons, in turn of seq: those of which no icon, given or made before, covers 35 %: group, seq, rank."""
-    return greedy.suppress(spatial.drop_covered(glyphs, icons, 0.35, group), group, ["seq"], float(np.nextafter(0.35, 0)), score=_shares)
+    return greedy.suppress(glyphs, group, ["seq"], float(np.nextafter(0.35, 0)), score=_shares, standing=[(icons, lambda a, b: _shares(a, b) >= 0.35)])
 
 
 def _holding(points: DataFrame, boxes: DataFrame, group: str, key: str) -> DataFrame:
@@ -146,24 +146,22 @@ def added_lines(candidates: DataFrame, kept: DataFrame, surfaces: DataFrame, gro
     65 % of its length is that surface's border; one that runs so near a kept
     line, or one added before, along 75 % is that line again.
     """
-    reach = candidates.withColumn("own", _box()).withColumns({"y0": F.col("y0") - 3, "y1": F.col("y0") + 4})
-    edges = [surfaces.select(group, "x0", "x1", "seq", F.col(y).alias("y0"), (F.col(y) + 1).alias("y1")) for y in ("y0", "y1")]
 
-    def along(others: DataFrame, share: float) -> DataFrame:
-        pairs = spatial.overlapping(reach.select(group, "seq", "own", *geometry.SIDES), others.select(group, "seq", *geometry.SIDES), group)
-        shared = geometry.overlap_x(F.col("a_own"), F.col("b_box")) / F.greatest(F.lit(1), geometry.width(F.col("a_own")))
-        return pairs.where(shared >= share).select(group, F.col("a_seq").alias("seq"))
+    def border(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (_line_shares(a, b) >= 0.65) | (_line_shares(a, b[..., [0, 3, 2, 3]]) >= 0.65)
 
-    known = along(edges[0].unionByName(edges[1]), 0.65).unionByName(along(kept.withColumn("y1", F.col("y0") + 1), 0.75))
-    fresh = candidates.join(known.distinct(), [group, "seq"], "left_anti")
-    return greedy.suppress(fresh, group, ["seq"], float(np.nextafter(0.75, 0)), score=_line_shares)
+    def again(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _line_shares(a, b) >= 0.75
+
+    return greedy.suppress(candidates, group, ["seq"], float(np.nextafter(0.75, 0)), score=_line_shares, standing=[(surfaces, border), (kept, again)])
 
 
 def _line_shares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How much of the length of each line of a runs along each line of b, 3 pixels apart at most."""
-    shared = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-    near = np.abs(a[:, None, 1] - b[None, :, 1]) <= 3
-    return np.where(near, np.clip(shared, 0, None), 0) / np.maximum(a[:, 2] - a[:, 0], 1)[:, None]
+    a, b = a[..., :, None, :], b[..., None, :, :]
+    shared = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    near = np.abs(a[..., 1] - b[..., 1]) <= 3
+    return np.where(near, np.clip(shared, 0, None), 0) / np.maximum(a[..., 2] - a[..., 0], 1)
 
 
 def zoom_regions(requests: DataFrame, elements: DataFrame, group: str = "image_id", key: str = "seq", pad: int = 24) -> DataFrame:
