@@ -8,12 +8,17 @@ distinct is needed. Boxes have columns x0, y0, x1, y1; half-open pixels.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidentia.functions import geometry
+from evidentia.operators import greedy
 
 CELL = 128
+#: Pairs of boxes that are held at once.
+_PAIRS = 1 << 20
 
 
 def _celled(df: DataFrame, cell: int, pad: int = 0) -> DataFrame:
@@ -94,18 +99,46 @@ def labels(objects: DataFrame, readings: DataFrame, text: str, least: float = 0.
 
 def layout_gaps(blocks: DataFrame, most: int = 64, touching: int = 4, group: str = "image_id", key: str = "seq") -> DataFrame:
     """Gaps between neighbours: pairs whose extents overlap by 30 % on one axis, neither near-duplicates nor nested, at most that many pixels apart on the other."""
-    wide = blocks.withColumn("own", geometry.box(*geometry.SIDES)).withColumns({"x0": F.col("x0") - most, "y0": F.col("y0") - most, "x1": F.col("x1") + 1, "y1": F.col("y1") + 1})
-    near = overlapping(wide, wide, group).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    a, b = F.col("a_own"), F.col("b_own")
-    ox, oy = geometry.overlap_x(a, b), geometry.overlap_y(a, b)
-    wx, wy = F.least(geometry.width(a), geometry.width(b)), F.least(geometry.height(a), geometry.height(b))
-    axis = F.when(ox >= 0.3 * wx, "y").when(oy >= 0.3 * wy, "x")
-    low_y, high_y = F.when(b["y0"] < a["y0"], b).otherwise(a), F.when(b["y0"] < a["y0"], a).otherwise(b)
-    low_x, high_x = F.when(b["x0"] < a["x0"], b).otherwise(a), F.when(b["x0"] < a["x0"], a).otherwise(b)
-    gap = F.when(axis == "y", high_y["y0"] - low_y["y1"]).otherwise(high_x["x0"] - low_x["x1"])
-    nested = geometry.inside(a, b, -4) | geometry.inside(b, a, -4)
-    kept = near.where(axis.isNotNull() & ~((ox > 0.75 * wx) & (oy > 0.75 * wy)) & ~nested & (gap <= most))
-    return kept.select(group, F.col(f"a_{key}").alias("first"), F.col(f"b_{key}").alias("second"), axis.alias("axis"), F.greatest(gap, F.lit(0)).alias("px"), F.when(axis == "y", ox).otherwise(oy).alias("span"), (gap <= touching).alias("touching"))
+    kinds = blocks.schema[key].dataType.simpleString(), blocks.schema["x0"].dataType.simpleString()
+
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        own = np.zeros(len(columns["seq"]), np.int64)
+        own[starts[1:]] = 1
+        own = np.cumsum(own)
+        order = np.lexsort((columns["x0"], own))
+        low, reach = columns["x0"].min(), int(max(columns["x1"].max(), columns["x0"].max()) - columns["x0"].min()) + most + 2
+        place = own[order] * float(reach) + (columns["x0"][order] - low)
+        # along x, boxes meet those that begin no further right than most pixels behind them
+        ends = np.searchsorted(place, own[order] * float(reach) + np.minimum(columns["x1"][order] - low + most + 1, reach), "left")
+        n = np.maximum(ends - np.arange(len(order)) - 1, 0)
+        total, k, out = np.cumsum(n), 0, []
+        while k < len(n):
+            end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _PAIRS, "right")))
+            i = np.repeat(np.arange(k, end), n[k:end])
+            j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n[k:end]) - n[k:end], n[k:end])
+            out.append(_gaps(columns, order[i], order[j], most, touching))
+            k = end
+        i, j, up, px, span, touch = (np.concatenate([x[c] for x in out]) for c in range(6))
+        return i, [columns["seq"][i], columns["seq"][j], pa.array(["x", "y"]).take(pa.array(up.astype(int))), px, span, touch]
+
+    known = blocks.where(F.col(group).isNotNull()).dropna(subset=[key, *geometry.SIDES]).select(group, F.col(key).alias("seq"), *geometry.SIDES)
+    types = f"first {kinds[0]}, second {kinds[0]}, axis string, px {kinds[1]}, span {kinds[1]}, touching boolean"
+    return greedy.each_batch(known, group, [], ["seq", *geometry.SIDES], ["first", "second", "axis", "px", "span", "touching"], types, step)
+
+
+def _gaps(columns: dict, i: np.ndarray, j: np.ndarray, most: int, touching: int) -> tuple[np.ndarray, ...]:
+    """layout_gaps() of pairs of rows: the two rows in order of seq, whether the axis is y, px, span, touching."""
+    later = columns["seq"][i] > columns["seq"][j]
+    i, j = np.where(later, j, i), np.where(later, i, j)
+    ax0, ay0, ax1, ay1, bx0, by0, bx1, by1 = (columns[c][k] for k in (i, j) for c in geometry.SIDES)
+    ox, oy = np.minimum(ax1, bx1) - np.maximum(ax0, bx0), np.minimum(ay1, by1) - np.maximum(ay0, by0)
+    wx, wy = np.minimum(ax1 - ax0, bx1 - bx0), np.minimum(ay1 - ay0, by1 - by0)
+    near = (columns["seq"][i] < columns["seq"][j]) & (ox + most + 1 > 0) & (oy + most + 1 > 0)
+    up = ox >= 0.3 * wx
+    gap = np.where(up, np.where(by0 < ay0, ay0 - by1, by0 - ay1), np.where(bx0 < ax0, ax0 - bx1, bx0 - ax1))
+    nested = (ax0 >= bx0 + 4) & (ay0 >= by0 + 4) & (ax1 <= bx1 - 4) & (ay1 <= by1 - 4) | (bx0 >= ax0 + 4) & (by0 >= ay0 + 4) & (bx1 <= ax1 - 4) & (by1 <= ay1 - 4)
+    kept = near & (up | (oy >= 0.3 * wy)) & ~((ox > 0.75 * wx) & (oy > 0.75 * wy)) & ~nested & (gap <= most)
+    return i[kept], j[kept], up[kept], np.maximum(gap, 0)[kept], np.where(up, ox, oy)[kept], (gap <= touching)[kept]
 
 
 def padding_inside(sections: DataFrame, readings: DataFrame, group: str = "image_id", key: str = "seq") -> DataFrame:

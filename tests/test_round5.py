@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from evidentia.operators import greedy, screens
+from evidentia.operators import greedy, screens, spatial
 from tests.conftest import rows
 
 BOXES = "image_id long, seq int, x0 int, y0 int, x1 int, y1 int"
@@ -32,7 +32,7 @@ def _groups(boxes: list[tuple]) -> dict:
     return out
 
 
-@pytest.mark.parametrize("name", ["glyph_icons", "added_lines", "fused_readings"])
+@pytest.mark.parametrize("name", ["glyph_icons", "added_lines", "fused_readings", "layout_gaps"])
 def test_boxes_reach_ordered_steps_without_joins(spark, name):
     plan = __spark_entry__.queries()[name](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan
@@ -95,3 +95,25 @@ def test_scores_of_groups_side_by_side():
 def test_cells_of_a_picture_are_not_shuffled(spark):
     plan = __spark_entry__.queries()["attention_grid"](spark, SMALLEST)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(image_id") == 1 and "hashpartitioning(image_id#" in plan and ", cx#" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
+
+
+def test_gaps_by_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "_PAIRS", 50, raising=False)
+    want = set()
+    for image, boxes in _groups(_boxes(7)).items():
+        for s, *a in boxes:
+            for t, *b in boxes:
+                if image is None or s >= t:
+                    continue
+                over, low = [min(a[k + 2], b[k + 2]) - max(a[k], b[k]) for k in (0, 1)], [min(a[k + 2] - a[k], b[k + 2] - b[k]) for k in (0, 1)]
+                axis = "y" if over[0] >= 0.3 * low[0] else "x" if over[1] >= 0.3 * low[1] else None
+                nested = any(all(p[k] >= q[k] + 4 and p[k + 2] <= q[k + 2] - 4 for k in (0, 1)) for p, q in ((a, b), (b, a)))
+                if axis is None or nested or all(over[k] > 0.75 * low[k] for k in (0, 1)):
+                    continue
+                k = "xy".index(axis)
+                first, second = (b, a) if b[k] < a[k] else (a, b)
+                gap = second[k] - first[k + 2]
+                if gap <= 20 and over[1 - k] > -21:
+                    want.add((image, s, t, axis, max(gap, 0), over[1 - k], gap <= 4))
+    got = spatial.layout_gaps(spark.createDataFrame(_boxes(7), BOXES), 20).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
