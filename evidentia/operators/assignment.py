@@ -1,8 +1,8 @@
 """One reading of a whole crop, dealt out to the texts that were measured in it.
 
 Spans of a phrase's words are proposed for each measured text of about as many
-words: an equal join on group and number of words, so that no span that may
-match is lost and no other meets. Lengths, then shared characters, bound the
+words: of each group all that may match are met by arrays, so that none is lost
+and no pair leaves the task. Lengths, then letters shared in order, bound the
 similarity of what meets before it is computed. The best proposals that don't
 overlap win, one for each text. Where measured texts form rows below each other,
 the phrase is partitioned among the rows instead: the best sum over rows, for
@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,28 +44,88 @@ def words(c):
     return find(c)
 
 
+#: Spans beside candidates that are held at once.
+_MET = 1 << 20
+
+
+def _codes(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts one after the other, and where each begins, with the end of the last."""
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int64)
+    return np.frombuffer("".join(values).encode("utf-32-le"), np.int32), ends
+
+
+def _proposed(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[str]]:
+    """Of the groups of a batch, each with its phrase before its candidates: the candidates' rows and groups, arrays of start, end, length and score, and the segments of the proposals."""
+    own = np.zeros(len(columns["__kind"]), np.int64)
+    own[starts[1:]] = 1
+    own = np.cumsum(own)
+    said, shown = (np.flatnonzero(columns["__kind"] == k) for k in (0, 1))
+    phrases, found, looks = (columns[c].take(pa.array(said)) for c in ("phrase", "words", "looks"))
+    n_words = pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    first_word = np.cumsum(n_words) - n_words
+    first, last = (found.flatten().field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    text, at = _codes(looks.flatten().to_pylist())
+    target, begin = _codes(columns["target"].take(pa.array(shown)).to_pylist())
+    size = np.diff(begin)
+    n = np.array([max(1, len(WORD.findall(v))) for v in columns["value"].take(pa.array(shown)).to_pylist()], np.int64)
+    # each candidate with its group's phrase and each number of words that a span may have
+    low, high = (np.searchsorted(own[said], own[shown], side) for side in ("left", "right"))
+    c = np.repeat(np.arange(len(shown)), high - low)
+    p = np.arange(len(c)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[c]
+    count = (n[c][:, None] + np.arange(-SLACK, SLACK + 1)).ravel()
+    c, p = np.repeat(c, 2 * SLACK + 1), np.repeat(p, 2 * SLACK + 1)
+    fits = (count >= 1) & (count <= n_words[p])
+    c, p, count = c[fits], p[fits], count[fits]
+    places = n_words[p] - count + 1
+    total, k, out = np.cumsum(places), 0, [np.zeros((6, 0))]
+    while k < len(c):
+        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _MET, "right")))
+        each = np.repeat(np.arange(k, end), places[k:end])
+        word = first_word[p[each]] + np.arange(len(each)) - np.repeat(np.cumsum(places[k:end]) - places[k:end], places[k:end])
+        long = at[word + count[each]] - at[word]
+        wanted = size[c[each]]
+        ratio = np.minimum(long, wanted) / np.maximum(long, wanted)
+        kept = np.flatnonzero((long > 0) & (ratio >= LEAST_LENGTH))
+        each, word, long, ratio = each[kept], word[kept], long[kept], ratio[kept]
+        close = greedy.closenesses_at((target, text), [begin[c[each]], at[word]], [size[c[each]], long], LEAST_SIMILARITY)
+        kept = np.flatnonzero(close >= LEAST_SIMILARITY)
+        each, word = each[kept], word[kept]
+        score = close[kept] - LENGTH_COST * (1 - ratio[kept])
+        out.append(np.stack([c[each], p[each], first[word], last[word + count[each] - 1], long[kept], score]))
+        k = end
+    c, p, start, end, long = (np.concatenate([x[i] for x in out]).astype(np.int64) for i in range(5))
+    score = np.concatenate([x[5] for x in out])
+    whole = phrases.to_pylist()
+    segments = [whole[i][a:b] for i, a, b in zip(p.tolist(), start.tolist(), end.tolist(), strict=True)]
+    return shown[c], own[shown[c]], [start, end, long, score], segments
+
+
+def _met(phrases: DataFrame, candidates: DataFrame, group: str, names: list[str], types: str, step) -> DataFrame:
+    """What step gives for the groups of a batch: each group's phrase with its words and their looks, then its candidates with theirs."""
+    ship(phrases.sparkSession)
+    seq = candidates.schema["seq"].dataType.simpleString()
+    found = phrases.select(group, "phrase", words(F.col("phrase")).alias("words"))
+    looks = F.transform("words", lambda w: texts.latin_look(F.substring("phrase", w["start"] + 1, w["end"] - w["start"])))
+    said = found.select(group, F.lit(0).cast(seq).alias("seq"), F.lit(0).alias("__kind"), "phrase", "words", looks.alias("looks"))
+    target = texts.latin_look(F.trim("value"))
+    shown = candidates.select(group, "seq", F.lit(1).alias("__kind"), "value", target.alias("target")).where("target <> ''")
+    both = said.unionByName(shown, allowMissingColumns=True).where(F.col(group).isNotNull())
+    return greedy.each_batch(both, group, ["__kind"], ["seq", "__kind"], names, types.format(seq=seq), step, kept=("phrase", "words", "looks", "value", "target"))
+
+
 def span_proposals(phrases: DataFrame, candidates: DataFrame, group: str) -> DataFrame:
     """Spans of each group's phrase that may be what a candidate (group, seq, value) shows: group, seq, start, end, segment, length, score.
 
     Candidates without a letter or digit, null ones among them, get none; a
-    group has one phrase.
+    group has one phrase. What a span shows are the letters and digits of its
+    words. A group's spans are compared in one task, a bounded number at a time.
     """
-    ship(phrases.sparkSession)
-    target = texts.latin_look(F.trim("value"))
-    wanted = candidates.select(group, "seq", target.alias("target"), F.greatest(F.size(words(F.col("value"))), F.lit(1)).alias("n")).where("target <> ''")
-    wanted = wanted.withColumn("count", F.explode(F.sequence(F.greatest(F.col("n") - SLACK, F.lit(1)), F.col("n") + SLACK)))
-    n = int(phrases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = wanted.repartition(n, group, "count")  # by number: few bytes, but much to compare
-    counts = wanted.select(group, "count").distinct()
-    found = phrases.select(group, F.col("phrase"), words(F.col("phrase")).alias("words")).join(counts, group).where(F.size("words") >= F.col("count"))
-    starts = found.withColumn("first", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("count"))))
-    ends = starts.select(group, "count", "phrase", F.col("words")[F.col("first")]["start"].alias("start"), F.col("words")[F.col("first") + F.col("count") - 1]["end"].alias("end"))
-    spans = ends.select(group, "count", "start", "end", F.expr("substring(phrase, start + 1, end - start)").alias("segment"))
-    spans = spans.withColumn("look", texts.latin_look(F.col("segment")))
-    ratio = F.least(F.length("look"), F.length("target")) / F.greatest(F.length("look"), F.length("target"))
-    met = wanted.join(spans, [group, "count"]).where("look <> ''").withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_LENGTH)
-    close = met.withColumn("close", greedy.similarity(F.col("target"), F.col("look"), LEAST_SIMILARITY)).where(F.col("close") >= LEAST_SIMILARITY)
-    return close.select(group, "seq", "start", "end", "segment", F.length("look").alias("length"), (F.col("close") - LENGTH_COST * (1 - F.col("ratio"))).alias("score"))
+
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        rows, _, (start, end, long, score), segments = _proposed(columns, starts)
+        return rows, [columns["seq"][rows], start.astype(np.int32), end.astype(np.int32), pa.array(segments, pa.string()), long.astype(np.int32), score]
+
+    return _met(phrases, candidates, group, ["seq", "start", "end", "segment", "length", "score"], "seq {seq}, start int, end int, segment string, length int, score double", step)
 
 
 def span_assignments(phrases: DataFrame, candidates: DataFrame, group: str) -> DataFrame:
@@ -74,21 +136,28 @@ def span_assignments(phrases: DataFrame, candidates: DataFrame, group: str) -> D
     is passed over. A group without proposals gives no rows.
     """
 
-    def step(pdf: greedy.Rows) -> list[tuple]:
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        rows, own, (start, end, long, score), segments = _proposed(columns, starts)
+        seq = columns["seq"][rows]
+        order = np.lexsort((-start, -seq.astype(np.int64), long, -score, own))
         taken: list[tuple[int, int]] = []
         given: set[int] = set()
-        out = []
-        for seq, start, end, segment, score in zip(*(pdf[c].tolist() for c in ("seq", "start", "end", "segment", "score")), strict=True):
-            k = bisect_left(taken, (start, end))
-            if seq in given or k and taken[k - 1][1] > start or k < len(taken) and taken[k][0] < end:
+        won, last = [], None
+        for k, g, s, a, b in zip(order.tolist(), own[order].tolist(), seq[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
+            if g != last:
+                taken, given, last = [], set(), g
+            if s in given:
                 continue
-            insort(taken, (start, end))
-            given.add(seq)
-            out.append((int(seq), int(start), segment, float(score)))
-        return out
+            i = bisect_left(taken, (a, b))
+            if i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b:
+                continue
+            insort(taken, (a, b))
+            given.add(s)
+            won.append(k)
+        won = np.array(won, np.int64)
+        return rows[won], [seq[won].astype(np.int32), start[won].astype(np.int32), pa.array([segments[k] for k in won.tolist()], pa.string()), score[won]]
 
-    proposed = span_proposals(phrases, candidates, group).withColumn("order", F.col("seq"))
-    return greedy.each_group(proposed, group, ["-score", "length", "-order", "-start"], ["end", "segment"], ["seq", "start", "segment", "score"], "seq int, start int, segment string, score double", step)
+    return _met(phrases, candidates, group, ["seq", "start", "segment", "score"], "seq int, start int, segment string, score double", step)
 
 
 def paragraphs(rows: DataFrame, group: str) -> DataFrame:

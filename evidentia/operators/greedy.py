@@ -436,22 +436,66 @@ def _longest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.max(axis=0)
 
 
+#: Longest text whose places are the bits of one number.
+_BITS = 64
+
+
+def _subsequence(codes: tuple, starts: list, sizes: list) -> np.ndarray:
+    """The longest common subsequence of each pair of texts (up to _SIDE_BY_SIDE letters), which has at least all their common parts together; where both are longer than _BITS, the lesser length. The places of one text are bits, and the other is read along all pairs at once."""
+    most = np.minimum(*sizes).astype(np.int64)
+    letters = np.unique(np.concatenate(codes))
+    coded, wide = [np.searchsorted(letters, c) for c in codes], max(1, len(letters))
+    for i, some in ((0, sizes[0] <= _BITS), (1, (sizes[0] > _BITS) & (sizes[1] <= _BITS))):
+        rows = np.flatnonzero(some & (most > 0))
+        rows = rows[np.argsort(-sizes[1 - i][rows], kind="stable")]
+        step = max(1, (1 << 22) // wide)
+        for k in range(0, len(rows), step):
+            part = rows[k : k + step]
+            texts, own = np.unique(starts[i][part] << 8 | sizes[i][part], return_inverse=True)
+            first, n = texts >> 8, texts & 255
+            bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            table = np.zeros(len(texts) * wide, np.uint64)
+            np.add.at(table, np.repeat(np.arange(len(texts)) * wide, n) + coded[i][np.repeat(first, n) + bit], np.uint64(1) << bit.astype(np.uint64))
+            own, along, size = own * wide, starts[1 - i][part], sizes[1 - i][part]
+            left = np.full(len(part), ~np.uint64(0))
+            for t in range(int(size[0])):
+                m = int(np.searchsorted(-size, -t, "left"))
+                free = left[:m]
+                met = free & table[own[:m] + coded[1 - i][along[:m] + t]]
+                left[:m] = (free + met) | (free - met)
+            most[part] = np.bitwise_count(~left & (~np.uint64(0) >> (_BITS - sizes[i][part]).astype(np.uint64)))
+    return most
+
+
 def closenesses(pairs: list[tuple[str, str]], least: float = 0.0) -> np.ndarray:
     """closeness() of each pair, where it reaches least, else any number below: all pairs side by side, those of long texts alone."""
-    out, total = np.zeros(len(pairs)), np.array([len(a) + len(b) for a, b in pairs], np.int64)
-    alone = np.array([max(len(a), len(b)) > _SIDE_BY_SIDE for a, b in pairs], bool)
+    codes, starts, sizes = [], [], []
+    for i in (0, 1):
+        at: dict[str, int] = {}
+        index = np.array([at.setdefault(pair[i], len(at)) for pair in pairs], np.int64)
+        long = np.array([len(text) for text in at], np.int64)
+        codes.append(np.frombuffer("".join(at).encode("utf-32-le", "surrogatepass"), np.int32))
+        starts.append((np.cumsum(long) - long)[index])
+        sizes.append(long[index])
+    return closenesses_at(tuple(codes), starts, sizes, least)
+
+
+def closenesses_at(codes: tuple, starts: list, sizes: list, least: float = 0.0) -> np.ndarray:
+    """closenesses() of pairs of texts that are parts of two arrays of code points, by their starts and sizes (int64)."""
+    total = sizes[0] + sizes[1]
+    out, alone = np.zeros(len(total)), np.maximum(*sizes) > _SIDE_BY_SIDE
     for k in np.flatnonzero(alone).tolist():
-        out[k] = closeness(*pairs[k], least)
+        out[k] = closeness(*(c[s[k] : s[k] + n[k]].tobytes().decode("utf-32-le", "surrogatepass") for c, s, n in zip(codes, starts, sizes, strict=True)), least)
     out[total == 0] = 1.0
     side = np.flatnonzero(~alone & (total > 0))
+    if least and len(side):
+        # what shares too few letters in order cannot be close enough
+        most = _subsequence(codes, [x[side] for x in starts], [x[side] for x in sizes])
+        side = side[2.0 * most / total[side] >= least]
     if not len(side):
         return out
-    sizes = [np.array([len(pairs[k][i]) for k in side.tolist()], np.int32) for i in (0, 1)]
-    texts = []
-    for i in (0, 1):
-        code = np.frombuffer("".join(pairs[k][i] for k in side.tolist()).encode("utf-32-le", "surrogatepass"), np.int32)
-        starts = np.cumsum(sizes[i], dtype=np.int64) - sizes[i]
-        texts.append((np.concatenate([code, np.full(_SIDE_BY_SIDE + 1, -1 - i, np.int32)]), starts))
+    sizes = [x[side].astype(np.int32) for x in sizes]
+    texts = [(c, x[side]) for c, x in zip(codes, starts, strict=True)]
     matched, total = np.zeros(len(side), np.int64), total[side]
     zero = np.zeros(len(side), np.int32)
     # parts that are still to be compared: pair, from and to in both texts
