@@ -11,11 +11,14 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidentia.functions import geometry, text
 from evidentia.operators import greedy, spatial
+from evidentia.shipping import ship
 
 # Least coverage of a text, of a control, of a raster by an allowed region, of a divider under a raster; least similarity of a text and of a label; largest raster share.
 COVERED, PRESSED, ALLOWED, CROSSED, SAME_TEXT, SAME_LABEL, WHOLE, SPECK = 0.12, 0.2, 0.72, 0.5, 0.72, 0.65, 0.45, 0.0005
@@ -224,6 +227,169 @@ def verdicts(pages: DataFrame, group: str, texts: DataFrame, drawings: DataFrame
     return out.select(group, (F.size("reasons") == 0).alias("web_pass"), "reasons")
 
 
+#: What a box of a reference, or of a page, is: bits of its roles.
+TEXT, CONTROL, ART, ALLOWED_REGION, DIVIDER, READ, RASTER = (1 << k for k in range(7))
+#: Pairs of boxes that are held at once.
+_PAIRS = 1 << 20
+
+
+class _Boxes:
+    """The boxes of some pages, by page, side and seq, as arrays."""
+
+    def __init__(self, lists: pa.ListArray):
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten()
+        own = np.repeat(np.arange(len(n)), n)
+        seq, shown = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("seq", "shown"))
+        order = np.lexsort((seq, shown, own))
+        self.own, self.seq, self.shown = own[order], seq[order], shown[order].astype(bool)
+        self.roles = flat.field("roles").to_numpy(zero_copy_only=False)[order]
+        self.sides = np.stack([flat.field(k).to_numpy(zero_copy_only=False).astype(float)[order] for k in geometry.SIDES], axis=1)
+        self.area = (self.sides[:, 2] - self.sides[:, 0]) * (self.sides[:, 3] - self.sides[:, 1])
+        at = pa.array(order)
+        self.text, self.names = {}, {}
+        for k in ("look", "lines", "kind", "role"):
+            coded = flat.field(k).dictionary_encode()
+            self.names[k] = coded.dictionary.to_pylist()
+            self.text[k] = pc.fill_null(coded.indices.take(at), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.flags = {k: pc.fill_null(flat.field(k).take(at), unknown).to_numpy(zero_copy_only=False) for k, unknown in (("selectable", True), ("preformatted", False), ("trusted", False))}
+
+    def of(self, role: int, shown: bool) -> np.ndarray:
+        return np.flatnonzero((self.roles & role != 0) & (self.shown == shown))
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair of a box of a and one of b of the same page that share area, and the share of each that the other covers."""
+        low, high = (np.searchsorted(self.own[b], self.own[a], side) for side in ("left", "right"))
+        n = high - low
+        total, k, out = np.cumsum(n), 0, [np.zeros((3, 0))]
+        while k < len(a):
+            end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _PAIRS, "right")))
+            i = np.repeat(np.arange(k, end), n[k:end])
+            j = b[np.arange(len(i)) - np.repeat(np.cumsum(n[k:end]) - n[k:end], n[k:end]) + low[i]]
+            i = a[i]
+            p, q = self.sides[i], self.sides[j]
+            across, down = (np.minimum(p[:, m + 2], q[:, m + 2]) - np.maximum(p[:, m], q[:, m]) for m in (0, 1))
+            some = np.flatnonzero((across > 0) & (down > 0))
+            out.append(np.stack([i[some], j[some], (across * down)[some]]))
+            k = end
+        found = np.concatenate(out, axis=1)
+        i, j = found[:2].astype(np.int64)
+        return i, j, found[2] / np.maximum(1.0, self.area[i]), found[2] / np.maximum(1.0, self.area[j])
+
+    def is_(self, name: str, value: str) -> np.ndarray:
+        return self.text[name] == (self.names[name].index(value) if value in self.names[name] else -2)
+
+    def alike(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The similarity of the looks of pairs, each distinct pair compared once."""
+        names = self.names["look"]
+        codes, at = np.unique(self.text["look"][i] * len(names) + self.text["look"][j], return_inverse=True)
+        return greedy.closenesses([(names[c // len(names)], names[c % len(names)]) for c in codes.tolist()])[at]
+
+
+def _settled(refs: np.ndarray, i: np.ndarray, j: np.ndarray, good: np.ndarray, score: np.ndarray, else_by: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The rules of _claims() over the pairs (i, j) of all pages, in order: for each reference the box that is named (-1: none), and whether it is taken. else_by: good candidates come first, and what names another; None: the best score alone counts."""
+    named, taken, used = np.full(len(refs), -1), np.zeros(len(refs), bool), set()
+    place = np.searchsorted(refs, i)
+    starts = np.flatnonzero(np.diff(place, prepend=-1)).tolist()
+    rows = list(zip(j.tolist(), good.tolist(), score.tolist(), (score if else_by is None else else_by).tolist(), strict=True))
+    for s, e, at in zip(starts, [*starts[1:], len(rows)], place[starts].tolist(), strict=True):
+        free = [r for r in rows[s:e] if r[0] not in used]
+        fit = [r for r in free if r[1]] if else_by is not None else []
+        if free:
+            best = _most(fit, 2) if fit else _most(free, 3)
+            named[at], taken[at] = best[0], best[1]
+            if best[1]:
+                used.add(best[0])
+    return named, taken
+
+
+def _told(b: _Boxes, width: int, height: int) -> list[np.ndarray]:
+    """For each of REASONS the boxes that are against their page."""
+    out = []
+    empty = b.is_("look", "")
+    refs = b.of(TEXT, False)
+    i, j, c, d = b.met(refs, b.of(TEXT, True))
+    i, j, c, d = (x[c >= COVERED] for x in (i, j, c, d))
+    close = np.where(empty[i] | empty[j], 0.0, b.alike(i, j)) if len(i) else np.zeros(0)
+    named, taken = _settled(refs, i, j, empty[i] | (close >= SAME_TEXT), 0.7 * close + 0.3 * np.minimum(c, d), None)
+    out += [refs[named < 0], refs[taken & ~b.flags["selectable"][named]], refs[(named >= 0) & ~taken]]
+
+    refs = b.of(ART, False)
+    i, j, c, _ = b.met(refs, b.of(ART, True))
+    same = (c >= COVERED) & (b.text["lines"][i] == b.text["lines"][j])
+    i, j, c = i[same], j[same], c[same]
+    order = np.lexsort((b.seq[j], -c, i))
+    found, first = np.unique(i[order], return_index=True)
+    by = j[order][first]
+    out += [np.setdiff1d(refs, found), found[~b.flags["selectable"][by]], found[~b.flags["preformatted"][by]]]
+
+    refs = b.of(CONTROL, False)
+    i, j, c, _ = b.met(refs, b.of(CONTROL, True))
+    i, j, c = (x[c >= PRESSED] for x in (i, j, c))
+    close = np.where(empty[i], 1.0, np.where(empty[j], 0.0, b.alike(i, j))) if len(i) else np.zeros(0)
+    named, taken = _settled(refs, i, j, empty[i] | (close >= SAME_LABEL), 0.8 * c + 0.2 * close, c)
+    out += [refs[named < 0], refs[(named >= 0) & ~taken]]
+
+    real = b.of(RASTER, True)
+    trusted = b.flags["trusted"]
+    for role, least in ((READ, COVERED), (ART, COVERED), (DIVIDER, CROSSED)):
+        i, _, _, d = b.met(real, b.of(role, False))
+        i = np.unique(i[d >= least])
+        out.append(i[~trusted[i]])
+    i, j, c, _ = b.met(real, b.of(ALLOWED_REGION, False))
+    i, j = i[c >= ALLOWED], j[c >= ALLOWED]
+    kinds = {v: k for k, v in enumerate(b.names["kind"])}
+    role = np.array([*(kinds.get(v, -2) for v in b.names["role"]), -2], np.int64)[b.text["role"]]  # as a kind's number
+    order = np.lexsort((b.seq[j], role[i] != b.text["kind"][j], i))
+    inside, first = np.unique(i[order], return_index=True)
+    region = j[order][first]
+    claims = (role[inside] == b.text["kind"][region]) & (b.is_("role", "alpha-masked-background-artwork") | b.is_("role", "browser-source-background-artwork"))[inside]
+    share = b.area[real] / max(1.0, float(width * height))
+    out += [np.setdiff1d(real[share >= SPECK], inside), real[(share >= WHOLE) & ~trusted[real]], inside[claims & ~trusted[inside]]]
+    return out
+
+
+def page_review(boxes: DataFrame, group: str, width: int, height: int) -> DataFrame:
+    """verdicts() of pages whose boxes of both sides are one table, in one pass, without joins: group, web_pass, reasons.
+
+    boxes: group, seq, box, shown (false: of the reference, true: of the page),
+    roles, and what these need: value (of texts and controls), drawing (of art),
+    kind (of allowed regions and rasters), selectable, white_space, src, role,
+    trusted. Roles are bits: TEXT, CONTROL, ART of both sides, ALLOWED_REGION,
+    DIVIDER and READ (the texts that rasters may not cover) of the reference,
+    RASTER of the page. The rules are those of text_matches(), control_matches(),
+    art_matches() and raster_audit(). The boxes of a page are held together.
+    """
+    ship(boxes.sparkSession)
+    source = F.lower(F.coalesce("src", F.lit("url(")))
+    real = F.coalesce(F.col("kind").isin(*RASTERS) & ~((F.col("kind") == "background-image") & ~F.contains(source, F.lit("url(")) & ~F.contains(source, F.lit("image-set("))), F.lit(False))
+    roles = F.when(F.col("shown") & ~real, F.col("roles").bitwiseAND(~RASTER)).otherwise(F.col("roles"))
+    drawn = F.when(F.col("roles").bitwiseAND(ART) != 0, text.symbol_text(F.col("drawing")))
+    preformatted = F.lower(F.coalesce("white_space", F.lit("normal"))).isin("pre", "pre-wrap", "break-spaces")
+    box = F.struct(F.col("seq").cast("long").alias("seq"), "shown", roles.cast("int").alias("roles"), *geometry.SIDES, text.letters_and_digits(F.col("value")).alias("look"), drawn.alias("lines"), F.when(~F.col("shown"), F.col("kind")).alias("kind"), F.when(F.col("shown"), F.col("role")).alias("role"), "selectable", preformatted.alias("preformatted"), "trusted")
+    pages = boxes.groupBy(group).agg(F.collect_list(box).alias("boxes"))
+
+    def run(batches):
+        for batch in batches:
+            b = _Boxes(batch.column(1))
+            told = _told(b, width, height)
+            rows = np.concatenate(told)
+            rank = np.repeat(np.arange(len(told)), [len(x) for x in told])
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)[b.own[rows]]  # a page without a name meets nothing
+            rows, rank = rows[known], rank[known]
+            order = np.lexsort((b.seq[rows], rank, b.own[rows]))
+            rows, rank = rows[order], rank[order]
+            key = b.own[rows] * len(REASONS) + rank
+            first = np.flatnonzero(np.diff(key, prepend=-1))
+            seqs = pa.ListArray.from_arrays(pa.array(np.append(first, len(rows)).astype(np.int32)), pa.array(b.seq[rows].astype(np.int64)))
+            codes = pa.array(REASONS).take(pa.array(rank[first]))
+            ends = np.searchsorted(key[first] // len(REASONS), np.arange(batch.num_rows + 1), "left")
+            reasons = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.StructArray.from_arrays([codes, seqs], ["code", "seqs"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) == 0), reasons], [group, "web_pass", "reasons"])
+
+    return pages.mapInArrow(run, f"{group} {boxes.schema[group].dataType.simpleString()}, web_pass boolean, reasons array<struct<code: string, seqs: array<bigint>>>")
+
+
 def repair_hints(texts: DataFrame, controls: DataFrame, lines: DataFrame, group: str) -> DataFrame:
     """What to repair first: group, part, rank, kind, seq, candidate, priority; the eight first of texts, four of controls and of lines, by priority and then kind."""
     million = F.lit(1_000_000.0)

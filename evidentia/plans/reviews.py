@@ -24,9 +24,15 @@ def _word(n: str):
 def _page(spark, d):
     """Boxes as what was measured, and the same moved, rewritten and sometimes left out, as what the page shows."""
     measured = base(spark, d, "boxes").withColumns({"value": _word("image_id + seq"), "font_size": (F.col("y1") - F.col("y0")).cast("double")})
-    moved = {c: (F.col(c) + (F.col("image_id") * 7 + F.col("seq") * (3 if c[0] == "x" else 5)) % 9 - 4).cast("int") for c in ("x0", "y0")}
-    shown = measured.where("(image_id + seq) % 11 <> 0").withColumns(moved).withColumns({"x1": F.col("x0") + F.col("x1") - F.col("x0"), "text": F.when(F.col("seq") % 4 == 1, _word("image_id + seq + 1")).otherwise(F.lower("value")), "selectable": F.col("seq") % 6 != 5, "font_size": F.col("font_size") + F.col("seq") % 3})
-    return measured, shown.where("x0 < x1 AND y0 < y1")
+    return measured, measured.where("(image_id + seq) % 11 <> 0").withColumns(_moved()).withColumns({"x1": F.col("x0") + F.col("x1") - F.col("x0"), "text": _rewritten(), "selectable": F.col("seq") % 6 != 5, "font_size": F.col("font_size") + F.col("seq") % 3}).where("x0 < x1 AND y0 < y1")
+
+
+def _moved() -> dict:
+    return {c: (F.col(c) + (F.col("image_id") * 7 + F.col("seq") * (3 if c[0] == "x" else 5)) % 9 - 4).cast("int") for c in ("x0", "y0")}
+
+
+def _rewritten():
+    return F.when(F.col("seq") % 4 == 1, _word("image_id + seq + 1")).otherwise(F.lower("value"))
 
 
 def _reviewed(spark, d):
@@ -38,16 +44,35 @@ def _reviewed(spark, d):
     return measured, shown, texts, controls, lines
 
 
+def _both_sides(spark, d):
+    """_page() as one table for page_review(): each box of a reference with, where it is shown, what the page has in its place."""
+    art, word = "\n/\\_/\\", F.col("value")
+    seq, kind, open_ = F.col("seq"), F.col("kind"), F.col("status") == "O"
+
+    def bits(**roles):
+        return sum((F.when(F.coalesce(on, F.lit(False)), getattr(integrity, name)).otherwise(0) for name, on in roles.items()), F.lit(0))
+
+    told = bits(TEXT=kind != "A", CONTROL=kind == "A", ART=open_ & (kind == "N"), ALLOWED_REGION=kind == "A", DIVIDER=kind == "N", READ=kind == "R")
+    region = F.when(seq % 4 == 0, "alpha-masked-background-artwork").otherwise("photo")
+    nothing = {"selectable": F.lit(None).cast("boolean"), "white_space": F.lit(None).cast("string"), "src": F.lit(None).cast("string"), "role": F.lit(None).cast("string"), "trusted": F.lit(None).cast("boolean")}
+    reference = {"shown": F.lit(False), "roles": told, "x0": F.col("x0"), "y0": F.col("y0"), "x1": F.col("x1"), "y1": F.col("y1"), "value": word, "drawing": F.concat(word, F.lit(art)), "kind": region, **nothing}
+    page = {
+        "shown": F.lit(True), "roles": bits(TEXT=kind != "A", CONTROL=(kind == "A") & (seq % 5 != 4), ART=open_, RASTER=kind == "A"), **_moved(), "x1": F.col("x1"), "y1": F.col("y1"), "value": _rewritten(),
+        "drawing": F.concat(word, F.when(seq % 2 == 0, F.lit("\r\n/\\_/\\ \n")).otherwise("")), "kind": F.when(seq % 2 == 0, "img").otherwise("background-image"),
+        "selectable": seq % 6 != 5, "white_space": F.when(seq % 3 == 0, "PRE"), "src": F.when(seq % 3 == 0, "url(x.png)"), "role": F.when(seq % 4 == 0, "alpha-masked-background-artwork"), "trusted": seq % 8 == 0,
+    }
+    sides = [F.struct(*(page_or[k].alias(k) for k in reference)) for page_or in (reference, page)]
+    sides[1] = F.when(F.expr("(image_id + seq) % 11 <> 0"), sides[1])
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = base(spark, d, "boxes").drop("confidence").repartition(n, "image_id")  # before each box becomes two, which then are by page already
+    measured = narrow.withColumn("value", _word("image_id + seq"))
+    both = measured.select("image_id", "seq", F.explode(F.array_compact(F.array(*sides))).alias("b")).select("image_id", "seq", "b.*")
+    return both.where("NOT shown OR x0 < x1 AND y0 < y1")
+
+
 @query
 def page_verdicts(spark, d):
-    measured, shown, texts, controls, lines = _reviewed(spark, d)
-    art = measured.where("status = 'O' AND kind = 'N'").withColumn("text", F.concat("value", F.lit("\n/\\_/\\")))
-    drawn = shown.where("status = 'O'").withColumns({"text": F.concat("value", F.when(F.col("seq") % 2 == 0, F.lit("\r\n/\\_/\\ \n")).otherwise("")), "white_space": F.when(F.col("seq") % 3 == 0, "PRE")})
-    drawings = integrity.art_matches(art, drawn, "image_id")
-    rasters = shown.where("kind = 'A'").withColumns({"kind": F.when(F.col("seq") % 2 == 0, "img").otherwise("background-image"), "src": F.when(F.col("seq") % 3 == 0, "url(x.png)"), "role": F.when(F.col("seq") % 4 == 0, "alpha-masked-background-artwork"), "trusted": F.col("seq") % 8 == 0})
-    allowed = measured.where("kind = 'A'").withColumn("kind", F.when(F.col("seq") % 4 == 0, "alpha-masked-background-artwork").otherwise("photo"))
-    audit = integrity.raster_audit(rasters, allowed, measured.where("kind = 'R'"), art, measured.where("kind = 'N'"), WIDTH, HEIGHT, "image_id")
-    return integrity.verdicts(measured.select("image_id").distinct(), "image_id", texts, drawings, controls, audit)
+    return integrity.page_review(_both_sides(spark, d), "image_id", WIDTH, HEIGHT)
 
 
 @query

@@ -6,9 +6,11 @@ import random
 from difflib import SequenceMatcher
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from evidentia.operators import greedy
+from evidentia.operators import greedy, integrity
+from tests.conftest import rows
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -45,3 +47,35 @@ def test_longest_common_subsequence_bounds_what_is_compared():
 def test_spans_meet_their_candidates_without_a_join(spark):
     plan = plan_of(__spark_entry__.queries()["span_assignments"](spark, SMALLEST))
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_page_review_equals_its_parts(spark):
+    rng = random.Random(11)
+    words, kinds = ["Total sales", "total  SALES", "Sign in", "Sign on", "", None], ["img", "background-image", "svg", None]
+    made = []
+    for page, seq in ((p, s) for p in (*range(60), None) for s in range(rng.randint(0, 9))):
+        for shown in (False, True):
+            x, y = rng.randint(0, 30), rng.randint(0, 20)
+            side = [integrity.TEXT, integrity.CONTROL, integrity.ART, *((integrity.RASTER,) if shown else (integrity.ALLOWED_REGION, integrity.DIVIDER, integrity.READ))]
+            roles = sum(bit for bit in side if rng.random() < 0.5)
+            role = rng.choice(["photo", "alpha-masked-background-artwork", None])
+            made.append((page, seq, x, y, x + rng.randint(0, 50), y + rng.randint(1, 40), shown, roles, rng.choice(words), rng.choice(["/\\_/\\", "\r\n/\\_/\\ \n", None]), rng.choice(kinds) if shown else role, rng.choice([True, True, False, None]), rng.choice(["PRE", None]), rng.choice(["url(x)", "none", None]), role, rng.choice([True, False, None])))
+    schema = "page long, seq int, x0 int, y0 int, x1 int, y1 int, shown boolean, roles int, value string, drawing string, kind string, selectable boolean, white_space string, src string, role string, trusted boolean"
+    boxes = spark.createDataFrame(made, schema).cache()
+
+    def of(bit, shown, **names):
+        return boxes.where((F.col("shown") == shown) & (F.col("roles").bitwiseAND(bit) != 0)).withColumns({k: F.col(v) for k, v in {"font_size": "y0", **names}.items()})
+
+    texts = integrity.text_matches(of(integrity.TEXT, False), of(integrity.TEXT, True, text="value"), "page")
+    art = of(integrity.ART, False, text="drawing")
+    drawings = integrity.art_matches(art, of(integrity.ART, True, text="drawing"), "page")
+    controls = integrity.control_matches(of(integrity.CONTROL, False, label="value"), of(integrity.CONTROL, True, name="value"), "page")
+    audit = integrity.raster_audit(of(integrity.RASTER, True), of(integrity.ALLOWED_REGION, False), of(integrity.READ, False), art, of(integrity.DIVIDER, False), 60, 40, "page")
+    want = rows(integrity.verdicts(boxes.select("page").distinct(), "page", texts, drawings, controls, audit))
+    got = integrity.page_review(boxes, "page", 60, 40)
+    assert rows(got) == want and {x["code"] for r in want for x in r[2]} == set(integrity.REASONS)
+    assert integrity.page_review(boxes.limit(0), "page", 60, 40).count() == 0
+
+
+def test_page_verdicts_need_no_join(spark):
+    assert "Join" not in plan_of(__spark_entry__.queries()["page_verdicts"](spark, SMALLEST))
