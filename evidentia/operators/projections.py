@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,12 +61,25 @@ def recognised(points: Column, text: Column, score: Column) -> Column:
 
 def likeliest_labels(similarities: Column, labels: list[str], most: int = 3, least: float = 0.01, scale: float = 100.0) -> Column:
     """The labels of the highest probabilities: softmax over scaled cosine similarities in the order of labels, the first on ties."""
-    top = F.array_max(similarities)
-    weights = F.transform(similarities, lambda s: F.exp(scale * (s - top)))
-    total = F.aggregate(weights, F.lit(0.0), lambda x, w: x + w)
+
+    def weighed(own: Column) -> Column:
+        return F.transform(own["values"], lambda s: F.exp(scale * (s - own["top"])))
+
+    def summed(weights: Column) -> Column:
+        return F.struct(weights.alias("weights"), F.aggregate(weights, F.lit(0.0), lambda x, w: x + w).alias("total"))
+
+    def ranked(own: Column) -> Column:
+        return F.array_sort(F.transform(own["weights"], lambda w, k: F.struct((-w / own["total"]).alias("minus"), k.alias("k"))))
+
     names = F.array(*map(F.lit, labels))
-    ranked = F.array_sort(F.transform(weights, lambda w, k: F.struct((-w / total).alias("minus"), k.alias("k"), F.get(names, k).alias("label"))))
-    return F.transform(F.filter(F.slice(ranked, 1, most), lambda x: -x["minus"] > least), lambda x: F.struct(x["label"].alias("label"), F.round(-x["minus"], 3).alias("confidence")))
+    topped = _with(similarities, lambda values: F.struct(values.alias("values"), F.array_max(values).alias("top")))
+    top = F.slice(_with(_with(_with(topped, weighed), summed), ranked), 1, most)
+    return F.transform(F.filter(top, lambda x: -x["minus"] > least), lambda x: F.struct(F.get(names, x["k"]).alias("label"), F.round(-x["minus"], 3).alias("confidence")))
+
+
+def _with(value: Column, made: Callable[[Column], Column]) -> Column:
+    """What made gives for a value that is computed once, however often made names it, also for each element of an array."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))
 
 
 def review_outcome(visual_pass: Column, web_pass: Column, blocking: Column) -> Column:

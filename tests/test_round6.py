@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from evidentia.operators import greedy, integrity
+from evidentia.operators import greedy, integrity, projections
 from tests.conftest import rows
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -79,3 +79,11 @@ def test_page_review_equals_its_parts(spark):
 
 def test_page_verdicts_need_no_join(spark):
     assert "Join" not in plan_of(__spark_entry__.queries()["page_verdicts"](spark, SMALLEST))
+
+
+def test_likeliest_labels_sum_once(spark):
+    made = spark.createDataFrame([([0.1, 0.3, 0.3],), ([0.5],), ([],), (None,), ([0.2, None],)], "s array<double>").select(projections.likeliest_labels(F.col("s"), ["a", "b", "c"]).alias("t"))
+    assert [None if r[0] is None else [tuple(x) for x in r[0]] for r in made.collect()] == [[("b", 0.5), ("c", 0.5)], [("a", 1.0)], [], None, []]
+    # the sum and the maximum are told once, not within what is done for each element
+    told = made._jdf.queryExecution().optimizedPlan().toString()
+    assert told.count("aggregate(") == told.count("array_max(") == 1
