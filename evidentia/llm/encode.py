@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -15,6 +16,7 @@ _JOIN = 2000
 #: Marks the first word of a text; texts that hold it are encoded whole.
 _FIRST = "\x01"
 _CLOSE = frozenset(".,;:!?")
+_SPACE = re.compile(r"\s")
 
 
 def default_path() -> str:
@@ -66,44 +68,43 @@ class Encoder:
             out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
         return out
 
-    def _learn(self, words: set[str], openers: set[str]) -> None:
-        known, marks = self._words, self._marks
+    def _learn(self, words: list[str], openers: list[str]) -> None:
+        """Remember the ids of words that are not known yet, each given once."""
+        known, marks, close = self._words, self._marks, _CLOSE
         parts: dict[str, tuple[str, str]] = {}
-        bare: set[str] = set()
+        ended: list[str] = []
+        bare: list[str] = []
+        spaced = _SPACE.search("".join(words)) is not None
         for w in words:
-            if w[0].isspace() or w[-1].isspace():
-                known[w] = None
-                continue
-            head, feed, tail = w.partition("\n")
-            if feed:
-                if not tail or head[-1].isspace() or tail[0].isspace():
+            if spaced and _SPACE.search(w):
+                if w[0].isspace() or w[-1].isspace():
                     known[w] = None
                     continue
-                parts[w] = (head, tail)
-                openers.add(_FIRST + tail)
-                w = head
-            if w not in known:
-                bare.add(w[:-1] if w[-1] in _CLOSE and w[-2:-1].isalpha() else w)
-        bare = bare.difference(known)
-        plain = [w for w in bare if not any(c.isspace() for c in w)] if any(map(str.isspace, "".join(bare))) else list(bare)
+                head, feed, tail = w.partition("\n")
+                if feed:
+                    if head[-1].isspace() or tail[0].isspace():
+                        known[w] = None
+                        continue
+                    parts[w] = (head, tail)
+                    openers.append(_FIRST + tail)
+                    w = head
+            if w[-1] in close and w[-2:-1].isalpha():
+                ended.append(w)
+                w = w[:-1]
+            bare.append(w)
+        bare = [w for w in dict.fromkeys(bare) if w not in known]
+        odd = [w for w in bare if _SPACE.search(w)] if spaced else []
+        plain = [w for w in bare if not _SPACE.search(w)] if odd else bare
         known.update(zip(plain, self._apart(plain), strict=True))
-        odd = [w for w in bare if w not in known]
         known.update(zip(odd, self._whole([" " + w for w in odd]), strict=True))
-        fresh = [w for w in openers if w not in known and not w[-1].isspace()]
-        known.update(zip(fresh, self._whole([w[1:] for w in fresh]), strict=True))
-        known.update((w, None) for w in openers if w[-1].isspace())
-
-        def after_space(w: str) -> bytes | None:
-            if w not in known:
-                known[w] = known[w[:-1]] + marks[w[-1]]
-            return known[w]
-
-        for w in words:
-            if w in parts:
-                head, tail = parts[w]
-                known[w] = after_space(head) + marks["\n"] + known[_FIRST + tail]
-            elif w not in known:
-                after_space(w)
+        fresh = [w for w in dict.fromkeys(openers) if w not in known]
+        whole = [w for w in fresh if not w[-1].isspace()]
+        known.update(zip(whole, self._whole([w[1:] for w in whole]), strict=True))
+        known.update((w, None) for w in fresh if w[-1].isspace())
+        for w in ended:
+            known[w] = known[w[:-1]] + marks[w[-1]]
+        for w, (head, tail) in parts.items():
+            known[w] = known[head] + marks["\n"] + known[_FIRST + tail]
 
     def encode(self, texts: pa.Array | list[str | None]) -> list[memoryview | bytes]:
         """Little-endian ids (of self.dtype) of each text; null counts as empty.
@@ -117,13 +118,13 @@ class Encoder:
             whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.binary_join_element_wise(_FIRST, texts, ""), " ")
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self._words
         new = [w for w in words if w not in known]
         if len(known) + len(new) > CACHE_WORDS:
             self._words = known = {"": None, _FIRST: b""}
             new = [w for w in words if w not in known]
-        self._learn({w for w in new if w[0] != _FIRST}, {w for w in new if w[0] == _FIRST})
+        self._learn([w for w in new if w[0] != _FIRST], [w for w in new if w[0] == _FIRST])
         laid = pa.array([known[w] for w in words], pa.binary()).take(coded.indices)
         ends = np.frombuffer(laid.buffers()[1], np.int32, len(laid) + 1) if len(laid) else np.zeros(1, np.int32)
         cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist() if len(split) else [0]

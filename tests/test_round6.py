@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from evidentia.llm import encode
 from evidentia.operators import greedy, integrity, projections
 from tests.conftest import rows
 
@@ -87,3 +88,20 @@ def test_likeliest_labels_sum_once(spark):
     # the sum and the maximum are told once, not within what is done for each element
     told = made._jdf.queryExecution().optimizedPlan().toString()
     assert told.count("aggregate(") == told.count("array_max(") == 1
+
+
+def test_words_are_learned_once_each():
+    enc = encode.Encoder(encode.default_path())
+    rng = random.Random(3)
+    pieces = ["word", "Word.", "word.", "a", ".", "...", "x\ty", "x\ty.", "one\ntwo", "one.\ntwo,", "one.\n", "\ntwo", "a\n\nb", "a\n b", " ", "é!", "ΑΣ.Α", "\x1c", "1.", "a\nb\nc", ""]
+    texts = [" ".join(rng.choice(pieces) for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    for k in range(0, len(texts), 40):
+        want = [np.array(x.ids, enc.dtype).tobytes() for x in enc._tok.encode_batch(texts[k : k + 40], add_special_tokens=False)]
+        assert [bytes(x) for x in enc.encode(texts[k : k + 40])] == want
+    asked: list[str] = []
+    apart = enc._apart
+    enc._apart = lambda words: asked.extend(words) or apart(words)
+    enc.encode(["fresh1 fresh1. fresh1, fresh2", "fresh2! fresh1"])
+    assert sorted(asked) == ["fresh1", "fresh1,", "fresh1.", "fresh2"]
+    enc._learn(["other", "other", "othera."], ["\x01other", "\x01other"])
+    assert asked[4:] == ["other", "othera"]
