@@ -8,6 +8,8 @@ Dividers, which need not touch, are compared within a page by arrays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 from functools import reduce
 
 import numpy as np
@@ -70,6 +72,7 @@ def text_matches(references: DataFrame, nodes: DataFrame, group: str) -> DataFra
     of the lesser coverage; below SAME_TEXT it is a mismatch and the node stays
     free. A reference without letters or digits takes whatever scores best.
     """
+    ship(references.sparkSession)
     said, shown = references.withColumn("look", text.letters_and_digits(F.col("value"))), nodes.withColumn("look", text.letters_and_digits(F.col("text")))
     a, b = F.col("a_box"), F.col("b_box")
     pairs = spatial.overlapping(said.select(group, "seq", *geometry.SIDES, "look", "font_size"), shown.select(group, "seq", *geometry.SIDES, "look", "selectable", "font_size"), group)
@@ -94,6 +97,7 @@ def control_matches(references: DataFrame, controls: DataFrame, group: str) -> D
     of the similarity. Where only others are free, the one that covers most is
     named as a mismatch.
     """
+    ship(references.sparkSession)
     said, shown = references.withColumn("look", text.letters_and_digits(F.col("label"))), controls.withColumn("look", text.letters_and_digits(F.col("name")))
     a, b = F.col("a_box"), F.col("b_box")
     pairs = spatial.overlapping(said.select(group, "seq", *geometry.SIDES, "look"), shown.select(group, "seq", *geometry.SIDES, "look"), group)
@@ -248,30 +252,38 @@ class _Boxes:
         self.area = (self.sides[:, 2] - self.sides[:, 0]) * (self.sides[:, 3] - self.sides[:, 1])
         at = pa.array(order)
         self.text, self.names = {}, {}
+        given = {lists.type.value_type.field(k).name for k in range(lists.type.value_type.num_fields)}
         for k in ("look", "lines", "kind", "role"):
+            if k not in given:
+                continue
             coded = flat.field(k).dictionary_encode()
             self.names[k] = coded.dictionary.to_pylist()
             self.text[k] = pc.fill_null(coded.indices.take(at), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.flags = {k: pc.fill_null(flat.field(k).take(at), unknown).to_numpy(zero_copy_only=False) for k, unknown in (("selectable", True), ("preformatted", False), ("trusted", False))}
+        self.flags = {k: pc.fill_null(flat.field(k).take(at), unknown).to_numpy(zero_copy_only=False) for k, unknown in (("selectable", True), ("preformatted", False), ("trusted", False)) if k in given}
+        self.measures = {k: flat.field(k).take(at).cast(pa.float64()).to_numpy(zero_copy_only=False) for k in ("font_size", "thickness", "level") if k in given}
 
     def of(self, role: int, shown: bool) -> np.ndarray:
         return np.flatnonzero((self.roles & role != 0) & (self.shown == shown))
 
-    def met(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each pair of a box of a and one of b of the same page that share area, and the share of each that the other covers."""
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each pair of a box of a and one of b of the same page, in order, a bounded number at a time (all of one box of a at least)."""
         low, high = (np.searchsorted(self.own[b], self.own[a], side) for side in ("left", "right"))
         n = high - low
-        total, k, out = np.cumsum(n), 0, [np.zeros((3, 0))]
+        total, k = np.cumsum(n), 0
         while k < len(a):
             end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + _PAIRS, "right")))
             i = np.repeat(np.arange(k, end), n[k:end])
-            j = b[np.arange(len(i)) - np.repeat(np.cumsum(n[k:end]) - n[k:end], n[k:end]) + low[i]]
-            i = a[i]
+            yield a[i], b[np.arange(len(i)) - np.repeat(np.cumsum(n[k:end]) - n[k:end], n[k:end]) + low[i]]
+            k = end
+
+    def met(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each pair of a box of a and one of b of the same page that share area, and the share of each that the other covers."""
+        out = [np.zeros((3, 0))]
+        for i, j in self.pairs(a, b):
             p, q = self.sides[i], self.sides[j]
             across, down = (np.minimum(p[:, m + 2], q[:, m + 2]) - np.maximum(p[:, m], q[:, m]) for m in (0, 1))
             some = np.flatnonzero((across > 0) & (down > 0))
             out.append(np.stack([i[some], j[some], (across * down)[some]]))
-            k = end
         found = np.concatenate(out, axis=1)
         i, j = found[:2].astype(np.int64)
         return i, j, found[2] / np.maximum(1.0, self.area[i]), found[2] / np.maximum(1.0, self.area[j])
@@ -303,15 +315,62 @@ def _settled(refs: np.ndarray, i: np.ndarray, j: np.ndarray, good: np.ndarray, s
     return named, taken
 
 
-def _told(b: _Boxes, width: int, height: int) -> list[np.ndarray]:
-    """For each of REASONS the boxes that are against their page."""
-    out = []
-    empty = b.is_("look", "")
-    refs = b.of(TEXT, False)
+def _texts(b: _Boxes, known: np.ndarray | bool = True) -> tuple[np.ndarray, ...]:
+    """text_matches() over the pages of b whose boxes are known: references, the box that each names (-1: none), whether it is taken, and the similarity to it."""
+    empty, refs = b.is_("look", ""), b.of(TEXT, False)
     i, j, c, d = b.met(refs, b.of(TEXT, True))
-    i, j, c, d = (x[c >= COVERED] for x in (i, j, c, d))
+    i, j, c, d = (x[(c >= COVERED) & (known if known is True else known[i])] for x in (i, j, c, d))
     close = np.where(empty[i] | empty[j], 0.0, b.alike(i, j)) if len(i) else np.zeros(0)
     named, taken = _settled(refs, i, j, empty[i] | (close >= SAME_TEXT), 0.7 * close + 0.3 * np.minimum(c, d), None)
+    return refs, named, taken, _of_named(refs, named, i, j, close)
+
+
+def _controls(b: _Boxes, known: np.ndarray | bool = True) -> tuple[np.ndarray, ...]:
+    """control_matches() in the same way."""
+    empty, refs = b.is_("look", ""), b.of(CONTROL, False)
+    i, j, c, _ = b.met(refs, b.of(CONTROL, True))
+    i, j, c = (x[(c >= PRESSED) & (known if known is True else known[i])] for x in (i, j, c))
+    close = np.where(empty[i], 1.0, np.where(empty[j], 0.0, b.alike(i, j))) if len(i) else np.zeros(0)
+    named, taken = _settled(refs, i, j, empty[i] | (close >= SAME_LABEL), 0.8 * c + 0.2 * close, c)
+    return refs, named, taken, _of_named(refs, named, i, j, close)
+
+
+def _of_named(refs: np.ndarray, named: np.ndarray, i: np.ndarray, j: np.ndarray, close: np.ndarray) -> np.ndarray:
+    """The similarity of each reference and the box that it names, from that of all pairs (i, j), which are in order; 0 where it names none."""
+    out, some, n = np.zeros(len(refs)), np.flatnonzero(named >= 0), int(j.max(initial=0)) + 1
+    out[some] = close[np.searchsorted(i * n + j, refs[some] * n + named[some])]
+    return out
+
+
+def _dividers(b: _Boxes) -> tuple[np.ndarray, ...]:
+    """line_matches() over the pages of b: references, the divider that each names (-1: none), and whether it is taken."""
+    level, thick = b.measures["level"], b.measures["thickness"]
+    refs, lines = (x[~np.isnan(level[x])] for x in (b.of(DIVIDER, False), b.of(DIVIDER, True)))
+    flat, (x0, y0, x1, y1) = level == 1, b.sides.T
+    start, across_at = np.where(flat, x0, y0), np.where(flat, y0, x0)
+    long = np.where(flat, x1, y1) - start
+    reach = np.maximum(12.0, np.where(np.isnan(thick) | (thick == 0), 1.0, thick) * 4)
+    named, taken, used = np.full(len(b.own), -1), np.zeros(len(b.own), bool), set()
+    for i, j in b.pairs(refs, lines):
+        across = np.abs(across_at[j] - across_at[i])
+        score = across + 0.25 * np.abs(long[j] - long[i]) + 0.1 * np.abs(start[j] - start[i])
+        some = (flat[i] == flat[j]) & np.isfinite(score)
+        i, j, across, score = i[some], j[some], across[some], score[some]
+        fits = (across <= reach[i]) & (long[j] >= np.maximum(8.0, long[i] * 0.5))
+        order = np.lexsort((j, score, i))
+        last = -1
+        for a, c, fit in zip(i[order].tolist(), j[order].tolist(), fits[order].tolist(), strict=True):
+            if a != last and c not in used:
+                named[a], taken[a], last = c, fit, a
+                if fit:
+                    used.add(c)
+    return refs, named[refs], taken[refs]
+
+
+def _told(b: _Boxes, width: int, height: int) -> list[np.ndarray]:
+    """For each of REASONS the boxes that are against their page."""
+    out = []
+    refs, named, taken, _ = _texts(b)
     out += [refs[named < 0], refs[taken & ~b.flags["selectable"][named]], refs[(named >= 0) & ~taken]]
 
     refs = b.of(ART, False)
@@ -323,11 +382,7 @@ def _told(b: _Boxes, width: int, height: int) -> list[np.ndarray]:
     by = j[order][first]
     out += [np.setdiff1d(refs, found), found[~b.flags["selectable"][by]], found[~b.flags["preformatted"][by]]]
 
-    refs = b.of(CONTROL, False)
-    i, j, c, _ = b.met(refs, b.of(CONTROL, True))
-    i, j, c = (x[c >= PRESSED] for x in (i, j, c))
-    close = np.where(empty[i], 1.0, np.where(empty[j], 0.0, b.alike(i, j))) if len(i) else np.zeros(0)
-    named, taken = _settled(refs, i, j, empty[i] | (close >= SAME_LABEL), 0.8 * c + 0.2 * close, c)
+    refs, named, taken, _ = _controls(b)
     out += [refs[named < 0], refs[(named >= 0) & ~taken]]
 
     real = b.of(RASTER, True)
@@ -403,3 +458,72 @@ def repair_hints(texts: DataFrame, controls: DataFrame, lines: DataFrame, group:
     found = [df.select(group, F.lit(part).alias("part"), kind.alias("kind"), F.col("seq").cast("long").alias("seq"), F.col("candidate").cast("long").alias("candidate"), priority.cast("double").alias("priority"), F.lit(most).alias("most")).where("kind IS NOT NULL") for part, (df, kind, priority, most) in kinds.items()]
     order = Window.partitionBy(group, "part").orderBy(F.desc("priority"), "kind", "seq")
     return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where("rank <= most").select(group, "part", "rank", "kind", "seq", "candidate", F.round("priority", 3).alias("priority"))
+
+
+#: Parts of a page with the most hints of each, and the kinds of hints by name, each with its part.
+PARTS = (("text", 8), ("controls", 4), ("structure", 4))
+HINTS = (
+    ("live-text-content-mismatch", 0), ("live-text-missing-or-displaced", 0), ("semantic-control-geometry", 1), ("semantic-control-label-mismatch", 1), ("semantic-control-missing-or-displaced", 1),
+    ("structural-line-missing", 2), ("structural-line-missing-or-displaced", 2), ("text-geometry-or-typography", 0),
+)
+_WORST = 1_000_000.0
+
+
+def _tenths(values: np.ndarray) -> np.ndarray:
+    """Numbers to one decimal, halves away from zero, as Spark rounds; NaN as 0."""
+    distinct, at = np.unique(np.nan_to_num(values), return_inverse=True)
+    return np.array([float(Decimal(repr(v)).quantize(Decimal("0.1"), ROUND_HALF_UP)) for v in distinct.tolist()], float)[at]
+
+
+def _hinted(b: _Boxes, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of the pages of b: the boxes that repair_hints() names, with kind (of HINTS), candidate (-1: none), priority and rank, by page and part."""
+    found = []
+
+    def hint(kind: str, rows: np.ndarray, named: np.ndarray, priority: np.ndarray | float) -> None:
+        found.append((rows, np.full(len(rows), [k for k, _ in HINTS].index(kind)), named, np.broadcast_to(priority, len(rows)).astype(float)))
+
+    for match, missing, mismatch, moved in ((_texts, 1, 0, 7), (_controls, 4, 3, 2)):
+        refs, named, taken, close = match(b, known)
+        p, q = b.sides[refs], b.sides[named]
+        error = np.abs(np.stack([q[:, 0] - p[:, 0], q[:, 1] - p[:, 1], (q[:, 2] - q[:, 0]) - (p[:, 2] - p[:, 0]), (q[:, 3] - q[:, 1]) - (p[:, 3] - p[:, 1])])).sum(0)
+        larger = np.abs(_tenths(b.measures["font_size"][named] - b.measures["font_size"][refs])) if match is _texts else np.zeros(len(refs))
+        for kind, which, priority in ((missing, named < 0, np.full(len(refs), _WORST)), (mismatch, (named >= 0) & ~taken, _WORST + (1 - close) * 1000), (moved, taken & ((error >= 2) | (larger >= 1)), error + larger)):
+            hint(HINTS[kind][0], refs[which], named[which], priority[which])
+    refs, named, taken = _dividers(b)
+    for kind, which in (("structural-line-missing", named < 0), ("structural-line-missing-or-displaced", (named >= 0) & ~taken)):
+        hint(kind, refs[which], named[which], _WORST)
+    rows, kind, named, priority = (np.concatenate([f[k] for f in found]) for k in range(4))
+    part = np.array([p for _, p in HINTS])[kind]
+    order = np.lexsort((b.seq[rows], kind, -priority, part, b.own[rows]))
+    rows, kind, named, priority, part = (x[order] for x in (rows, kind, named, priority, part))
+    key = b.own[rows] * len(PARTS) + part
+    rank = np.arange(len(rows)) - np.searchsorted(key, key) + 1
+    few = rank <= np.array([n for _, n in PARTS])[part]
+    return tuple(x[few] for x in (rows, kind, named, priority, rank))
+
+
+def page_hints(boxes: DataFrame, group: str) -> DataFrame:
+    """repair_hints() of pages whose boxes of both sides are one table, in one pass, without joins.
+
+    boxes: group, seq, box, shown and roles as for page_review() (TEXT, CONTROL
+    and DIVIDER count, each of both sides), value, font_size, level (whether a
+    divider is horizontal; null: none) and thickness. The rules are those of
+    text_matches(), control_matches() and line_matches(); texts and controls of
+    a page without a name meet nothing. The boxes of a page are held together.
+    """
+    ship(boxes.sparkSession)
+    box = F.struct(F.col("seq").cast("long").alias("seq"), "shown", F.col("roles").cast("int").alias("roles"), *geometry.SIDES, text.letters_and_digits(F.col("value")).alias("look"), F.col("font_size").cast("double").alias("font_size"), F.col("level").cast("int").alias("level"), F.col("thickness").cast("double").alias("thickness"))
+    pages = boxes.groupBy(group).agg(F.collect_list(box).alias("boxes"))
+    kind = boxes.schema[group].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            b = _Boxes(batch.column(1))
+            rows, kinds, named, priority, rank = _hinted(b, batch.column(0).is_valid().to_numpy(zero_copy_only=False)[b.own])
+            parts = pa.array([PARTS[p][0] for _, p in HINTS]).take(pa.array(kinds))
+            candidate = pa.array(b.seq[named].astype(np.int64), mask=named < 0) if len(named) else pa.array([], pa.int64())
+            columns = [batch.column(0).take(pa.array(b.own[rows])), parts, pa.array(rank.astype(np.int32)), pa.array([k for k, _ in HINTS]).take(pa.array(kinds)), pa.array(b.seq[rows].astype(np.int64)), candidate, pa.array(priority)]
+            yield pa.RecordBatch.from_arrays(columns, [group, "part", "rank", "kind", "seq", "candidate", "priority"])
+
+    made = pages.mapInArrow(run, f"{group} {kind}, part string, rank int, kind string, seq long, candidate long, priority double")
+    return made.withColumn("priority", F.round("priority", 3))

@@ -75,10 +75,29 @@ def page_verdicts(spark, d):
     return integrity.page_review(_both_sides(spark, d), "image_id", WIDTH, HEIGHT)
 
 
+def _repaired_sides(spark, d):
+    """_page() as one table for page_hints(): each box of a reference with, where it is shown, what the page has in its place."""
+    seq, kind = F.col("seq"), F.col("kind")
+    size = (F.col("y1") - F.col("y0")).cast("double")
+    moved = _moved()
+
+    def side(shown: bool, x0, y0, control, value, font_size, thickness):
+        divides = F.coalesce(kind == "R", F.lit(False))
+        roles = sum((F.when(F.coalesce(on, F.lit(False)), bit).otherwise(0) for on, bit in ((kind != "A", integrity.TEXT), (control, integrity.CONTROL), (divides, integrity.DIVIDER))), F.lit(0))
+        level = F.when(divides, F.coalesce(F.col("x1") - x0 >= F.col("y1") - y0, F.lit(False)))
+        return F.struct(F.lit(shown).alias("shown"), roles.alias("roles"), x0.alias("x0"), y0.alias("y0"), F.col("x1").alias("x1"), F.col("y1").alias("y1"), value.alias("value"), font_size.alias("font_size"), level.alias("level"), thickness.alias("thickness"))
+
+    reference = side(False, F.col("x0"), F.col("y0"), kind == "A", F.col("value"), size, seq.cast("double"))
+    page = side(True, moved["x0"], moved["y0"], (kind == "A") & (seq % 5 != 4), _rewritten(), size + seq % 3, F.lit(1.0))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = base(spark, d, "boxes").drop("confidence", "status").repartition(n, "image_id")  # before each box becomes two, which then are by page already
+    both = narrow.withColumn("value", _word("image_id + seq")).select("image_id", "seq", F.explode(F.array_compact(F.array(reference, F.when(F.expr("(image_id + seq) % 11 <> 0"), page)))).alias("b"))
+    return both.select("image_id", "seq", "b.*").where("NOT shown OR x0 < x1 AND y0 < y1")
+
+
 @query
 def page_repairs(spark, d):
-    _, _, texts, controls, lines = _reviewed(spark, d)
-    return integrity.repair_hints(texts, controls, lines, "image_id")
+    return integrity.page_hints(_repaired_sides(spark, d), "image_id")
 
 
 @query
