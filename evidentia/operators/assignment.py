@@ -185,96 +185,152 @@ def _look(value: str) -> str:
     return "".join(c for c in value.casefold() if c.isalnum()).translate(str.maketrans(*texts.HOMOGLYPHS))
 
 
-class _Partition:
-    """One phrase among its rows, as far as it is worked out: best sums for each first and last word over the rows so far, and what each took."""
-
-    def __init__(self, phrase: str, observed: list[str], first_word_only: bool):
-        self.phrase, self.looks = phrase, [_look(v) for v in observed]
-        self.at = [m.start() for m in WORD.finditer(phrase)] + [len(phrase)]
-        self.n, self.rows = len(self.at) - 1, len(observed)
-        self.found: tuple[float, int, list[tuple[str, float]]] | None = None
-        self.open = self.n >= max(2, self.rows)
-        if self.open:
-            self.pieces = [_look(phrase[i:j]) for i, j in zip(self.at, self.at[1:], strict=False)]
-            self.starts = [0] if first_word_only else list(range(self.n - self.rows + 1))
-            self.best = np.full((len(self.starts), self.n + 1), -np.inf)
-            self.best[range(len(self.starts)), self.starts] = 0.0
-            self.used: list[np.ndarray] = []
-            self.scores: list[np.ndarray] = []
-
-    def asked(self, row: int) -> list[tuple[int, int, float, str, str]]:
-        """Of the spans that a row may take behind the rows before: first word, words, ratio of lengths, and both texts, where that ratio is enough."""
-        seen, last, out = self.looks[row], self.n - (self.rows - row - 1), []
-        for i in np.flatnonzero(np.isfinite(self.best).any(axis=0)).tolist() if seen else []:
-            said = ""
-            for wide in range(1, min(ROW_WORDS, last - i) + 1):
-                said += self.pieces[i + wide - 1]
-                ratio = min(len(seen), len(said)) / max(len(seen), len(said))
-                if ratio >= ROW_LENGTH:
-                    out.append((i, wide, ratio, seen, said))
-        return out
-
-    def take(self, spans: list[tuple], close: list[float]) -> None:
-        """The best sums with one row more, longer segments first on ties."""
-        scores = np.full((ROW_WORDS + 1, self.n + 1), -np.inf)
-        for (i, wide, ratio, *_), c in zip(spans, close, strict=True):
-            if c >= ROW_SIMILARITY:
-                scores[wide, i] = 0.82 * c + 0.18 * ratio
-        reach, used = np.full_like(self.best, -np.inf), np.zeros(self.best.shape, np.int8)
-        for wide in range(min(ROW_WORDS, self.n), 0, -1):
-            if not np.isfinite(scores[wide]).any():
-                continue
-            sums = self.best[:, : self.n + 1 - wide] + scores[wide, : self.n + 1 - wide]
-            better = sums > reach[:, wide:]
-            reach[:, wide:][better] = sums[better]
-            used[:, wide:][better] = wide
-        self.best = reach
-        self.used.append(used)
-        self.scores.append(scores)
-
-    def candidates(self) -> Iterator[tuple[str, str]]:
-        """The partitions that hold the rows' thresholds, the greatest sums first, as both whole texts; each is answered by send() with their similarity, until none can be better."""
-        firsts, ends = np.nonzero(np.isfinite(self.best))
-        sums = self.best[firsts, ends] / self.rows
-        for k in np.argsort(-sums, kind="stable").tolist():
-            if self.found is not None and 0.65 * sums[k] + 0.35 < self.found[0]:
-                break  # not even the whole phrase alike could make up for it
-            cuts = [int(ends[k])]
-            for used in reversed(self.used):
-                cuts.append(cuts[-1] - int(used[firsts[k], cuts[-1]]))
-            cuts.reverse()
-            parts = [(i, j, float(self.scores[row][j - i, i])) for row, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False))]
-            if min(s for *_, s in parts) < ROW_SCORE:
-                continue
-            overall = yield "".join(self.looks), "".join(self.pieces[cuts[0] : cuts[-1]])
-            quality = float(0.65 * sums[k] + 0.35 * overall)
-            if overall >= OVERALL and quality >= QUALITY and (self.found is None or (quality, -k) > self.found[:2]):
-                self.found = (quality, -k, [(self.phrase[self.at[i] : self.at[j]].strip(), s) for i, j, s in parts])
+#: Sums of first and last words of paragraphs of like size that are held at once.
+_SUMS = 1 << 19
+
+
+class _Looks:
+    """The looks of many texts as code points one after the other: how long each letter's look is, so that a part of a text is a part of the looks."""
+
+    def __init__(self, values: list[str]):
+        codes = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), np.int32)
+        self.begin = np.cumsum([0, *map(len, values)], dtype=np.int64)
+        letters, at = np.unique(codes, return_inverse=True)
+        looks = [_look(chr(c)) for c in letters.tolist()]
+        size = np.array([len(v) for v in looks], np.int64)
+        first, known = np.cumsum(size) - size, np.frombuffer("".join(looks).encode("utf-32-le", "surrogatepass"), np.int32)
+        n = size[at]
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        self.codes = known[np.arange(self.at[-1]) - np.repeat(self.at[:-1], n) + np.repeat(first[at], n)]
+
+
+class _Asked:
+    """Phrases and the rows among which they are dealt out, as arrays: numbers of words and rows, where words begin, and all looks."""
+
+    def __init__(self, asked: list[tuple[str, list[str], bool]]):
+        phrases: dict[str, int] = {}
+        own = np.array([phrases.setdefault(phrase, len(phrases)) for phrase, *_ in asked], np.int64)
+        words_at = [[m.start() for m in WORD.finditer(v)] for v in phrases]
+        self.at = [[*starts, len(v)] for starts, v in zip(words_at, phrases, strict=True)]
+        self.phrase, self.own = list(phrases), own
+        n = np.array([len(w) for w in words_at], np.int64)
+        self.n, self.rows = n[own], np.array([len(rows) for _, rows, _ in asked], np.int64)
+        self.bound = np.array([bool(first) for *_, first in asked], bool)
+        self.said, self.seen = _Looks(self.phrase), _Looks([v for _, rows, _ in asked for v in rows])
+        # letters are only told apart, so they are numbered once for all comparisons
+        letters = np.unique(np.concatenate([self.said.codes, self.seen.codes]), return_inverse=True)[1].astype(np.int32)
+        self.said.codes, self.seen.codes = np.split(letters, [len(self.said.codes)])
+        # where the look of each word begins, and that of each row
+        place = np.concatenate([np.array(w, np.int64) + b for w, b in zip(self.at, self.said.begin[:-1].tolist(), strict=True)])
+        self.word_at = self.said.at[place]
+        self.first_word = (np.cumsum(n + 1) - (n + 1))[own]
+        self.row_at = self.seen.at[self.seen.begin]
+        self.first_row = np.cumsum(self.rows) - self.rows
+
+    def chunks(self) -> Iterator[np.ndarray]:
+        """Paragraphs that can be dealt out, those of like size together, as many at a time as may be held."""
+        open_ = np.flatnonzero((self.rows > 0) & (self.n >= np.maximum(2, self.rows)))
+        order = open_[np.lexsort((self.n[open_], self.bound[open_], self.rows[open_]))]
+        k = 0
+        while k < len(order):
+            p = order[k]
+            most = int(self.n[p]) * 5 // 4 + 2
+            held = max(1, _SUMS // ((1 if self.bound[p] else most) * (most + 1)))
+            part = order[k : k + held]
+            part = part[(self.rows[part] == self.rows[p]) & (self.bound[part] == self.bound[p]) & (self.n[part] <= most)]  # in order, so these come first
+            yield part
+            k += len(part)
+
+    def dealt(self, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of paragraphs of as many rows: which have a good partition, its quality, the cuts between its rows and the rows' scores."""
+        rows, n = int(self.rows[part[0]]), self.n[part]
+        wide, count = int(n.max()), len(part)
+        firsts = 1 if self.bound[part[0]] else wide - rows + 1
+        best = np.full((count, firsts, wide + 1), -np.inf)
+        g, f = np.nonzero(np.arange(firsts)[None] <= (n - rows)[:, None])
+        best[g, f, f] = 0.0
+        used, scores = [], []
+        for row in range(rows):
+            seen = self.first_row[part] + row
+            size = self.row_at[seen + 1] - self.row_at[seen]
+            g, i = np.nonzero(np.isfinite(best).any(axis=1) & (size > 0)[:, None])
+            g, i, w = np.repeat(g, ROW_WORDS), np.repeat(i, ROW_WORDS), np.tile(np.arange(1, ROW_WORDS + 1), len(g))
+            fits = i + w <= n[g] - (rows - row - 1)
+            g, i, w = g[fits], i[fits], w[fits]
+            word = self.first_word[part[g]] + i
+            start, long = self.word_at[word], self.word_at[word + w] - self.word_at[word]
+            ratio = np.minimum(size[g], long) / np.maximum(size[g], long)
+            some = ratio >= ROW_LENGTH
+            g, i, w, start, long, ratio = (x[some] for x in (g, i, w, start, long, ratio))
+            close = greedy.closenesses_at((self.seen.codes, self.said.codes), [self.row_at[seen[g]], start], [size[g], long], ROW_SIMILARITY)
+            some = close >= ROW_SIMILARITY
+            own = np.full((count, ROW_WORDS + 1, wide + 1), -np.inf)
+            own[g[some], w[some], i[some]] = 0.82 * close[some] + 0.18 * ratio[some]
+            # the best sums with one row more, longer segments first on ties
+            reach, taken = np.full_like(best, -np.inf), np.zeros(best.shape, np.int8)
+            for w in range(min(ROW_WORDS, wide), 0, -1):
+                if np.isfinite(own[:, w]).any():
+                    sums = best[:, :, : wide + 1 - w] + own[:, w, None, : wide + 1 - w]
+                    better = sums > reach[:, :, w:]
+                    reach[:, :, w:][better] = sums[better]
+                    taken[:, :, w:][better] = w
+            best = reach
+            used.append(taken)
+            scores.append(own)
+        g, f, end = np.nonzero(np.isfinite(best))
+        sums = best[g, f, end] / rows
+        order = np.lexsort((-sums, g))
+        g, f, end, sums = (x[order] for x in (g, f, end, sums))
+        cuts, each = [end], []
+        for taken, own in zip(reversed(used), reversed(scores), strict=True):
+            w = taken[g, f, cuts[-1]].astype(np.int64)
+            cuts.append(cuts[-1] - w)
+            each.append(own[g, w, cuts[-1]])
+        cuts, each = np.stack(cuts[::-1]), np.stack(each[::-1])
+        good = (each >= ROW_SCORE).all(axis=0)
+        return self._best(part, rows, g[good], sums[good], cuts[:, good], each[:, good])
+
+    def _best(self, part: np.ndarray, rows: int, g: np.ndarray, sums: np.ndarray, cuts: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the partitions of each paragraph g, the greatest sums first: the one of the greatest quality, the first on ties; more of them at a time, until none can be better."""
+        at, stop = (np.searchsorted(g, np.arange(len(part)), side) for side in ("left", "right"))
+        quality, chosen, step = np.full(len(part), -np.inf), np.full(len(part), -1), 1
+        seen = self.row_at[self.first_row[part]]
+        size = self.row_at[self.first_row[part] + rows] - seen
+        while True:
+            # not even the whole phrase alike could make up for a lesser sum
+            turn = np.flatnonzero(at < stop)
+            turn = turn[0.65 * sums[at[turn]] + 0.35 >= quality[turn]]
+            if not len(turn):
+                break
+            many = np.minimum(step, stop[turn] - at[turn])
+            k = np.repeat(at[turn] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at[turn] += many
+            step *= 2
+            p, word = g[k], self.first_word[part[g[k]]]
+            start = self.word_at[word + cuts[0, k]]
+            overall = greedy.closenesses_at((self.seen.codes, self.said.codes), [seen[p], start], [size[p], self.word_at[word + cuts[-1, k]] - start], OVERALL)
+            found = 0.65 * sums[k] + 0.35 * overall
+            some = (overall >= OVERALL) & (found >= QUALITY) & (found > quality[p])
+            k, p, found = k[some], p[some], found[some]
+            order = np.lexsort((k, -found, p))
+            p, first = np.unique(p[order], return_index=True)
+            quality[p], chosen[p] = found[order][first], k[order][first]
+        some = np.flatnonzero(chosen >= 0)
+        return part[some], quality[some], cuts[:, chosen[some]], each[:, chosen[some]]
 
 
 def partitions(asked: list[tuple[str, list[str], bool]]) -> list[list[tuple[str, float]] | None]:
-    """partition() of each (phrase, observed, first_word_only): what they compare is compared side by side, row by row and then candidate by candidate."""
-    each = [_Partition(*one) for one in asked]
-    open_ = [p for p in each if p.open]
-    for row in range(max((p.rows for p in open_), default=0)):
-        deep = [p for p in open_ if p.rows > row]
-        spans = [p.asked(row) for p in deep]
-        close = greedy.closenesses([(seen, said) for own in spans for *_, seen, said in own], ROW_SIMILARITY).tolist()
-        at = 0
-        for p, own in zip(deep, spans, strict=True):
-            p.take(own, close[at : at + len(own)])
-            at += len(own)
-    turns = [(p.candidates(), None) for p in open_]
-    while turns:
-        waiting, pairs = [], []
-        for turn, overall in turns:
-            try:
-                pairs.append(turn.send(overall))
-                waiting.append(turn)
-            except StopIteration:
-                pass
-        turns = list(zip(waiting, greedy.closenesses(pairs, OVERALL).tolist(), strict=True))
-    return [p.found and [(value, min(p.found[0], s)) for value, s in p.found[2]] for p in each]
+    """partition() of each (phrase, observed, first_word_only): paragraphs of like size are worked out side by side, row by row."""
+    out: list[list[tuple[str, float]] | None] = [None] * len(asked)
+    if not asked:
+        return out
+    all_ = _Asked(asked)
+    for part in all_.chunks():
+        for p, quality, cuts, scores in zip(*(x.T.tolist() for x in all_.dealt(part)), strict=True):
+            own = int(all_.own[p])
+            phrase, at = all_.phrase[own], all_.at[own]
+            out[p] = [(phrase[at[i] : at[j]].strip(), min(quality, s)) for i, j, s in zip(cuts, cuts[1:], scores, strict=False)]
+    return out
 
 
 def partition(phrase: str, observed: list[str], first_word_only: bool = False) -> list[tuple[str, float]] | None:
@@ -294,21 +350,21 @@ def row_assignments(phrases: DataFrame, rows: DataFrame, group: str) -> DataFram
     run of rows begins closely below it, it begins with the phrase's first word.
     """
     known = phrases if "top" in phrases.columns else phrases.withColumn("top", F.lit(None).cast("int"))
-    placed = paragraphs(rows, group)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told by number, so that small rows with much to do aren't brought together by the windows either
+    placed = paragraphs(rows.repartition(n, group), group)
     led = placed.join(known.select(group, "phrase", "top"), group).withColumn("phrase", F.when(F.col("place") == 1, F.col("phrase")))
     near = F.col("y0") - F.col("top") <= F.greatest(F.lit(24), 3 * F.greatest(F.lit(1), F.col("y1") - F.col("y0")))
     led = led.withColumn("bound", F.coalesce(near & (F.col("paragraph") == 1), F.lit(False)).cast("int"))
 
-    def step(groups: list[greedy.Rows]) -> list[list[tuple]]:
-        asked, places, out = [], [], [[] for _ in groups]
-        for g, pdf in enumerate(groups):
-            number, seqs, values, phrase, bound = (pdf[c].tolist() for c in ("paragraph", "seq", "value", "phrase", "bound"))
-            starts = [k for k in range(len(pdf)) if not k or number[k] != number[k - 1]]
-            for i, k in zip(starts, [*starts[1:], len(pdf)], strict=True):
-                asked.append((phrase[i] or "", values[i:k], bool(bound[i])))
-                places.append((g, seqs[i:k]))
-        for (g, seqs), made in zip(places, partitions(asked), strict=True):
-            out[g] += [(int(seq), segment, float(score)) for seq, (segment, score) in zip(seqs, made or [], strict=False)]
-        return out
-
-    return greedy.each_group(led, group, ["paragraph", "place"], ["value", "phrase", "bound"], ["seq", "segment", "score"], "seq int, segment string, score double", step, together=True)
+    def step(columns: dict, starts: np.ndarray) -> tuple[np.ndarray, list]:
+        first = np.diff(columns["paragraph"], prepend=-1) != 0
+        first[starts] = True
+        begin = np.flatnonzero(first)
+        values, said = columns["value"].to_pylist(), columns["phrase"].take(pa.array(begin)).to_pylist()
+        ends = [*begin[1:].tolist(), len(values)]
+        made = partitions([(phrase or "", values[i:k], bool(bound)) for phrase, i, k, bound in zip(said, begin.tolist(), ends, columns["bound"][begin].tolist(), strict=True)])
+        found = [(i + k, *one) for i, own in zip(begin.tolist(), made, strict=True) for k, one in enumerate(own or [])]
+        at = np.array([i for i, *_ in found], np.int64)
+        return at, [columns["seq"][at].astype(np.int32), pa.array([v for _, v, _ in found], pa.string()), np.array([x for *_, x in found], float)]
+
+    return greedy.each_batch(led, group, ["paragraph", "place"], ["seq", "paragraph", "bound"], ["seq", "segment", "score"], "seq int, segment string, score double", step, kept=("value", "phrase"))

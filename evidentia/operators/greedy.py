@@ -436,15 +436,17 @@ def _longest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best.max(axis=0)
 
 
-#: Longest text whose places are the bits of one number.
-_BITS = 64
+#: Longest text whose places are the bits of one number, and numbers of letters that needn't be made less.
+_BITS, _FEW_LETTERS = 64, 64
 
 
 def _subsequence(codes: tuple, starts: list, sizes: list) -> np.ndarray:
     """The longest common subsequence of each pair of texts (up to _SIDE_BY_SIDE letters), which has at least all their common parts together; where both are longer than _BITS, the lesser length. The places of one text are bits, and the other is read along all pairs at once."""
     most = np.minimum(*sizes).astype(np.int64)
-    letters = np.unique(np.concatenate(codes))
-    coded, wide = [np.searchsorted(letters, c) for c in codes], max(1, len(letters))
+    coded, wide = codes, max(int(c.max(initial=0)) for c in codes) + 1
+    if wide > _FEW_LETTERS:
+        letters = np.unique(np.concatenate(codes))
+        coded, wide = [np.searchsorted(letters, c) for c in codes], len(letters)
     for i, some in ((0, sizes[0] <= _BITS), (1, (sizes[0] > _BITS) & (sizes[1] <= _BITS))):
         rows = np.flatnonzero(some & (most > 0))
         rows = rows[np.argsort(-sizes[1 - i][rows], kind="stable")]

@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from evidentia.operators import integrity
+from evidentia.operators import assignment, greedy, integrity
 from tests.conftest import rows
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -48,3 +48,28 @@ def test_page_hints_equal_their_parts(spark, monkeypatch):
 def test_repairs_shuffle_boxes_not_pairs(spark):
     plan = plan_of(__spark_entry__.queries()["page_repairs"](spark, SMALLEST))
     assert "Join" not in plan and "MapInArrow" in plan
+
+
+def test_paragraphs_are_dealt_out_side_by_side(spark, monkeypatch):
+    rng, tables = random.Random(17), []
+    vocabulary = ["total", "Sales", "sign-in", "Straße", "\u0421\u043e\u0441", "plan", "q3", "\U0001f600", "of", "the"]
+    asked = [("", ["total"], True), ("total", ["total", "sales"], False), ("- –", ["plan", "of"], True)]
+    for _ in range(300):
+        said = [rng.choice(vocabulary) for _ in range(rng.randint(2, 24))]
+        at = sorted(rng.sample(range(len(said) + 1), min(len(said) + 1, rng.randint(2, 6))))
+        seen = [" ".join(said[i:j]).translate(str.maketrans("oeil", "0c1l") if rng.random() < 0.6 else {}) for i, j in zip(at, at[1:], strict=False)]
+        asked.append((" ".join(said), seen, rng.random() < 0.5))
+    one_by_one = [assignment.partition(*a) for a in asked]
+    exact = greedy.closenesses_at
+
+    def compared(*args):
+        tables.append(len(args[1][0]))
+        return exact(*args)
+
+    monkeypatch.setattr(greedy, "closenesses_at", compared)
+    assert assignment.partitions(asked) == one_by_one and sum(x is not None for x in one_by_one) > 100
+    assert len(tables) < len(asked)  # not even one comparison for each paragraph
+    monkeypatch.setattr(assignment, "_SUMS", 50)
+    assert assignment.partitions(asked) == one_by_one and assignment.partitions([]) == []
+    plan = plan_of(__spark_entry__.queries()["row_assignments"](spark, SMALLEST))
+    assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan
