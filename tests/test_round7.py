@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from evidentia.operators import assignment, greedy, integrity
+from evidentia.operators import assignment, greedy, integrity, rules
 from tests.conftest import rows
 
 SMALLEST = "/root/testdata/sf0.001"
@@ -73,3 +73,28 @@ def test_paragraphs_are_dealt_out_side_by_side(spark, monkeypatch):
     assert assignment.partitions(asked) == one_by_one and assignment.partitions([]) == []
     plan = plan_of(__spark_entry__.queries()["row_assignments"](spark, SMALLEST))
     assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_rules_by_arrays_equal_rules_by_tables(spark, monkeypatch):
+    rng, pixels = random.Random(23), []
+    for picture in range(30):
+        for _ in range(rng.randint(0, 7)):
+            y, x0, on, off, shade = rng.randint(0, 179), rng.randint(0, 120), rng.choice([1, 3, 4, 7, 40]), rng.choice([0, 2, 4, 12, 14]), rng.choice([0, 90, 200, 247, 253])
+            color = tuple(min(255, shade + rng.choice([0, 0, 10, 40])) for _ in range(3))
+            slope = rng.choice([0, 0, 0.006, -0.012])
+            pixels += [(picture, x, round(y + (x - x0) * slope), *color) for x in range(x0, x0 + rng.randint(40, 290)) if (x - x0) % (on + off) < on]
+        pixels += [(picture, rng.randint(0, 419), rng.randint(0, 179), *rng.choices(range(256), k=3)) for _ in range(60)]
+    pixels = list({p[:3]: p for p in pixels}.values())
+    pixels += [(31, x, y, 5, 5, 5) for y in (50, 51) for x in range(2**30 - 5, 2**30 + 300) if x % 8 < 4]  # places beyond four bytes
+    ink = spark.createDataFrame(pixels, "image_id long, x int, y int, b int, g int, r int").cache()
+    white = (255, 255, 255)
+    want = rows(rules._by_tables(ink, 420, 180, "image_id", white, None))
+    dashed, large = rules._measured(ink, 420, 180, "image_id", white)
+    assert rows(dashed) == [r for r in want if r[0] != 31] and len(want) > 20 and {r[0] for r in want} > {31}
+    assert [r[0] for r in large.select("image_id").distinct().collect()] == [31]
+    whole = rows(rules.dashed_rules(ink, 420, 180))
+    monkeypatch.setattr(rules, "LARGE", 400)
+    monkeypatch.setattr(rules, "_HELD", 1000)
+    assert rows(rules.dashed_rules(ink.repartition(3), 420, 180)) == whole and rules._measured(ink, 420, 180, "image_id", white)[1].select("image_id").distinct().count() > 5
+    assert rows(rules._unpacked(rules._packed(ink, "image_id"), "image_id", ink)) == rows(ink.select("image_id", "x", "y", "b", "g", "r"))
+    assert rules.dashed_rules(ink.limit(0), 420, 180).count() == 0
