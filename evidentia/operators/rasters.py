@@ -68,17 +68,25 @@ def _margined(image: np.ndarray, margin: int) -> np.ndarray:
     return np.pad(image, ((margin, margin), (margin, margin), (0, 0)), "reflect") if min(image.shape[:2]) > 1 else np.pad(image, ((margin, margin), (margin, margin), (0, 0)), "edge")
 
 
+def sides(row, margin: int) -> tuple[int, int, np.ndarray, np.ndarray] | None:
+    """Height, width and both pictures of a row of pairs with the margin around, the other on the first one's canvas; None for a raster without pixels."""
+    if not (row.height and row.width) or pd.isna(row.height) or pd.isna(row.width) or row.data is None:
+        return None
+    height, width = int(row.height), int(row.width)
+    a = picture(row.data, height, width)
+    other = (0, 0) if pd.isna(row.other_height) or pd.isna(row.other_width) else (int(row.other_height), int(row.other_width))
+    b = on_canvas(a, picture(row.other, *other))
+    return height, width, _margined(a, margin), _margined(b, margin)
+
+
 def tiled(pairs: DataFrame, *, size: int = TILE, margin: int = MARGIN) -> DataFrame:
     """Tiles of pairs of rasters (image_id, height, width, data, other_height, other_width, other): PLACE, a, b (both with the margin); b is on a's canvas. Rasters without pixels, null ones among them, have no tile."""
 
     def of(row):
-        if not (row.height and row.width) or pd.isna(row.height) or pd.isna(row.width) or row.data is None:
+        got = sides(row, margin)
+        if got is None:
             return
-        height, width = int(row.height), int(row.width)
-        a = picture(row.data, height, width)
-        other = (0, 0) if pd.isna(row.other_height) or pd.isna(row.other_width) else (int(row.other_height), int(row.other_width))
-        b = on_canvas(a, picture(row.other, *other))
-        a, b = _margined(a, margin), _margined(b, margin)
+        height, width, a, b = got
         for top in range(0, height, size):
             for left in range(0, width, size):
                 h, w = min(size, height - top), min(size, width - left)
@@ -122,6 +130,39 @@ def label(mask: np.ndarray, eight: bool) -> tuple[np.ndarray, int]:
     return out, len(roots)
 
 
+def held(mask: np.ndarray) -> np.ndarray:
+    """The pixels of a mask whose connected part, by 8 neighbours, has a pixel of value 2: runs of each row are joined with those above that they touch, all rows at once."""
+    edges = np.diff(np.pad((mask > 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    ys, starts = np.nonzero(edges == 1)
+    _, ends = np.nonzero(edges == -1)
+    wide = mask.shape[1] + 2  # places of a row and one between, so that rows don't touch sideways
+    first, last = ys * wide + starts, ys * wide + ends
+    low, high = np.searchsorted(last, first - wide, "left"), np.searchsorted(first, last - wide, "right")
+    n = np.maximum(high - low, 0)
+    b = np.repeat(np.arange(len(ys)), n)
+    a = np.arange(len(b)) - np.repeat(np.cumsum(n) - n, n) + low[b]
+    above = np.arange(len(ys))
+    while True:
+        p, q = above[a], above[b]
+        apart = p != q
+        if not apart.any():
+            break
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(above, np.maximum(p, q), np.minimum(p, q))
+        while (further := above[above]).tobytes() != above.tobytes():
+            above = further
+    size = mask.shape[1]
+    begin, end = ys * size + starts, ys * size + ends
+    strong = np.concatenate([[0], np.cumsum(mask.ravel() == 2)])
+    root = np.zeros(len(ys), bool)
+    root[above[strong[end] > strong[begin]]] = True
+    kept = root[above]
+    turns = np.zeros(mask.size + 1, np.int8)
+    turns[begin[kept]] += 1
+    turns[end[kept]] -= 1
+    return np.cumsum(turns[:-1], dtype=np.int8).astype(bool).reshape(mask.shape)
+
+
 def _union(links: pd.DataFrame) -> dict[int, int]:
     above: dict[int, int] = {}
 

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from evidentia.operators import assignment, greedy, integrity, rules
+from evidentia.operators import assignment, diffing, greedy, integrity, rasters, rules
 from tests.conftest import rows
+from tests.test_diffing import table
 
 SMALLEST = "/root/testdata/sf0.001"
 
@@ -98,3 +101,29 @@ def test_rules_by_arrays_equal_rules_by_tables(spark, monkeypatch):
     assert rows(rules.dashed_rules(ink.repartition(3), 420, 180)) == whole and rules._measured(ink, 420, 180, "image_id", white)[1].select("image_id").distinct().count() > 5
     assert rows(rules._unpacked(rules._packed(ink, "image_id"), "image_id", ink)) == rows(ink.select("image_id", "x", "y", "b", "g", "r"))
     assert rules.dashed_rules(ink.limit(0), 420, 180).count() == 0
+
+
+def test_held_parts_equal_labels():
+    rng = np.random.default_rng(5)
+    masks = [(rng.random((h, w)) < share) + (rng.random((h, w)) < 0.03) for h, w, share in ((1, 1, 1.0), (1, 9, 0.6), (9, 1, 0.6), (40, 31, 0.3), (40, 31, 0.6), (25, 64, 0.5), (6, 6, 0.0))]
+    snake = np.zeros((21, 21), int)
+    snake[::2], snake[1::4, -1], snake[3::4, 0], snake[0, 0] = 1, 1, 1, 2
+    for mask in (*masks, snake, snake[::-1] * 1):
+        mask = mask.astype(np.uint8)
+        found, n = rasters.label(mask > 0, True)
+        keep = np.zeros(n + 1, bool)
+        keep[found[mask == 2]] = True
+        assert np.array_equal(rasters.held(mask), keep[found])
+
+
+@pytest.mark.parametrize("size", [256, 17, 8])
+def test_differences_equal_those_of_tiles(spark, size):
+    want = diffing.compared(table(spark), size=size)[0]
+    got = diffing.differences(table(spark), size=size)
+    assert rows(got) == rows(want) and got.dtypes == want.dtypes and want.count() > 3
+    assert diffing.differences(table(spark).limit(0)).count() == 0
+
+
+def test_small_pictures_meet_no_join(spark):
+    plan = plan_of(__spark_entry__.queries()["picture_differences"](spark, SMALLEST))
+    assert "Join" not in plan and "Union" not in plan
